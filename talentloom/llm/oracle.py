@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import KEY_BITS, MAX_EPOCHS, SEED, WEIGHTS
 from .quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +42,42 @@ with d as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} as base_failed,
        not {failed} and {" and ".join(_rule_sql(r) for r in RULES)} as kept, n_lines, n_stop_words
 from m"""
+
+
+def mixing_sql() -> str:
+    weights = ", ".join(map(str, WEIGHTS))
+    return rf"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,
+         ('0x' || substr(md5('{SEED}' || coalesce(doc_id::varchar, '')), 1, {KEY_BITS // 4}))::bigint as k
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size from d group by source
+), r as (
+  select *, ([{weights}])[((row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1)::int] as weight,
+         sum(source_size) over () as everything
+  from s
+), o as (
+  select *, row_number() over w as i,
+         (everything - coalesce(sum({MAX_EPOCHS} * source_size) over (w rows between unbounded preceding and 1 preceding), 0))::double as rest,
+         (sum(weight) over (w rows between current row and unbounded following))::double as total
+  from r window w as (order by source_size / weight, source nulls last)
+), f as (
+  select min(i) as i from o where not {MAX_EPOCHS} * source_size <= rest / total * weight
+), t as (
+  select source, source_size,
+         case when (select i from f) is null or o.i < (select i from f) then ({MAX_EPOCHS} * source_size)::double
+              else (select rest / total from o join f using (i)) * weight end as target
+  from o
+), b as (
+  select *, floor(target + 0.5)::bigint as budget,
+         case when source_size > 0 then floor(target + 0.5)::bigint // source_size else 0 end as epochs
+  from t
+), c as (
+  select d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget,
+         coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
+  from d join b on d.source is not distinct from b.source
+)
+select doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint as taken
+from c"""

@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .common import table
+from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import filter_quality
+from .simhash import near_duplicates
+from .tokenizing import Vocabulary
+from .tokens import read_token_digests, write_token_blocks
+
+BYTE_BPE = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), drops_case=False)
+BYTE_END = 2
+WORD_BPE = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), drops_case=True)
+WORD_END = 1
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +30,35 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from the blocks."""
+    return read_token_digests(write_token_blocks(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_END))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece in sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, WORD_END)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality}
+    return {
+        "op1_quality": op1_quality,
+        "op2_token_ids": op2_token_ids,
+        "op6_mixing": op6_mixing,
+        "op7_packing": op7_packing,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": oracle.quality_sql()}
+    return {"op1_quality": oracle.quality_sql(), "op6_mixing": oracle.mixing_sql()}
