@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .common import table
+from .html_text import extract_pages
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import find_pii
 from .quality import filter_quality
 from .simhash import near_duplicates
 from .tokenizing import Vocabulary
+from .toxicity import score_toxicity
 from .tokens import read_token_digests, write_token_blocks
 
 BYTE_BPE = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), drops_case=False)
@@ -35,6 +38,21 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(write_token_blocks(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_END))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,6 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_token_ids": op2_token_ids,
+        "op3_pii": op3_pii,
+        "op4_html": op4_html,
+        "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_packing": op7_packing,
         "op10_simhash": op10_simhash,
