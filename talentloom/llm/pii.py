@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from .common import stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -185,7 +187,8 @@ def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text")
                 found.append([dict(zip(("kind", "start", "end", "pattern"), c, strict=True)) for c in candidates(body, base_spans(body))])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.list_(_SPAN))], names=[*keep, "spans"])
 
-    schema = df.select(*keep).schema.add("spans", "array<struct<kind:int,start:int,end:int,pattern:string>>")
+    spans = StructType.fromDDL("spans array<struct<kind:int,start:int,end:int,pattern:string>>")
+    schema = StructType(df.select(*keep).schema.fields + spans.fields)
     return df.select(*keep, F.col(text).alias("_body")).mapInArrow(scanned, schema)
 
 
