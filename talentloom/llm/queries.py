@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle
 from .common import table
@@ -14,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import find_pii
 from .quality import filter_quality
+from .search import top_products
 from .simhash import near_duplicates
 from .tokenizing import Vocabulary
 from .toxicity import score_toxicity
@@ -63,6 +65,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, WORD_END)
 
 
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector against all others."""
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,9 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_packing": op7_packing,
+        "op8_top_products": op8_top_products,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": oracle.quality_sql(), "op6_mixing": oracle.mixing_sql()}
+    return {"op1_quality": oracle.quality_sql(), "op6_mixing": oracle.mixing_sql(), "op8_top_products": oracle.TOP_PRODUCTS_SQL}
