@@ -17,6 +17,7 @@ from .pii import find_pii
 from .quality import filter_quality
 from .search import top_products
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .tokenizing import Vocabulary
 from .toxicity import score_toxicity
 from .tokens import read_token_digests, write_token_blocks
@@ -70,6 +71,12 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -85,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_packing": op7_packing,
         "op8_top_products": op8_top_products,
+        "op9_repeats": op9_repeats,
         "op10_simhash": op10_simhash,
     }
 
