@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import config
 from ..sources.documents import IDENTITY, dedupe_uploads, parse_plain_text, validate_uploads
@@ -29,16 +31,16 @@ def stream_documents(spark: SparkSession, path: str, target: str, checkpoint: st
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         accepted, _ = validate_uploads(batch)
-        hadoop = session._jvm.org.apache.hadoop.fs.Path(target)  # noqa: SLF001
-        there = hadoop.getFileSystem(session._jsc.hadoopConfiguration()).exists(hadoop)  # noqa: SLF001
-        parsed_schema = session.createDataFrame([], f"{SCHEMA}, raw_text string, batch long")
-        existing = session.read.schema(parsed_schema.schema).parquet(target) if there else parsed_schema
+        stored = StructType([*session.createDataFrame([], SCHEMA).schema.fields, StructField("raw_text", StringType()), StructField("batch", LongType())])
+        try:
+            existing = session.read.schema(stored).parquet(target)
+        except AnalysisException:  # nothing was stored yet
+            existing = session.createDataFrame([], stored)
         # A batch that was cut off is written again: its own rows do not count as stored.
         fresh = dedupe_uploads(accepted, existing.filter(F.col("batch") != number).select(*batch.columns)).filter("is_new").select(*batch.columns)
         parsed, _ = parse_plain_text(fresh)
         rows = parsed.withColumn("batch", F.lit(number).cast("long"))
-        session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        rows.write.mode("overwrite").partitionBy("batch").parquet(target)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
         if then is not None:
             then(session.read.schema(rows.schema).parquet(target).filter(F.col("batch") == number), number)
 
