@@ -97,13 +97,14 @@ def candidate_facts(
         by_skill,
         listed(worked, "experiences", "label", "start_date_raw", "end_date_raw", "technologies", "seniority", "description", "tokens"),
         listed(education, "education", "degree_level"),
-        listed(certifications, "certifications", "name", "issuer"),
-        listed(languages, "languages", "canonical_name", "proficiency_normalized"),
+        listed(certifications.withColumn("folded", _collapsed(F.col("name"))), "certifications", "name", "folded"),
+        listed(languages.withColumn("level", T.rank(F.col("proficiency_normalized"), config.PROFICIENCY)), "languages", "canonical_name", "level"),
         domain_counts(skills),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "candidate_id", "full")
+    out = out.withColumns({"peak": T.rank(peak_seniority(F.col("experiences")), config.SENIORITY), "school": T.rank(highest_education(F.col("education")), config.EDUCATION)})
     if embed is not None:
         out = out.withColumn("skills_vector", embed(F.array_join("skill_names", " ")))
     return out
@@ -177,7 +178,14 @@ def job_demands(profiles: DataFrame, requirements: DataFrame, related: DataFrame
     domains = wanted.groupBy("job_id").agg(F.array_sort(F.collect_set("d")).alias("job_domains")).filter(F.size("job_domains") > 0)
     field = extra(domains, "domain", "OTHER", F.lit(0), F.lit("Domain alignment"), F.lit(None).cast("string")).join(domains, "job_id")
     out = asked.unionByName(seniority, True).unionByName(duties, True).unionByName(field, True)
-    out = out.withColumns({"dim_rank": rank(F.col("dimension")), "tokens": F.when(F.col("dimension") == "responsibilities", T.overlap_tokens(F.col("raw_text")))})
+    mine = lambda d, c: F.when(F.col("dimension") == d, c)
+    out = out.withColumns({
+        "dim_rank": rank(F.col("dimension")), "tokens": mine("responsibilities", T.overlap_tokens(F.col("raw_text"))),
+        "step": F.coalesce(mine("seniority", T.rank(F.col("normalized_value"), config.SENIORITY)), mine("education", T.rank(F.col("normalized_value"), config.EDUCATION))),
+        "needle": F.when(F.col("dimension") == "certifications", _collapsed(F.col("raw_text"))).otherwise(F.lower(T.strip(F.col("raw_text")))),
+        "wanted": mine("languages", parse_language_requirement(F.col("raw_text"))),
+    })
+    out = out.withColumn("level", T.rank(F.col("wanted.level"), config.PROFICIENCY))
     if embed is not None:
         out = out.withColumn("vector", F.when(F.col("dimension") == "skills", embed(F.col("canonical_name"))).when(F.col("dimension") == "responsibilities", embed(F.col("raw_text"))))
     return out
@@ -192,35 +200,64 @@ def _answer(status: Column, signal: Column, explanation: Column, matched: Column
     return F.struct(*[c.alias(n) for c, n in zip(columns, EVALUATION, strict=True)])
 
 
+def _findings(reference_year: Column, embed: Callable[[Column], Column] | None) -> list[tuple[str, Column]]:
+    """What the rules read off a demand and its candidate, each computed once, for its own dimension only."""
+    mine = lambda d, c: F.when(F.col("dimension") == d, c)
+    skill, names, needle = F.col("canonical_name"), F.col("skill_names"), F.col("needle")
+    known = lambda n: F.coalesce(F.array_contains(names, n), F.lit(False))
+    same = F.get(F.filter("certifications", lambda c: c["folded"] == needle), F.lit(0))
+    part = F.get(F.filter("certifications", lambda c: c["folded"].contains(needle) | needle.contains(c["folded"])), F.lit(0))
+    shared = F.filter("domains", lambda d: F.array_contains(F.col("job_domains"), d["domain"]))
+    top = F.get(F.array_sort(F.transform(shared, lambda d: F.struct((-d["n"]).alias("n"), d["domain"].alias("domain")))), F.lit(0))["domain"]
+    # A direct hit, else the first related skill, else (unresolved lines) the first name that contains the text.
+    hit = (
+        F.when(skill.isNull(), F.when(needle != "", F.get(F.filter(names, lambda n: F.lower(n).contains(needle)), F.lit(0))))
+        .when(known(skill), skill)
+        .otherwise(F.get(F.filter("relatives", lambda r: known(r["related_skill"])), F.lit(0))["related_skill"])
+    )
+    found = [
+        ("_hit", mine("skills", hit)),
+        ("_years", mine("experience", years_of_experience(F.col("experiences"), F.col("normalized_value"), reference_year))),
+        ("_gap", F.coalesce(mine("seniority", F.col("peak") - F.col("step")), mine("education", F.col("school") - F.col("step")))),
+        ("_same", mine("certifications", same)), ("_part", mine("certifications", part)),
+        ("_held", mine("languages", F.get(F.filter("languages", lambda x: x["canonical_name"] == F.col("wanted.name")), F.lit(0)))),
+        ("_best", mine("responsibilities", best_lexical_match())), ("_top", mine("domain", top)),
+    ]
+    if embed is not None:
+        found.append(("_meaning", mine("skills", T.cosine_similarity(F.col("vector"), F.col("skills_vector")))))
+        scored = F.transform(
+            F.filter("experiences", lambda e: F.coalesce(e["description"], F.lit("")) != ""),
+            lambda e: F.struct(T.cosine_similarity(F.col("vector"), embed(e["description"])).alias("score"), (-e["idx"]).alias("place"), e["label"].alias("label")),
+        )
+        found.append(("_near", mine("responsibilities", F.array_max(F.filter(scored, lambda x: x["score"] > 0)))))
+    return found
+
+
 def match_skill(semantic: bool = False) -> Column:
     """Exact or alias, then the first related skill, then meaning, then text overlap for unresolved lines."""
-    skill, names, known = F.col("canonical_name"), F.col("skill_names"), F.col("skill_map")
-    own = F.try_element_at(known, skill)
-    alias = is_alias_surface_form(F.col("raw_text"), skill) | F.exists(own, lambda s: is_alias_surface_form(s["raw_text"], skill))
-    direct = F.when(alias, "ALIAS_MATCH").otherwise("EXACT_MATCH")
-    relative = F.get(F.filter("relatives", lambda r: F.coalesce(F.array_contains(names, r["related_skill"]), F.lit(False))), F.lit(0))
-    needle = F.lower(T.strip(F.col("raw_text")))
-    inside = F.when(needle != "", F.get(F.filter(names, lambda n: F.lower(n).contains(needle)), F.lit(0)))
-    told = lambda signal, text, name=None, proof=None, score=None: _answer(skill_status(signal), signal, text, name, None, score, proof)
-    out = F.when(skill.isNull() & inside.isNotNull(), told(F.lit("PARTIAL_MATCH"), F.concat(F.lit("Not in the taxonomy; its text is part of "), inside, F.lit(".")), inside, F.try_element_at(known, inside)))
-    out = out.when(skill.isNull(), told(F.lit("NO_EVIDENCE"), F.lit("Not in the taxonomy, and no skill contains its text.")))
-    out = out.when(F.size(own) > 0, told(direct, F.concat(skill, F.lit(" is evidenced directly.")), skill, own))
-    out = out.when(
-        relative.isNotNull(),
-        told(
-            F.lit("RELATED_MATCH"),
-            F.concat(skill, F.lit(" is not evidenced; "), relative["related_skill"], F.lit(" is ("), F.lower(F.translate(relative["relation_type"], "_", " ")), F.lit(").")),
-            relative["related_skill"], F.try_element_at(known, relative["related_skill"]),
-        ),
-    )
+    skill, hit, proof = F.col("canonical_name"), F.col("_hit"), F.col("_proof")
+    alias = is_alias_surface_form(F.col("raw_text"), skill) | F.exists(proof, lambda x: is_alias_surface_form(x["raw_text"], skill))
+    kind = F.get(F.filter("relatives", lambda r: r["related_skill"] == hit), F.lit(0))["relation_type"]
+    signal = (
+        F.when(skill.isNull(), F.when(hit.isNotNull(), "PARTIAL_MATCH").otherwise("NO_EVIDENCE"))
+        .when(hit == skill, F.when(alias, "ALIAS_MATCH").otherwise("EXACT_MATCH")).when(hit.isNotNull(), "RELATED_MATCH")
+    )
+    score = None
     if semantic:
-        score = T.cosine_similarity(F.col("vector"), F.col("skills_vector"))
-        out = out.when(score >= config.SEMANTIC_PARTIAL, told(F.lit("SEMANTIC_MATCH"), F.concat(F.lit("Something close in meaning to "), skill, F.lit(" is evidenced.")), None, None, score))
-    return out.otherwise(told(F.lit("NO_EVIDENCE"), F.concat(F.lit("Neither "), skill, F.lit(" nor a related skill is evidenced."))))
+        signal = signal.when(F.col("_meaning") >= config.SEMANTIC_PARTIAL, "SEMANTIC_MATCH")
+        score = F.when(skill.isNotNull() & hit.isNull(), F.col("_meaning"))
+    signal = signal.otherwise("NO_EVIDENCE")
+    text = (
+        F.when(skill.isNull(), F.coalesce(F.concat(F.lit("Not in the taxonomy; its text is part of "), hit, F.lit(".")), F.lit("Not in the taxonomy, and no skill contains its text.")))
+        .when(hit == skill, F.concat(skill, F.lit(" is evidenced directly.")))
+        .when(hit.isNotNull(), F.concat(skill, F.lit(" is not evidenced; "), hit, F.lit(" is ("), F.lower(F.translate(kind, "_", " ")), F.lit(").")))
+        .otherwise(F.concat(F.lit("Neither "), skill, F.lit(" nor a related skill is evidenced.")))
+    )
+    return _answer(skill_status(signal), signal, text, hit, None, score, proof)
 
 
-def evaluate_experience(reference_year: Column) -> Column:
-    years, target = years_of_experience(F.col("experiences"), F.col("normalized_value"), reference_year), F.col("minimum_years")
+def evaluate_experience() -> Column:
+    years, target = F.col("_years"), F.col("minimum_years")
     signal = (
         F.when(years.isNull(), "NO_EVIDENCE").when(target.isNull(), F.when(years > 0, "PARTIAL_MATCH").otherwise("NO_EVIDENCE"))
         .when(years >= target, "EXACT_MATCH").when(years > 0, "PARTIAL_MATCH").otherwise("NO_EVIDENCE")
@@ -231,19 +268,17 @@ def evaluate_experience(reference_year: Column) -> Column:
 
 
 def evaluate_seniority() -> Column:
-    level = peak_seniority(F.col("experiences"))
-    gap = T.rank(level, config.SENIORITY) - T.rank(F.col("normalized_value"), config.SENIORITY)
+    gap = F.col("_gap")
     status = F.when(gap.isNull(), "UNKNOWN").when(gap >= 0, "MET").when(gap == -1, "PARTIALLY_MET").otherwise("NOT_MET")
     signal = F.when(gap >= 0, "EXACT_MATCH").when(gap == -1, "PARTIAL_MATCH").otherwise("NO_EVIDENCE")
-    return _answer(status, signal, F.concat(F.lit("Shown "), level, F.lit(", asked for "), F.col("normalized_value"), F.lit(".")))
+    return _answer(status, signal, F.when(gap.isNull(), "Seniority cannot be compared.").when(gap >= 0, "Seniority as asked for, or above.").otherwise("Seniority below what is asked for."))
 
 
 def evaluate_education() -> Column:
-    level = highest_education(F.col("education"))
-    gap = T.rank(level, config.EDUCATION) - T.rank(F.col("normalized_value"), config.EDUCATION)
+    gap = F.col("_gap")
     status = F.when(gap.isNull(), "UNKNOWN").when(gap >= 0, "MET").otherwise("PARTIALLY_MET")
     signal = F.when(gap.isNull(), "NO_EVIDENCE").when(gap >= 0, "EXACT_MATCH").otherwise("PARTIAL_MATCH")
-    return _answer(status, signal, F.concat(F.lit("Shown "), level, F.lit(", asked for "), F.coalesce("normalized_value", F.lit("an unknown level")), F.lit(".")))
+    return _answer(status, signal, F.when(gap.isNull(), "Education cannot be compared.").when(gap >= 0, "Education as asked for, or above.").otherwise("Education below what is asked for."))
 
 
 def _collapsed(c: Column) -> Column:
@@ -252,47 +287,37 @@ def _collapsed(c: Column) -> Column:
 
 def evaluate_certification() -> Column:
     """First certification of the same name, else the first that contains the text or is contained."""
-    needle = _collapsed(F.col("raw_text"))
-    same = F.get(F.filter("certifications", lambda c: _collapsed(c["name"]) == needle), F.lit(0))
-    part = F.get(F.filter("certifications", lambda c: _collapsed(c["name"]).contains(needle) | needle.contains(_collapsed(c["name"]))), F.lit(0))
-    found = F.coalesce(same, part)
-    signal = F.when(same.isNotNull(), "EXACT_MATCH").when(part.isNotNull(), "PARTIAL_MATCH").otherwise("NO_EVIDENCE")
+    found = F.coalesce("_same", "_part")
+    signal = F.when(F.col("_same").isNotNull(), "EXACT_MATCH").when(F.col("_part").isNotNull(), "PARTIAL_MATCH").otherwise("NO_EVIDENCE")
     text = F.coalesce(F.concat(F.lit("Listed: "), found["name"], F.lit(".")), F.lit("No such certification; related skills do not count."))
     return _answer(skill_status(signal), signal, text, found["name"])
 
 
 def evaluate_language() -> Column:
-    wanted = parse_language_requirement(F.col("raw_text"))
-    held = F.get(F.filter("languages", lambda x: x["canonical_name"] == wanted["name"]), F.lit(0))
-    gap = T.rank(held["proficiency_normalized"], config.PROFICIENCY) - T.rank(wanted["level"], config.PROFICIENCY)
+    held = F.col("_held")
+    gap = held["level"] - F.col("level")
     signal = F.when(held.isNull(), "NO_EVIDENCE").when(gap >= 0, "EXACT_MATCH").otherwise("PARTIAL_MATCH")
     return _answer(skill_status(signal), signal, F.when(held.isNull(), "Language not listed.").when(gap.isNull(), "Listed without a known level.").when(gap >= 0, "Listed at the level or above.").otherwise("Listed below the level."))
 
 
 def best_lexical_match() -> Column:
-    """struct<overlap, label> of the experience whose words overlap most; the first on ties."""
+    """struct<overlap, place, label> of the experience whose words overlap most; the first on ties."""
     scored = F.transform("experiences", lambda e: F.struct(T.jaccard(F.col("tokens"), e["tokens"]).alias("overlap"), (-e["idx"]).alias("place"), e["label"].alias("label")))
     return F.array_max(F.filter(scored, lambda s: s["overlap"] > 0))
 
 
-def evaluate_responsibility(embed: Callable[[Column], Column] | None = None) -> Column:
-    best = best_lexical_match()
-    close = F.coalesce(best["overlap"] >= config.LEXICAL_OVERLAP, F.lit(False))
-    out = F.when(close, _answer(F.lit("PARTIALLY_MET"), F.lit("PARTIAL_MATCH"), F.concat(F.lit("Words overlap with "), best["label"], F.lit(".")), None, best["label"]))
-    if embed is not None:
-        scored = F.transform(
-            F.filter("experiences", lambda e: F.coalesce(e["description"], F.lit("")) != ""),
-            lambda e: F.struct(T.cosine_similarity(F.col("vector"), embed(e["description"])).alias("score"), (-e["idx"]).alias("place"), e["label"].alias("label")),
-        )
-        near = F.array_max(F.filter(scored, lambda s: s["score"] > 0))
+def evaluate_responsibility(semantic: bool = False) -> Column:
+    best = F.col("_best")
+    out = F.when(best["overlap"] >= config.LEXICAL_OVERLAP, _answer(F.lit("PARTIALLY_MET"), F.lit("PARTIAL_MATCH"), F.concat(F.lit("Words overlap with "), best["label"], F.lit(".")), None, best["label"]))
+    if semantic:
+        near = F.col("_near")
         out = out.when(near["score"] >= config.SEMANTIC_PARTIAL, _answer(F.lit("PARTIALLY_MET"), F.lit("SEMANTIC_MATCH"), F.concat(F.lit("Close in meaning to "), near["label"], F.lit(".")), None, near["label"], near["score"]))
     return out.otherwise(_answer(F.lit("NOT_MET"), F.lit("NO_EVIDENCE"), F.lit("No comparable experience found.")))
 
 
 def evaluate_domain() -> Column:
     """Met if a domain of the job is among the candidate's; named by the most frequent (ties by name)."""
-    shared = F.filter("domains", lambda d: F.array_contains(F.col("job_domains"), d["domain"]))
-    top = F.get(F.array_sort(F.transform(shared, lambda d: F.struct((-d["n"]).alias("n"), d["domain"].alias("domain")))), F.lit(0))["domain"]
+    top = F.col("_top")
     signal = F.when(top.isNotNull(), "EXACT_MATCH").otherwise("NO_EVIDENCE")
     text = F.coalesce(F.concat(F.lit("Skills fit the domain "), top, F.lit(".")), F.lit("Skills are of other domains."))
     return _answer(F.when(top.isNotNull(), "MET").otherwise("NOT_MET"), signal, text)
@@ -303,18 +328,19 @@ def evaluate_pairs(
 ) -> DataFrame:
     """candidate_id, job_id, eval_idx, dimension, requirement_type, priority, raw_text, status, match_signal,
     match_strength, score, confidence, matched_skill, source_label, evidence, explanation."""
-    year = F.lit(reference_year)
+    semantic = embed is not None
     rules = {
-        "skills": match_skill(embed is not None), "experience": evaluate_experience(year), "seniority": evaluate_seniority(),
-        "education": evaluate_education(), "certifications": evaluate_certification(), "languages": evaluate_language(),
-        "responsibilities": evaluate_responsibility(embed), "domain": evaluate_domain(),
+        "skills": match_skill(semantic), "experience": evaluate_experience(), "seniority": evaluate_seniority(), "education": evaluate_education(),
+        "certifications": evaluate_certification(), "languages": evaluate_language(), "responsibilities": evaluate_responsibility(semantic), "domain": evaluate_domain(),
     }
     verdict = F.lit(None)
     for name in dimensions:
         verdict = F.when(F.col("dimension") == name, rules[name]).otherwise(verdict)
     asked = demands.filter(F.col("dimension").isin(*dimensions)) if set(dimensions) != set(config.DIMENSIONS) else demands
     met = pairs.join(asked, "job_id").join(facts, "candidate_id", "left")
-    judged = met.select("candidate_id", "job_id", "dim_rank", "idx", "dimension", "requirement_type", "priority", "raw_text", verdict.alias("v"))
+    found = met.select("*", *[c.alias(name) for name, c in _findings(F.lit(reference_year), embed)])
+    found = found.withColumn("_proof", F.when(F.col("dimension") == "skills", F.try_element_at("skill_map", F.col("_hit"))))
+    judged = found.select("candidate_id", "job_id", "dim_rank", "idx", "dimension", "requirement_type", "priority", "raw_text", verdict.alias("v"))
     strength = signal_strength(F.col("v.match_signal"), F.col("v.semantic_score"))
     place = F.row_number().over(Window.partitionBy("candidate_id", "job_id").orderBy("dim_rank", "idx")) - 1
     return judged.select(

@@ -6,6 +6,8 @@ same rows, and an oracle implements the operator alone.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,17 @@ TABLES = {
         case when l_returnflag = 'R' then 'COMPLETED' else 'PROCESSING' end as status, l_shipdate as created_at from lineitem where l_linenumber > 2""",
 }
 
+def _closure(names: list[str]) -> list[str]:
+    """``names`` and the model tables that they build on, in order of definition."""
+    need, todo = set(), list(names)
+    while todo:
+        name = todo.pop()
+        if name not in need:
+            need.add(name)
+            todo += [x for x in TABLES if x != name and re.search(rf"\b(?:from|join) {x}\b", TABLES[name])]
+    return [x for x in TABLES if x in need]
+
+
 CTES = "with " + ",\n".join(f"{name} as (\n{sql}\n)" for name, sql in TABLES.items())
 
 
@@ -94,18 +107,29 @@ class Model:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        for name in BASE:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        self.base: set[str] = set()
+        self.tables: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("__"):
+            raise AttributeError(name)
         if name in TABLES:
-            return self.sql(f"select * from {name}")
+            if name not in self.tables:
+                self.tables[name] = self.sql(f"select * from {name}")
+            return self.tables[name]
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         raise AttributeError(name)
 
     def sql(self, query: str) -> DataFrame:
-        return self.spark.sql(f"{CTES}\n{query}")
+        used = _closure([x for x in TABLES if re.search(rf"\b(?:from|join) {x}\b", query)])
+        parts = [f"{x} as (\n{TABLES[x]}\n)" for x in used]
+        text = ("with " + ",\n".join(parts) + "\n" if parts else "") + query
+        for name in BASE:
+            if name not in self.base and re.search(rf"\b(?:from|join) {name}\b", text):
+                self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+                self.base.add(name)
+        return self.spark.sql(text)
 
     def with_technologies(self) -> DataFrame:
         """Experiences with their technologies as an array."""
