@@ -317,7 +317,9 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     excerpts = stored(_excerpts(rows, several.groupBy("_row").agg(F.collect_list("x").alias("cuts")), length), "excerpts")
     solved = stored(_gathered(excerpts, length).unionByName(_counted(excerpts)), "solved-clusters")
     known = live.join(solved, ["m", "c"], "left").select("m", "c", "n", "rep", "runs", "firsts")
-    known = known.filter((F.col("n") > 1) | (F.size("runs") > 0))
+    # Stored, so that both sides of the next join come from a shuffle and Spark
+    # can split a cluster that very many rows share.
+    known = stored(known.filter((F.col("n") > 1) | (F.size("runs") > 0)), "known-clusters")
     whole = F.array(F.array(F.lit(0), F.col("b") - F.col("a")))
     placed = marks.join(known, ["m", "c"])
     drop = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))
