@@ -1,6 +1,6 @@
 """Registered queries over the test tables, with their SQL twins."""
 
-from . import matching_queries  # noqa: F401  (registers its queries)
+from . import document_queries, matching_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
