@@ -257,4 +257,22 @@ def parse_proposal(response: Column) -> Column:
     return F.coalesce(F.get_json_object(response, "$.proposed_text"), F.when(response.rlike(r'(?s)"proposed_text"\s*:\s*"((?:[^"\\]|\\.)*)"'), plain))
 
 
+def exact_round(x: Column, digits: int = 4) -> Column:
+    """Half-even rounding of the exact binary value (``bround`` goes by the shortest decimal form).
+
+    ``x`` should be a plain column, as it is used several times. The product
+    with the power of ten is split in two parts without error, so that true
+    ties are told from near ones.
+    """
+    scale = float(10**digits)
+    wide = x * float((1 << 27) + 1)
+    high = wide - (wide - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    down = F.floor(product).cast("double")
+    over = (product - down - 0.5) + error
+    up = (over > 0) | ((over == 0) & (down % 2 != 0))
+    return F.when(up, down + 1).otherwise(down) / scale
+
+
 Embedder = Callable[[list[str]], list[list[float]]]

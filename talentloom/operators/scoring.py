@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import text as T
 
 PAIR = ("candidate_id", "job_id")
 OPEN = ("NOT_MET", "PARTIALLY_MET", "UNKNOWN")
@@ -50,9 +51,14 @@ def score_breakdown(evals: DataFrame, weights: dict[str, float] = config.WEIGHTS
         weight = weight + F.when(F.col(f"_{d}").isNotNull(), weights[d]).otherwise(0.0)
     penalty = F.least(F.lit(config.GAP_PENALTY_CAP), F.col("mandatory_gaps") * config.GAP_PENALTY)
     raw = F.greatest(F.lit(0.0), F.coalesce(total / F.nullif(weight, F.lit(0.0)), F.lit(0.0)) - penalty)
-    return sums.select(
-        *keys, F.bround(raw, 4).alias("overall"), *[F.bround(F.coalesce(F.col(f"_{d}"), F.lit(0.0)), 4).alias(d) for d in config.DIMENSIONS],
-        *[f"n_{d}" for d in config.DIMENSIONS], "mandatory_gaps", F.bround(penalty, 4).alias("mandatory_gap_penalty"),
+    shown = sums.select(
+        *keys, raw.alias("_raw"), penalty.alias("_penalty"), *[F.coalesce(F.col(f"_{d}"), F.lit(0.0)).alias(f"_{d}") for d in config.DIMENSIONS],
+        *[f"n_{d}" for d in config.DIMENSIONS], "mandatory_gaps",
+    )
+    exact = lambda c, name: T.exact_round(F.col(c)).alias(name)
+    return shown.select(
+        *keys, exact("_raw", "overall"), *[exact(f"_{d}", d) for d in config.DIMENSIONS], *[f"n_{d}" for d in config.DIMENSIONS],
+        "mandatory_gaps", exact("_penalty", "mandatory_gap_penalty"),
     )
 
 

@@ -383,7 +383,7 @@ def embedding_upserts(m: Model) -> DataFrame:
 _GONE = "(replace(replace(candidate_document_id, 'cv', ''), 'job', '')::int % 5 = 0 or replace(job_document_id, 'job', '')::int % 5 = 0)"
 
 
-@query("document_deletion", f"""select 'analyses' as name, count(*) as n from analyses where not {_GONE} union all select 'plans', count(*) from plans p where not exists (select 1 from analyses a where a.analysis_id = p.analysis_id and {_GONE})
+@query("document_deletion", f"""select 'analyses' as name, count(*) as n from analyses where analysis_id not in (select analysis_id from analyses where {_GONE}) union all select 'plans', count(*) from plans p where not exists (select 1 from analyses a where a.analysis_id = p.analysis_id and {_GONE})
   union all select 'documents', count(*) from stored_documents where regexp_replace(document_id, '[a-z]+', '')::int % 5 <> 0""")
 def document_deletion(m: Model) -> DataFrame:
     docs = m.stored_documents

@@ -61,12 +61,12 @@ def dedupe_uploads(new: DataFrame, existing: DataFrame) -> DataFrame:
     The same (hash, type, owner), null owner equal to null owner, reuses the
     stored document, or else the first of the batch.
     """
-    keys = list(IDENTITY)
-    same = lambda a, b: a[keys[0]].eqNullSafe(b[keys[0]]) & a[keys[1]].eqNullSafe(b[keys[1]]) & a[keys[2]].eqNullSafe(b[keys[2]])
-    old = existing.groupBy(*keys).agg(F.min(F.struct("document_id", "status")).alias("_old"))
-    first = new.groupBy(*keys).agg(F.min("document_id").alias("_first"))
-    told = new.join(old, same(new, old), "left").drop(*[old[k] for k in keys])
-    told = told.join(first, same(told, first), "left").drop(*[first[k] for k in keys])
+    keyed = lambda df, mark: df.select(*[F.col(k).alias(f"_{mark}{i}") for i, k in enumerate(IDENTITY)], "*")
+    same = lambda mark: [F.col(k).eqNullSafe(F.col(f"_{mark}{i}")) for i, k in enumerate(IDENTITY)]
+    names = lambda mark: [f"_{mark}{i}" for i in range(len(IDENTITY))]
+    old = keyed(existing, "o").groupBy(*names("o")).agg(F.min(F.struct("document_id", "status")).alias("_old"))
+    first = keyed(new, "f").groupBy(*names("f")).agg(F.min("document_id").alias("_first"))
+    told = new.join(old, same("o"), "left").join(first, same("f"), "left")
     is_new = F.col("_old").isNull() & (F.col("document_id") == F.col("_first"))
     waiting = F.col("_old.status").isin("UPLOADED", "FAILED")
     return told.select(
