@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import stored, table
+from talentloom.llm.common import renamed, stored, table
 from talentloom.llm.mixing import mixed_documents
 from talentloom.llm.packing import pack_documents
 from talentloom.llm.pii import redact
@@ -33,7 +33,9 @@ def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, keep=tuple(docs.columns)).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    plain, names = renamed(docs)
+    kept = model.score(plain, names["text"], tuple(plain.columns)).filter(F.col("score") < THRESHOLD)
+    return kept.select(*[F.col(new).alias(old) for old, new in names.items()])
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,9 @@ def words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of ``text`` as a long (null: 0)."""
     return F.size(words(text)).cast("long")
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under neutral column names, so that no name of its own can clash, and old name -> new name."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

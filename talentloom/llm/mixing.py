@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count, words
+from .common import renamed, stored, word_count, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -108,11 +108,13 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
 
     A cut copy holds the first words of its text, joined by single spaces.
     """
-    mix = mix_sources(df, key, source, text, keep=tuple(df.columns), narrow=False)
+    plain, names = renamed(df)
+    key, source, text = names[key], names[source], names[text]
+    mix = mix_sources(plain, key, source, text, keep=tuple(plain.columns), narrow=False)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.when(whole > 0, F.array_repeat(F.lit(0), whole)).otherwise(F.array().cast("array<int>"))
     copies = F.concat(copies, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     cut = F.when(F.col("_n") > 0, F.array_join(F.slice(words(F.col(text)), F.lit(1), F.greatest(F.col("_n"), F.lit(1))), " ")).otherwise(F.col(text))
     spread = mix.withColumn("_n", F.explode(copies))
-    return spread.select(*[cut.alias(c) if c == text else F.col(c) for c in df.columns])
+    return spread.select(*[(cut if new == text else F.col(new)).alias(old) for old, new in names.items()])

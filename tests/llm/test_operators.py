@@ -1,0 +1,352 @@
+"""Each operator on awkward tables, and against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from talentloom.llm import html_text, packing, pii, search, simhash, suffix_dedup, tokens
+from talentloom.llm.mixing import mix_sources, mixed_documents
+from talentloom.llm.quality import filter_quality
+from talentloom.llm.tokenizing import Vocabulary
+from talentloom.llm.toxicity import score_toxicity, train
+
+BYTE = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), drops_case=False)
+WORD = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), drops_case=True)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, spans string"
+
+
+def _words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(["th", "er", "on", "an", "re", "ng"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+LONG = _words(1, 9000)
+PASSAGE = _words(2, 120)
+ROWS = [
+    (1, "The cat and the dog are in the house of the man, with a hat. " * 3, "en", "b", 5, "x", "y", "z"),
+    (2, None, None, None, None, None, None, None),
+    (3, "", "en", "a", 0, "x", "y", "z"),
+    (4, LONG, "en", "a", 9, "x", "y", "z"),
+    (5, LONG, "en", "a", 9, "x", "y", "z"),
+    (6, "Start of it. " + PASSAGE + " end of it. Ünïcödé İstanbul J̌ a\tb c d  e\n\n f <|endoftext|>", "en", "a", 9, "x", "y", "z"),
+    (7, "Other words. " + PASSAGE, "fr", "c", 9, "x", "y", "z"),
+    (8, "mail a.b@c.de and +1 (234) 555-6789, 4111 1111 1111 1111 at 10.0.0.1 password=ab12cd34ef56ab78 x", "en", None, 9, "x", "y", "z"),
+    (8, "mail a.b@c.de and +1 (234) 555-6789, 4111 1111 1111 1111 at 10.0.0.1 password=ab12cd34ef56ab78 x", "en", None, 9, "x", "y", "z"),
+    (None, "no id here", "en", "b", 9, "x", "y", "z"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_quality(docs, nothing):
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in filter_quality(docs).collect()))
+    want = []
+    for i, text, *_ in ROWS:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        want.append((i or 0, len(w), len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)))
+    assert [g[:4] for g in got] == sorted(want)
+    assert not any(g[4] for g in got if g[3])
+    assert filter_quality(nothing).count() == 0
+
+
+def test_quality_keeps_prose_and_drops_junk(spark):
+    prose = "The story of the day is that a man in the town was with a dog and it ran to the sea for fun, and on it went."
+    rows = [(1, prose), (2, " ".join(w + "###" for w in prose.split())), (3, "\n".join([prose] * 4))]
+    got = {r.doc_id: r.kept for r in filter_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def _encoded(vocabulary, end):
+    t = Tokenizer.from_file(vocabulary.path)
+    return [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x, *_ in ROWS]
+
+
+def _crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_blocks_round_trip(docs, nothing):
+    blocks = tokens.write_token_blocks(docs, BYTE, 2)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in tokens.read_token_ids(blocks).collect()) == Counter((i, tuple(x)) for i, x in _encoded(BYTE, 2))
+    got = sorted(tokens.read_token_digests(blocks).collect(), key=lambda r: r.start)
+    assert [r.doc_id or -1 for r in got] == sorted(i or -1 for i, *_ in ROWS)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)]).tolist()[:-1]
+    assert Counter(r.ids_crc32 for r in got) == Counter(_crc(x) for _, x in _encoded(BYTE, 2))
+    assert tokens.read_token_digests(tokens.write_token_blocks(nothing, BYTE, 2)).count() == 0
+
+
+def test_block_coding_with_wide_ranks():
+    ids = np.random.default_rng(3).integers(0, 70_000, 200_000).astype(np.uint32)
+    back, counts = tokens.unpack_block(tokens.pack_block(ids, np.array([150_000, 0, 50_000])))
+    assert (back == ids).all() and counts.tolist() == [150_000, 0, 50_000]
+
+
+def test_packing(docs, nothing):
+    want = Counter()
+    for i, ids in _encoded(WORD, 1):
+        want.update((i, k // 4096, k, len(ids[k : k + 4096]), _crc(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    rows = packing.pack_documents(docs, WORD, 1).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for spots in bins.values():
+        at = 0
+        for offset, length in sorted(spots):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert packing.pack_documents(nothing, WORD, 1).count() == 0
+
+
+def test_best_fit_is_bounded_and_fills():
+    r = random.Random(4)
+    sizes = [r.randint(1, 1500) for _ in range(20_000)]
+    bins = packing.BestFit(4096, 256)
+    used = Counter()
+    for n in sizes:
+        used[bins.place(n)[0]] += n
+        assert bins.open <= 256
+    assert max(used.values()) <= 4096
+    assert len(used) <= 1.02 * sum(sizes) / 4096 + 1
+
+
+def test_pii_base_rules(docs, nothing):
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert (rows[8].n_email, rows[8].n_ip, rows[8].n_card, rows[8].n_phone) == (1, 1, 1, 1)
+    text = ROWS[7][1]
+    base = [s for s in rows[8].spans.split(",") if s.split(":")[0] in pii.BASE_KINDS]
+    assert hashlib.sha256(",".join(base).encode()).hexdigest() == rows[8].base_sha256
+    assert [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in base] == ["a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "+1 (234) 555-6789"]
+    assert rows[2].spans == rows[3].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find_pii(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a@b.c@d.e", "@b.c@d.e", "x.@y.z a..b@c-d.e.f, q@r", "é@a.b x%+@1.2.3", "a" * 9000 + "@b.cd", "aé.b@c.d" * 3])
+def test_addresses_as_the_pattern_finds_them(text):
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(a, b) for k, a, b in pii.base_spans(text) if k == 0] == want
+
+
+def test_weak_supervision_learns_secrets():
+    seen = [("email|+.....|6", 500), ("secret|++.+++|4", 50), ("secret|-.--..|5", 40), ("local_phone|-.-.-.|3", 80)]
+    chance = pii.span_classifier(seen)
+    assert chance["secret|++.+++|4"] > 0.5 > max(chance["secret|-.--..|5"], chance["local_phone|-.-.-.|3"])
+    assert pii.span_classifier([]) == {}
+
+
+def test_redaction_keeps_columns(docs):
+    out = {r.doc_id: r for r in pii.redact(docs.filter("doc_id = 8 or doc_id = 3")).collect()}
+    assert out[8].text.startswith("mail <email> and <phone>, <card> at <ip>") and out[8].spans == "z" and out[3].text == ""
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><nav><ul><li><a href="/a">Home</a></li></ul></nav>
+<div class="ad">Buy this now.</div><article><h1>A &amp; B</h1><p>First  para<b>graph</b>&copy;<br>line<p>One.<div class="comments"><p>I like it, it is the best of all</p></div></article>
+<div id="cookie-notice">We use cookies.</div><footer>foot</footer>"""
+
+
+def test_html(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>Cut off <b"), (1, "u", PAGE)]
+    got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    text = "A & B\nFirst paragraph© line\nOne."
+    assert sorted(got) == sorted([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "Cut off", 7)])
+
+
+def test_html_without_article():
+    body = "<div><p>The story of the day is that a man of the town was in the house with a dog and it was on the news for this.</p><p>Short one.</p></div>"
+    page = f"<ul class='menu'><li><a>Home</a></li></ul>{body}<div class='sidebar'>The side of it and the other of it in this</div>"
+    assert html_text.main_text(page).endswith("Short one.") and "Home" not in html_text.main_text(page) and "side of it" not in html_text.main_text(page)
+    assert html_text.second_pass([-1, 1, -1, -1, 0, -1]) == [1, 1, 1, 0, 0, 0]
+    assert html_text.second_pass([-1, -1]) == [1, 1]
+
+
+def _toxic_rows():
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        words = _words(100 + i, 60).split()
+        if bad:
+            for k in (5, 20, 40):
+                words[k] = r.choice(["zorkle", "zorkling", "idiot"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity(spark, docs, nothing):
+    rows, labels = _toxic_rows()
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = score_toxicity(df, marks.unionByName(spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))).collect()
+    truth = dict(labels)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    model = train(df, marks)
+    assert model.score(docs).count() == len(ROWS) and model.score(nothing).count() == 0
+    none = score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(none) == len(ROWS) and all(r.score == 0 and r.predicted == 0 for r in none)
+
+
+def test_mixing(docs, nothing):
+    rows = mix_sources(docs).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r["size"] for r in by_source[s]) for s in order}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free = {}, set(order)
+    while True:
+        rest = sum(size.values()) - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] >= 3 * size[s]}
+        if not full:
+            break
+        target |= {s: 3 * size[s] for s in full}
+        free -= full
+        if not free:
+            break
+    target |= share if free else {}
+    for s in order:
+        assert by_source[s][0].target == pytest.approx(target[s])
+        assert abs(sum(r.taken for r in by_source[s]) - target[s]) <= 0.5
+        assert all(0 <= r.taken <= 3 * r["size"] for r in by_source[s])
+    again = mix_sources(docs).collect()
+    assert Counter((r.doc_id, r["size"], r.taken) for r in rows) == Counter((r.doc_id, r["size"], r.taken) for r in again)
+    assert mix_sources(nothing).count() == 0
+
+
+def test_mixed_documents_hold_the_words(docs):
+    taken = sum(r.taken for r in mix_sources(docs).collect())
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in out.collect()) == taken
+
+
+@pytest.mark.parametrize("rows", [700, 9000])
+def test_search_against_brute_force(spark, rows):
+    r = np.random.default_rng(6)
+    data = r.normal(size=(rows, 16)).astype(np.float32)
+    data[::7] = data[0]  # one common vector
+    vectors = [(i, v.tolist()) for i, v in enumerate(data)]
+    odd = [(rows, None), (rows + 1, [float("nan")] * 16), (rows + 2, [1.0, None]), (None, [1.0] * 16), (rows + 3, [])]
+    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") % 50 == 0).collect()}
+    q = np.floor(256 * data.astype(np.float64))
+    want = {}
+    for i in range(0, rows, 50):
+        s = q @ q[i]
+        best = [k for k in np.lexsort((np.arange(rows), -s)) if k != i][:5]
+        want |= {(i, n + 1): (int(k), int(s[k])) for n, k in enumerate(best)}
+    assert got == want
+    assert search.top_products(df.filter(F.lit(False)), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def _removed(rows, length, keep):
+    seen = defaultdict(list)
+    for n, (_, text, *_) in enumerate(rows):
+        body = (text or "").encode()
+        for k in range(len(body) - length + 1):
+            seen[body[k : k + length]].append((n, k))
+    out = []
+    for n, (i, text, *_) in enumerate(rows):
+        body = (text or "").encode()
+        mask = np.zeros(len(body), bool)
+        for k in range(len(body) - length + 1):
+            spots = seen[body[k : k + length]]
+            if len(spots) > 1 and (keep == "none" or spots[0] != (n, k)):
+                mask[k : k + length] = True
+        out.append((i, len(body), int(mask.sum()), hashlib.sha256(bytes(np.frombuffer(body, np.uint8)[~mask])).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats(spark, monkeypatch, hot, keep):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    shared = [_words(k, 90) for k in range(3)]
+    rows = [(i, _words(50 + i, 30) + shared[i % 3] + _words(80 + i, 40) + shared[(i + 1) % 3][: 300 + 40 * i]) for i in range(9)]
+    rows += [(20, "ab" * 700), (21, (_words(9, 20) + " ") * 12), (22, None), (23, ""), (24, rows[0][1]), (25, "x" * 399)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, keep=keep).collect()]
+    assert sorted(got) == sorted(_removed(rows, 400, keep))
+
+
+def test_repeats_on_awkward_rows(docs, nothing):
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == Counter(_removed(ROWS, 400, "none"))
+    assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_longest_previous_factors():
+    data = np.frombuffer(b"abcdefghijklabcdefghijklm" * 2, np.uint8)
+    at = np.arange(len(data) - 12 + 1)
+    classes = suffix_dedup.suffix_classes(data, at, 12)
+    pieces = [bytes(data[k : k + 12]) for k in at]
+    order = sorted(set(pieces))
+    assert [order.index(p) for p in pieces] == classes.tolist()
+    earlier, later = suffix_dedup.earlier_and_later(classes, at)
+    assert [p in pieces[:k] for k, p in enumerate(pieces)] == earlier.tolist()
+    assert [p in pieces[k + 1 :] for k, p in enumerate(pieces)] == later.tolist()
+
+
+def _brute_components(rows):
+    marks = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        shingles = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        ones = [sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in shingles) for b in range(64)]
+        marks.append(sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles)) if shingles else 0)
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (marks[a] ^ marks[b]).bit_count() <= 2:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return marks, group
+
+
+@pytest.mark.parametrize("tile", [512, 4])
+def test_simhash(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    base = _words(11, 400).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in range(i % 6):
+            w[(37 * i + 11 * k) % 400] = "changed"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, _words(200 + i, 30)) for i in range(20)] + [(200, None), (201, " \n"), (202, "Two Words"), (203, "two words"), (203, "two words")]
+    marks, group = _brute_components(rows)
+    least = {g: min(i for (i, _), x in zip(rows, group, strict=True) if x == g) for g in set(group)}
+    want = Counter((i, f"{m:016x}", least[g]) for (i, _), m, g in zip(rows, marks, group, strict=True))
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda m, r: links(m, r, tile))
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
+def test_simhash_on_awkward_rows(docs, nothing):
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
+    assert len(got) == len(ROWS) and (5, 4) in got and (3, 2) in got
+    assert simhash.near_duplicates(nothing).count() == 0
