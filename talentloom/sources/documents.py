@@ -120,7 +120,7 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     entity. What belongs to the other side of an analysis stays.
     """
     gone = ids.select("document_id").distinct()
-    drop = lambda df, column, keys, name: df.join(keys.select(F.col(name).alias(column)), column, "left_anti")
+    drop = lambda df, column, keys, name: df.join(keys.select(F.col(name).alias(column)), column, "left_anti").select(*df.columns)
     out = {}
     analyses = tables.get("analyses")
     dead = plans = None
