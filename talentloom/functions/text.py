@@ -21,6 +21,11 @@ _FOLD = {a: b for a, b in zip(
 )}
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, also where ``then`` uses it in a lambda."""
+    return F.transform(F.array(value), then)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

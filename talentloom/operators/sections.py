@@ -36,27 +36,34 @@ def _alias_table(headings: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
 
 def section_heading(c: Column, headings: dict[str, tuple[str, ...]] = config.HEADINGS) -> Column:
     """Section type of a heading: exact alias, else the longest alias inside it, else OTHER."""
-    clean = T.clean_heading(c)
-    table = _alias_table(headings)
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(k).alias("k")) for a, k in table])
-    inside = F.get(F.filter(rows, lambda r: clean.contains(r["a"])), F.lit(0))["k"]
-    return F.coalesce(T.lookup(clean, dict(table)), inside, F.lit("OTHER"))
+    return T.let(T.clean_heading(c), lambda clean: _heading_type(clean, headings))
+
+
+def _heading_type(clean: Column, headings: dict[str, tuple[str, ...]]) -> Column:
+    out = F.lit("OTHER")
+    for alias, kind in reversed(_alias_table(headings)):
+        out = F.when(clean.contains(alias), kind).otherwise(out)
+    return F.coalesce(T.lookup(clean, dict(_alias_table(headings))), out)
 
 
 def heading_score(line: Column, typical: Column, headings: dict[str, tuple[str, ...]] = config.HEADINGS) -> Column:
     """Sum of weak signals that a line is a heading, at most 1; ``line`` is a LINE struct."""
-    parts = config.HEADING_PARTS
     bare = T.strip(line["text"])
-    clean = T.clean_heading(bare)
+    out = (bare == "") | (F.length(bare) > config.HEADING_LENGTH) | bare.rlike("[.,;]$")
+    scored = T.let(F.struct(bare.alias("bare"), T.clean_heading(bare).alias("clean")), lambda x: _signals(x["bare"], x["clean"], line, typical, headings))
+    return F.when(out, 0.0).otherwise(scored)
+
+
+def _signals(bare: Column, clean: Column, line: Column, typical: Column, headings: dict[str, tuple[str, ...]]) -> Column:
+    parts = config.HEADING_PARTS
     aliases = [a for a, _ in _alias_table(headings)]
     caps = (bare == F.upper(bare)) & (bare != F.lower(bare)) & (F.length(bare) >= 5) & (F.size(F.split(bare, r"(?U)\s+")) <= 6)
     large = (line["font_size"] > 0) & (typical > 0) & (line["font_size"] >= typical * config.FONT_RATIO)
     few = F.size(F.split(clean, " ")) <= 3
     when = lambda test, part: F.when(F.coalesce(test, F.lit(False)), parts[part]).otherwise(0.0)
     total = when(line["is_heading_style"], "style") + when(clean.isin(aliases), "alias") + when(caps, "caps") + when(large, "font")
-    total = total + when(line["is_bold"], "bold") + F.when(few, when(section_heading(bare, headings) != "OTHER", "contains")).otherwise(0.0)
-    out = (bare == "") | (F.length(bare) > config.HEADING_LENGTH) | bare.rlike("[.,;]$")
-    return F.when(out, 0.0).otherwise(F.least(total, F.lit(1.0)))
+    total = total + when(line["is_bold"], "bold") + F.when(few, when(_heading_type(clean, headings) != "OTHER", "contains")).otherwise(0.0)
+    return F.least(total, F.lit(1.0))
 
 
 def line_arrays(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:

@@ -192,11 +192,11 @@ def hash_embeddings(m: Model) -> DataFrame:
 
 
 @query("lexical_overlap", f""", t as (select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 and x not in ({_LIST(config.OVERLAP_STOP)}))) as t from documents)
-  select a.doc_id, round(case when len(a.t) = 0 or len(b.t) = 0 then 0.0 else len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) end, 6) as overlap from t a join t b on b.doc_id = a.doc_id + 1""")
+  select a.doc_id, case when len(a.t) = 0 or len(b.t) = 0 then 0.0 else len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) end as overlap from t a join t b on b.doc_id = a.doc_id + 1""")
 def lexical_overlap(m: Model) -> DataFrame:
     rows = _docs(m).select(F.col("document_id").alias("doc_id"), T.overlap_tokens(F.col("raw_text")).alias("a"))
     nxt = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return rows.join(nxt, "doc_id").select("doc_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
+    return rows.join(nxt, "doc_id").select("doc_id", T.jaccard(F.col("a"), F.col("b")).alias("overlap"))
 
 
 # --- job extraction --------------------------------------------------------------
