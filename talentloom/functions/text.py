@@ -128,19 +128,24 @@ def normalize_language_name(c: Column) -> Column:
 def detect_language(c: Column) -> Column:
     """struct<language, confidence, secondary_language>: FR, EN or UNKNOWN."""
     text = F.coalesce(c, F.lit(""))
-    tokens = F.regexp_extract_all(text, F.lit("[a-zA-ZÀ-ÿ']+"), F.lit(0))
-    hits = lambda known: F.size(F.filter(tokens, lambda w: F.lower(w).isin(known)))
+    hits = lambda tokens, known: F.size(F.filter(tokens, lambda w: F.lower(w).isin(known)))
     marks = config.FR_DIACRITICS + config.FR_DIACRITICS.upper()
-    diacritics = F.length(text) - F.length(F.translate(text, marks, ""))
-    fr = hits(config.FR_WORDS) + diacritics * config.DIACRITIC_WEIGHT + F.regexp_count(text, F.lit(r"(?iuU)\b[ldjmnstc]['’]|qu['’]")) * config.MARKER_WEIGHT
-    en = hits(config.EN_WORDS) + F.regexp_count(text, F.lit(r"(?iuU)\b\w+['’](?:s|t|re|ve|ll|d|m)\b")) * config.MARKER_WEIGHT
-    top, low = F.greatest(fr, en), F.least(fr, en)
-    share = F.bround(top / F.nullif(fr + en, F.lit(0.0)), 4)
-    told = (F.size(tokens) >= config.MIN_SIGNAL_WORDS) & (fr + en > 0)
-    main = F.when(fr >= en, F.lit("FR")).otherwise("EN")
-    other = F.when((low > 0) & (share < config.BILINGUAL), F.when(fr >= en, F.lit("EN")).otherwise("FR"))
+    diacritics = (F.length(text) - F.length(F.translate(text, marks, ""))) * config.DIACRITIC_WEIGHT
+    fr_marks = F.regexp_count(text, F.lit(r"(?iuU)\b[ldjmnstc]['’]|qu['’]")) * config.MARKER_WEIGHT
+    en_marks = F.regexp_count(text, F.lit(r"(?iuU)\b\w+['’](?:s|t|re|ve|ll|d|m)\b")) * config.MARKER_WEIGHT
+    counted = let(
+        F.regexp_extract_all(text, F.lit("[a-zA-ZÀ-ÿ']+"), F.lit(0)),
+        lambda t: F.struct(F.size(t).alias("n"), (hits(t, config.FR_WORDS) + diacritics + fr_marks).alias("fr"), (hits(t, config.EN_WORDS) + en_marks).alias("en")),
+    )
+    return let(counted, lambda s: _language_of(s["n"], s["fr"], s["en"]))
+
+
+def _language_of(n: Column, fr: Column, en: Column) -> Column:
+    share = F.bround(F.greatest(fr, en) / F.nullif(fr + en, F.lit(0.0)), 4)
+    told = (n >= config.MIN_SIGNAL_WORDS) & (fr + en > 0)
+    other = F.when((F.least(fr, en) > 0) & (share < config.BILINGUAL), F.when(fr >= en, F.lit("EN")).otherwise("FR"))
     return F.struct(
-        F.when(told, main).otherwise("UNKNOWN").alias("language"),
+        F.when(told, F.when(fr >= en, "FR").otherwise("EN")).otherwise("UNKNOWN").alias("language"),
         F.when(told, share).otherwise(0.0).alias("confidence"),
         F.when(told, other).alias("secondary_language"),
     )
