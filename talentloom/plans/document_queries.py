@@ -58,16 +58,18 @@ def document_language(m: Model) -> DataFrame:
     return _docs(m).select(F.col("document_id").alias("doc_id"), found.alias("l")).select("doc_id", "l.*")
 
 
-@query("line_counts", "select doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_filled from documents")
+@query("line_counts", "select doc_id, len(string_split(regexp_replace(text, '\n$', ''), chr(10))) as n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_filled from documents")
 def line_counts(m: Model) -> DataFrame:
     lines = sections.explode_lines(_docs(m))
     return lines.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.count_if(F.trim("text") != "").alias("n_filled"))
 
 
-@query("clean_headings", r"""select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(trim(substr(text, 1, 60)))), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g')) as heading from documents where not contains(text, 'ß') and not contains(text, 'œ')""")
+@query("clean_headings", r"""select doc_id, (i - 1)::int as line_no, trim(regexp_replace(regexp_replace(lower(strip_accents(translate(lines[i], 'ßœŒ', '   '))), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g')) as heading
+  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as lines from documents where text <> '') t) u""")
 def clean_headings(m: Model) -> DataFrame:
-    plain = _docs(m).filter(~F.col("raw_text").contains("ß") & ~F.col("raw_text").contains("œ"))
-    return plain.select(F.col("document_id").alias("doc_id"), T.clean_heading(F.substring("raw_text", 1, 60)).alias("heading"))
+    """Every line of every text as a heading would be compared."""
+    lines = sections.explode_lines(_docs(m))
+    return lines.select(F.col("document_id").alias("doc_id"), "line_no", T.clean_heading(F.col("text")).alias("heading"))
 
 
 @query("document_sections")
@@ -212,12 +214,13 @@ def job_profiles(m: Model) -> DataFrame:
   select cast(p_partkey as string) as document_id, 0 as idx, 'REQUIRED_SKILL' as requirement_type, 'REQUIRED' as importance, concat('Good knowledge of Skill', p_partkey % {N_SKILLS}) as raw_text, concat('Skill', p_partkey % {N_SKILLS}) as canonical_name, null::int as minimum_years, null as normalized_value from part
   union all select cast(p_partkey as string), 1, 'EXPERIENCE', 'REQUIRED', concat(p_partkey % 8, '+ years of work'), null, (p_partkey % 8)::int, null from part
   union all select cast(p_partkey as string), 2, 'EDUCATION', 'PREFERRED', 'A master degree', null, null, 'MASTER' from part
-  union all select cast(p_partkey as string), 3, 'PREFERRED_SKILL', 'PREFERRED', concat('Skill', (p_partkey + 5) % {N_SKILLS}), concat('Skill', (p_partkey + 5) % {N_SKILLS}), null, null from part)""")
+  union all select cast(p_partkey as string), 3, 'PREFERRED_SKILL', 'PREFERRED', concat('Skill', (p_partkey + 5) % {N_SKILLS}), concat('Skill', (p_partkey + 5) % {N_SKILLS}), null, null from part
+  union all select cast(p_partkey as string), 4, 'OTHER', 'REQUIRED', 'Patience', null, null, null from part)""")
 def job_requirements(m: Model) -> DataFrame:
     """"Must have:" is a heading of its own and starts a second requirements section."""
     known = forms(m)
     out = enrich.enrich_requirements(job.extract_requirements(sections.detect_sections(job_offers(m)), known, m.skills), known)
-    return out.filter("raw_text <> 'Patience'").select("document_id", "idx", "requirement_type", "importance", "raw_text", "canonical_name", "minimum_years", "normalized_value")
+    return out.select("document_id", "idx", "requirement_type", "importance", "raw_text", "canonical_name", "minimum_years", "normalized_value")
 
 
 # --- claims and tailoring --------------------------------------------------------
