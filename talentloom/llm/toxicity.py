@@ -1,9 +1,11 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated.
 
 Labelled rows outside the held-out third are sampled up to a documented bound
-and split by hash in three: the first part gives the lexicon (word stems that
-toxic texts hold and clean ones do not), the second trains the trees, the third
-fits the isotonic calibration. Features are built-in expressions over the
+and dealt into folds by their family: the smallest hash of their word triples, which
+near copies mostly share, so that these stay together and count once. The lexicon (word stems that toxic texts hold and clean ones do not) is cross-fitted:
+a row's features for training come from the lexicon of the other folds, while
+scoring uses the lexicon of all. A quarter of the rows, again by hash, fits the
+isotonic calibration and the others train the trees. Features are built-in expressions over the
 text alone: lexicon densities, second-person proximity, capitals, punctuation
 and obfuscation rates. Scoring is a map over all rows, without a shuffle.
 
@@ -18,6 +20,7 @@ are not carried; pass the wanted ones in ``keep``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -51,7 +54,7 @@ FEATURES = (
     *(f"{tier}_{kind}" for tier in TIERS for kind in ("density", "count")),
     "seed_density", "near_you", "capitals", "marks", "disguised", "log_words",
 )
-_FIT, _TREE, _CALIBRATE = (0, 1, 2), (3, 4), (5,)
+FOLDS, CALIBRATE = 3, 4
 
 
 def held_out(key: Column) -> Column:
@@ -144,6 +147,46 @@ def _calibrated(model: Model, df: DataFrame) -> DataFrame:
     return model.calibration.transform(out).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
 
 
+def family(text: Column) -> Column:
+    """Smallest hash of a text's word triples (null and empty texts: 0)."""
+    held = F.array(words(F.lower(text)))  # one element, so that the lambda's words are computed once
+    least = F.transform(held, lambda w: F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
+    return F.coalesce(F.get(least, F.lit(0)), F.lit(0))
+
+
+def lexicons(rows: DataFrame) -> list[dict[str, list[str]]]:
+    """Stems by tier: learnt from all ``rows`` (_text, _y, _family, _fold), then from all but each fold.
+
+    Of each family one text a label counts: what near copies of one text share
+    is no evidence for a word.
+    """
+    texts = rows.groupBy("_family", "_fold", "_y").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+    begun = F.transform(F.sequence(F.lit(STEM), F.lit(LONGEST_STEM)), lambda n: F.transform(F.filter("_w", lambda w: F.length(w) >= n), lambda w: F.substring(w, F.lit(1), n)))
+    held = texts.select("_y", "_fold", F.array_distinct(plain_words(F.col("_text"))).alias("_w"))
+    seen = held.select("_y", "_fold", F.explode(F.array_distinct(F.flatten(begun))).alias("stem"))
+    left_out = (None, *range(FOLDS))
+    counted = lambda k, what: F.sum(F.when(F.lit(k is None) | (F.col("_fold") != F.lit(k if k is not None else -1)), what).otherwise(0))
+    toxic = texts.agg(*[counted(k, F.col("_y")) for k in left_out]).first()
+    counts = seen.groupBy("stem").agg(*[c for i, k in enumerate(left_out) for c in (counted(k, F.col("_y")).alias(f"y{i}"), counted(k, F.lit(1)).alias(f"n{i}"))])
+    z2 = DEVIATIONS**2
+    lows = []
+    for i in range(len(left_out)):
+        y, n = F.col(f"y{i}"), F.col(f"n{i}")
+        p = y / n
+        low = (p + z2 / 2 / n - DEVIATIONS * F.sqrt((p * (1 - p) + z2 / 4 / n) / n)) / (1 + z2 / n)
+        lows.append(F.when(y >= max(MIN_SUPPORT, MIN_SHARE * (toxic[i] or 0)), low).alias(f"low{i}"))
+    # Each kept stem is in MIN_SHARE of the toxic texts, so the list is bounded by
+    # the words of a text, not by the corpus.
+    kept = counts.select("stem", *lows).filter(F.greatest(F.lit(0.0), *[f"low{i}" for i in range(len(lows))]) >= min(TIERS.values())).collect()
+    out = [{tier: [] for tier in TIERS} for _ in left_out]
+    for row in sorted(kept, key=lambda r: r["stem"]):
+        for i, lexicon in enumerate(out):
+            tier = next((t for t, bound in TIERS.items() if (row[f"low{i}"] or 0) >= bound), None)
+            if tier:
+                lexicon[tier].append(row["stem"])
+    return out
+
+
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit lexicon, trees and calibration on labelled rows of ``df`` that are not held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
@@ -151,34 +194,24 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     there = known.count()
     share = min(1.0, TRAIN_ROWS / there) if there else 1.0
     mark = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 30))
-    known = known.filter(mark < F.lit(int(share * (1 << 30)))).withColumn("_fold", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(key)), F.lit(6)))
+    known = known.filter(mark < F.lit(int(share * (1 << 30))))
     # At most TRAIN_ROWS narrow rows (in expectation), so the broadcast is bounded.
-    rows = stored(df.select(key, F.col(text).alias("_text")).join(F.broadcast(known), key), "toxicity-train")
+    rows = df.select(key, F.col(text).alias("_text")).join(F.broadcast(known), key)
+    rows = rows.select("_text", "_y", family(F.col("_text")).alias("_family"))
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit(SEED + n), F.col("_family")), F.lit(n)).cast("int")
+    rows = stored(rows.select("*", dealt(FOLDS).alias("_fold"), (dealt(CALIBRATE) == 0).alias("_check")), "toxicity-train")
     totals = rows.agg(F.count("*").alias("n"), F.sum("_y").alias("y")).first()
     if not totals["n"] or totals["y"] in (0, totals["n"]):
         return Model({}, constant=float(totals["y"] or 0) / max(1, totals["n"]))
-    fit = rows.filter(F.col("_fold").isin(*_FIT)).dropDuplicates(["_text"])
-    begun = F.transform(F.sequence(F.lit(STEM), F.lit(LONGEST_STEM)), lambda n: F.transform(F.filter("_w", lambda w: F.length(w) >= n), lambda w: F.substring(w, F.lit(1), n)))
-    held = fit.select("_y", F.array_distinct(plain_words(F.coalesce("_text", F.lit("")))).alias("_w"))
-    seen = held.select("_y", F.explode(F.array_distinct(F.flatten(begun))).alias("stem"))
-    toxic = fit.agg(F.sum("_y")).first()[0] or 0
-    counted = seen.groupBy("stem").agg(F.sum("_y").alias("y"), F.count("*").alias("n")).filter(F.col("y") >= max(MIN_SUPPORT, MIN_SHARE * toxic))
-    z2 = DEVIATIONS**2
-    p = F.col("y") / F.col("n")
-    low = (p + z2 / 2 / F.col("n") - DEVIATIONS * F.sqrt((p * (1 - p) + z2 / 4 / F.col("n")) / F.col("n"))) / (1 + z2 / F.col("n"))
-    # Each kept stem is in MIN_SHARE of the toxic texts, so the list is bounded by
-    # the words of a text, not by the corpus.
-    kept = counted.withColumn("low", low).filter(F.col("low") >= min(TIERS.values())).collect()
-    lexicon: dict[str, list[str]] = {tier: [] for tier in TIERS}
-    for row in sorted(kept, key=lambda r: r["stem"]):
-        lexicon[next(tier for tier, bound in TIERS.items() if row["low"] >= bound)].append(row["stem"])
-    ready = stored(features(rows, lexicon, "_text", ("_y", "_fold")), "toxicity-features")
-    grow, check = ready.filter(F.col("_fold").isin(*_TREE)), ready.filter(F.col("_fold").isin(*_CALIBRATE))
+    whole, *others = lexicons(rows)
+    parts = [features(rows.filter(F.col("_fold") == k), lexicon, "_text", ("_y", "_check")) for k, lexicon in enumerate(others)]
+    ready = stored(reduce(DataFrame.unionByName, parts), "toxicity-features")
+    grow, check = ready.filter(~F.col("_check")), ready.filter("_check")
     classes = grow.agg(F.min("_y"), F.max("_y")).first()
     if classes[0] == classes[1]:  # too few rows to split
         grow = check = ready
     trees = GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(_vector(grow))
-    model = Model(lexicon, trees)
+    model = Model(whole, trees)
     ends = check.agg(F.min("_y"), F.max("_y")).first()
     if ends[0] != ends[1]:
         held = _raw(trees, check).select(F.col("_y").cast("double").alias("_y"), "_raw")
