@@ -1,0 +1,226 @@
+"""Near copies: all pairs of texts with five-word Jaccard similarity >= 0.8, exactly.
+
+A prefix filter: all shingle hashes have one total order, common ones last; two
+sets of similarity 4/5 or more share one of their first n - ceil(4n/5) + 1
+hashes, so only texts that meet at such a hash are compared, by their whole
+sets. The order's counts come from a bounded sample; they decide how many texts
+meet, never which are linked.
+
+A hash with at most ``FEW`` texts gives all its pairs. A hash with more first
+gives a star around one of them; once these links are checked, its texts meet
+again in tiles, and only pairs that are not yet in one component are compared:
+first by the parities of their hashes' last bits, which differ in no more places
+than the sets do, then by their whole sets.
+Texts with equal sets are one row from the start.
+
+Edge cases: texts without a word are copies of one another; a text under five
+words is one shingle; letters A-Z count as lower-case ones; an empty table
+gives an empty result. Equality of shingles and of sets rests on 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+from .components import components
+
+WORDS = 5
+SAMPLE = 4000
+COMMON = 200_000
+FEW = 32
+TILE = 512
+BITS = 1024
+
+
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """The distinct hashes of all word shingles, sorted."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    line = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    stops = ends.tolist()[size - 1 :] or [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops)))
+
+
+def prefix(marks: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(4n/5) + 1 of ``marks`` in the order (count, hash); ``common`` is sorted."""
+    n = len(marks)
+    if not n:
+        return marks
+    size = n + (-4 * n) // 5 + 1
+    if not len(common):
+        return marks[:size]
+    at = np.minimum(np.searchsorted(common, marks), len(common) - 1)
+    count = np.where(common[at] == marks, counts[at], 0)
+    return marks[np.argsort(count, kind="stable")[:size]]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 4/5 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(a) + len(b))
+
+
+def parities(marks: np.ndarray) -> bytes:
+    """``BITS`` bits: the parity of how many hashes have each remainder."""
+    return np.packbits((np.bincount((marks % BITS).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several texts of a bounded sample hold, sorted, and how many texts hold each."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["t"])
+
+    some = docs.select("_text").filter(F.pmod(F.xxhash64(F.lit(7), "_text"), F.lit(max(1, n // SAMPLE))) == 0).distinct()
+    held = some.mapInArrow(listed, "t long").groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = held.orderBy(F.desc("n"), "t").limit(COMMON).toPandas()
+    marks = rows["t"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(marks)
+    return marks[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def _sets(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """_row, s (hash of the set), n (its size), its parities and prefix of every text."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py()) for t in batch.column(1)]
+            names = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
+            firsts = [prefix(x, common, counts).view(np.int64) for x in found]
+            sizes = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), sizes, pa.array(map(parities, found), pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["_row", "s", "n", "bits", "prefix"])
+
+    return docs.select("_row", "_text").mapInArrow(scored, "_row long, s long, n int, bits binary, prefix array<long>")
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames sorted by ``key``, cut so that no group is in two."""
+    rest = None
+    for frame in frames:
+        if rest is not None:
+            frame = pd.concat([rest, frame], ignore_index=True)
+        last = frame[key].searchsorted(frame[key].iloc[-1]) if len(frame) else 0
+        rest = frame.iloc[last:]
+        yield frame.iloc[:last]
+    if rest is not None:
+        yield rest
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of sets that share a hash (all of small groups, stars of large ones); large groups also as a = hash, b = -size."""
+
+    def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames, "t"):
+            t, s, n = (frame[c].to_numpy() for c in ("t", "s", "n"))
+            start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.empty(0, int)
+            size = np.diff(np.r_[start, len(t)])
+            left, right = [], []
+            large = size > FEW
+            owner = np.repeat(np.arange(len(start)), size)
+            star = np.flatnonzero(large[owner]) if len(t) else owner
+            hub = start[owner[star]] + (t[star].view(np.uint64) % size[owner[star]].astype(np.uint64)).astype(np.int64)
+            left.append(star), right.append(hub)
+            few = np.flatnonzero(~large[owner] & (size[owner] > 1)) if len(t) else owner
+            for step in range(1, FEW):
+                few = few[few + step < start[owner[few]] + size[owner[few]]]
+                if not len(few):
+                    break
+                left.append(few), right.append(few + step)
+            i, j = np.concatenate(left), np.concatenate(right)
+            good = (s[i] != s[j]) & (5 * np.minimum(n[i], n[j]).astype(np.int64) >= 4 * np.maximum(n[i], n[j]).astype(np.int64))
+            i, j = i[good], j[good]
+            out = pd.DataFrame({"a": np.minimum(s[i], s[j]), "b": np.maximum(s[i], s[j]), "size": np.int64(0)}).drop_duplicates()
+            yield pd.concat([out, pd.DataFrame({"a": t[start[large]], "b": np.int64(0), "size": size[large]})])
+
+    return rows.repartition("t").sortWithinPartitions("t", "s").mapInPandas(paired, "a long, b long, size long")
+
+
+def _met_again(rows: DataFrame, tile: int) -> DataFrame:
+    """Pairs a, b of rows (t, s, n, bits, size, root) that share a hash, are in two components and may be alike."""
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    spread = rows.withColumn("me", F.pmod(F.xxhash64("s"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    keyed = spread.select(F.xxhash64("t", F.least("me", "other"), F.greatest("me", "other")).alias("g"), "s", "n", "bits", "root")
+
+    def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames, "g"):
+            g, s, n, root = (frame[c].to_numpy() for c in ("g", "s", "n", "root"))
+            n = n.astype(np.int64)
+            bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(g), BITS // 64)
+            at = np.arange(len(g))
+            seen: list[pd.DataFrame] = []
+            for step in range(1, len(g)):
+                at = at[at + step < len(g)]
+                at = at[(g[at] == g[at + step]) & (5 * n[at + step] >= 4 * n[at])]
+                if not len(at):
+                    break
+                i = at[root[at] != root[at + step]]
+                i = i[9 * np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int64) <= n[i] + n[i + step]]
+                if len(i):
+                    seen.append(pd.DataFrame({"a": np.minimum(s[i], s[i + step]), "b": np.maximum(s[i], s[i + step])}))
+            if seen:
+                yield pd.concat(seen).drop_duplicates()
+
+    # In order of falling size, so that comparisons stop where the sizes part.
+    ordered = keyed.repartition("g").sortWithinPartitions("g", F.desc("n"), "s")
+    return ordered.mapInPandas(paired, "a long, b long")
+
+
+def _checked(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs a, b whose whole sets are alike."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    texts = docs.join(kinds.join(named, "s").select("s", F.col("first._row").alias("_row")), "_row").select("s", "_text")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["s", "marks"])
+
+    sets = stored(texts.mapInArrow(listed, "s long, marks binary"), "compared-sets")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("marks").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(kept, "a long, b long")
+
+
+def first_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """_row of one row of each group of near copies: that with the smallest _key, then _row (null keys last).
+
+    ``docs``: _row (long, unique, the same whenever it is read), _key, _text.
+    A group is a component over all pairs of similarity 4/5 or more.
+    """
+    common, counts = _common(docs, docs.count())
+    marks = stored(_sets(docs, common, counts), "shingle-sets").join(docs.select("_row", "_key"), "_row")
+    rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key"), F.col("_row"))
+    kinds = stored(marks.groupBy("s").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "shingle-kinds")
+    rows = kinds.select(F.explode("prefix").alias("t"), "s", "n")
+    met = stored(_met(rows), "meetings")
+    links = stored(_checked(docs, kinds, stored(met.filter("size = 0").select("a", "b").distinct(), "pairs")), "near-copies")
+    found = components(links)
+    large = met.filter("size > 0").select(F.col("a").alias("t"), "size")
+    if large.head(1):
+        crowd = stored(kinds.select(F.explode("prefix").alias("t"), "s", "n", "bits").join(F.broadcast(large) if large.count() <= COMMON else large, "t"), "crowds")
+        rooted = crowd.join(found.select(F.col("a").alias("s"), F.col("b").alias("root")), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        more = stored(_met_again(rooted, tile).distinct(), "pairs")
+        links = links.unionByName(stored(_checked(docs, kinds, more), "near-copies"))
+        found = components(links)
+    roots = kinds.join(found.select(F.col("a").alias("s"), F.col("b").alias("root")), "s", "left")
+    return roots.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("first").alias("first")).select("first._row")

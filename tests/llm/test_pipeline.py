@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as pipeline
+from talentloom.llm import near_copies
 from talentloom.llm.common import stored
 from talentloom.llm.mixing import mix_sources
 
@@ -65,3 +66,56 @@ def test_stages(spark, world):
 def test_run(spark, world):
     out = pipeline.run(spark, world[0])
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def _edited(text, places):
+    tokens = text.split()
+    for at in places:
+        tokens[at] = f"new{at}"
+    return " ".join(tokens)
+
+
+def _without_copies(rows):
+    """Row numbers that stay, over all pairs."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return sorted(min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for g in groups.values())
+
+
+@pytest.mark.parametrize("few, tile", [(32, 512), (2, 3)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, few, tile):
+    monkeypatch.setattr(near_copies, "FEW", few)
+    r = random.Random(3)
+    rows = []
+    for i in range(12):
+        base = _prose(500 + i, 120)
+        rows.append((len(rows), base))
+        for _ in range(6):  # similarities on both sides of 0.8
+            rows.append((len(rows), _edited(r.choice(rows)[1] if i == 0 else base, r.sample(range(120), r.randint(1, 4)))))
+    rows += [(len(rows), "one two"), (len(rows) + 1, "one two"), (len(rows) + 2, ""), (len(rows) + 3, None)]
+    data = [(i, k, t) for i, (k, t) in enumerate(rows)]
+    docs = stored(spark.createDataFrame(data, "_row long, _key long, _text string"), "near")
+    assert sorted(x._row for x in near_copies.first_copies(docs, tile).collect()) == _without_copies(rows)
+
+
+def test_near_duplicate_stage_links_at_four_fifths(spark):
+    base = _prose(77, 200)
+    rows = [(1, base), (2, _edited(base, [50, 120])), (3, _edited(base, [10, 60, 110, 160, 190]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _without_copies(rows) == [0, 2] and [x.doc_id for x in pipeline.near_duplicate_removal(spark, docs, None).orderBy("doc_id").collect()] == [1, 3]
