@@ -8,9 +8,9 @@ meet, never which are linked.
 
 A hash with at most ``FEW`` texts gives all its pairs. A hash with more first
 gives a star around one of them; once these links are checked, its texts meet
-again in tiles, and only pairs that are not yet in one component are compared:
-first by the parities of their hashes' last bits, which differ in no more places
-than the sets do, then by their whole sets.
+again in tiles, and only pairs that are not yet in one component are compared.
+Pairs are compared by the parities of their hashes' last bits, which differ in no
+more places than the sets do, and only then by their whole sets.
 Texts with equal sets are one row from the start.
 
 Edge cases: texts without a word are copies of one another; a text under five
@@ -182,7 +182,17 @@ def _met_again(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def _checked(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b whose whole sets are alike."""
+    """The pairs a, b whose whole sets are alike; only those that parities do not rule out fetch their sets."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (2, 3))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= batch.column(4).to_numpy()))
+
+    one = lambda name, n: kinds.select(F.col("s").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").cast("long").alias(n))
+    marked = pairs.join(one("a", "n"), "a").join(one("b", "m"), "b").select("a", "b", "a_bits", "b_bits", (F.col("n") + F.col("m")).alias("n"))
+    pairs = stored(marked.mapInArrow(possible, "a long, b long"), "possible-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     texts = docs.join(kinds.join(named, "s").select("s", F.col("first._row").alias("_row")), "_row").select("s", "_text")
 
