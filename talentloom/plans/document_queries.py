@@ -328,8 +328,8 @@ def rebuilt_experiences(m: Model) -> DataFrame:
 
 @query("word_diffs")
 def word_diffs(m: Model) -> DataFrame:
-    """Word runs that differ between each document and the next."""
-    rows = _docs(m).select(F.col("document_id").alias("doc_id"), F.substring_index("raw_text", "\n", 1).alias("a"))
+    """Word runs that differ between the whole texts of each document and the next."""
+    rows = _docs(m).select(F.col("document_id").alias("doc_id"), F.col("raw_text").alias("a"))
     nxt = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return rows.join(nxt, "doc_id").select("doc_id", tailoring.word_diff(F.col("a"), F.col("b")).alias("diff"))
 

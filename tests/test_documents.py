@@ -1,13 +1,14 @@
 """Sections, extraction, claims, tailoring, storage, views, streaming, registry."""
 
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from talentloom.operators import candidate, sections, tailoring, taxonomy, truth, views
-from talentloom.plans import ORACLES, QUERIES
+from talentloom.plans import ORACLES, QUERIES, document_queries
 from talentloom.sources import documents as storage
 from talentloom.streaming import intake
 from tests.test_matching import aliases, skills
@@ -70,6 +71,13 @@ def test_word_diff(spark):
     assert [(s.text, s.change_type) for s in row[0].d] == [("a", "UNCHANGED"), ("b", "REMOVED"), ("x", "ADDED"), ("c", "UNCHANGED"), ("d", "ADDED")] and row[1].d == []
 
 
+def test_word_diffs_cover_every_line(spark, tmp_path):
+    path = f"file://{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, "a\nb c"), (2, "a\nb d\ne")], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source").write.parquet(path)
+    rows = document_queries.word_diffs(SimpleNamespace(documents=spark.read.parquet(path))).collect()
+    assert [(r.doc_id, [(s.text, s.change_type) for s in r["diff"]]) for r in rows] == [(1, [("a b", "UNCHANGED"), ("c", "REMOVED"), ("d e", "ADDED")])]
+
+
 UPLOAD = "document_id string, owner_id string, document_type string, original_filename string, mime_type string, file_size long, content binary, file_hash string, status string, created_at timestamp"
 
 
