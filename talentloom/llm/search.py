@@ -12,8 +12,10 @@ ranked once more.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components
 take no part (neither as queries nor as candidates); shorter vectors are
-padded with zeros; a query's own id is never its answer, even if repeated; other
-repeated rows count each; fewer than k candidates give fewer rows; an empty
+padded with zeros; a query's own id is never its answer, even if repeated, and a
+repeated query id asks with its smallest vector; other repeated rows count each
+(equal ones are one row with a multiplicity until they are planted, ``top`` of
+them at most); fewer than k candidates give fewer rows; an empty
 table gives an empty result. Scores are exact while squared norms stay below 2^53.
 """
 
@@ -110,14 +112,12 @@ def search(root: Node, query: np.ndarray, own: int, top_norm: float, top: int) -
             break
         close = np.abs(near - node.offsets)
         if node.children is None:
-            pick = np.flatnonzero(close <= reach)
+            pick = np.flatnonzero((close <= reach) & (node.ids != own))
             if not len(pick):
                 continue
             score, name = node.rows[pick] @ flat, node.ids[pick]
-            for i in np.lexsort((name, -score))[: top + 1].tolist():
+            for i in np.lexsort((name, -score))[:top].tolist():
                 item = (float(score[i]), -int(name[i]))
-                if item[1] == -own:
-                    continue
                 if len(best) < top:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -148,7 +148,7 @@ def top_products(df: DataFrame, is_query, key: str = "vec_id", vector: str = "em
 
     ``is_query``: a condition on ``key``. Ties go to the smaller id.
     """
-    ready = stored(quantised(df, key, vector), "vectors")
+    ready = stored(quantised(df, key, vector).groupBy(key, "x").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("copies")), "vectors")
     norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     facts = ready.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("x")).alias("width")).first()
     n, top_norm, width = facts["n"], float(facts["norm"] or 0), int(facts["width"] or 1)
@@ -156,12 +156,13 @@ def top_products(df: DataFrame, is_query, key: str = "vec_id", vector: str = "em
 
     def planted(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(frame["id"].to_numpy(), kind="stable")
+        order = np.repeat(order, frame["copies"].to_numpy()[order])
         root = build(frame["id"].to_numpy()[order], _matrix(frame["x"], width)[order], top_norm)
         return pd.DataFrame({"tree": [int(frame["tree"].iloc[0])], "root": [pickle.dumps(root)]})
 
-    dealt = ready.select(F.pmod(F.xxhash64(key, "x"), F.lit(trees)).cast("int").alias("tree"), F.col(key).alias("id"), "x")
+    dealt = ready.select(F.pmod(F.xxhash64(key, "x"), F.lit(trees)).cast("int").alias("tree"), F.col(key).alias("id"), "x", "copies")
     forest = stored(dealt.groupBy("tree").applyInPandas(planted, "tree int, root binary"), "m-trees")
-    asked = ready.filter(is_query).dropDuplicates([key])
+    asked = ready.filter(is_query).groupBy(key).agg(F.min("x").alias("x"))
     blocks = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), key), F.lit(max(1, -(-n // (50 * QUERY_BLOCK))))).cast("int"))
     blocks = blocks.groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("id"), "x")).alias("asked"))
     spread = blocks.select("asked", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))

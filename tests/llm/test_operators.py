@@ -262,6 +262,22 @@ def test_search_against_brute_force(spark, rows):
     assert search.top_products(df.filter(F.lit(False)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_with_repeated_ids(spark):
+    near = [(i, [float(40 - i), 1.0]) for i in range(1, 30)]
+    rows = [(0, [50.0, 1.0])] * 10 + [(0, [60.0, 1.0])] + near + [(2, near[1][1])] * 9 + [(3, [-9.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.rank, x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    score = lambda v: 65536 * int(50 * v + 1)
+    assert got == [(1, 1, score(39)), (2, 2, score(38)), (3, 2, score(38)), (4, 2, score(38)), (5, 2, score(38))]
+
+
+def test_search_keeps_neighbours_behind_own_copies():
+    ids = np.array([0] * 10 + list(range(1, 9)))
+    rows = np.array([[50.0]] * 10 + [[float(40 - i)] for i in range(1, 9)])
+    found = search.search(search.build(ids, rows, 2500.0), rows[0], 0, 2500.0, 5)
+    assert sorted(-name for _, name in found) == [1, 2, 3, 4, 5]
+
+
 def _removed(rows, length, keep):
     seen = defaultdict(list)
     for n, (_, text, *_) in enumerate(rows):
