@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: The six characters that separate words, as a Java class body
 #: and as the characters themselves (space, tab, LF, VT, FF, CR).
@@ -22,14 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) is a temporary folder made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and the
+    session is local, driver and tasks share this machine's temporary folder;
+    on a cluster there is no such folder, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+@lru_cache(1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shared-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,3 +73,21 @@ def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` under neutral column names, so that no name of its own can clash, and old name -> new name."""
     names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     return df.toDF(*names.values()), names
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with _row, a unique long that is the same at every reading: the key itself where it is unique, else a number (stored)."""
+    facts = df.agg(F.count("*").alias("n"), F.count(key).alias("k")).first()
+    whole = dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
+    if whole and facts["n"] == facts["k"] == df.select(key).distinct().count():
+        return df.select(F.col(key).cast("long").alias("_row"), "*")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, *batch.columns], names=["_row", *batch.schema.names])
+
+    schema = StructType([StructField("_row", LongType()), *df.schema.fields])
+    return stored(df.mapInArrow(number, schema), "numbered")

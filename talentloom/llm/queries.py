@@ -74,7 +74,7 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 400-byte strings."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("kept"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
