@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one long each that may be broadcast: some 30 MB.
+FEW_ROWS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most FEW_ROWS; beyond that Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= FEW_ROWS else ids
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames sorted by ``key``, cut anew so that no group is in two."""
+    rest = None
+    for frame in frames:
+        if rest is not None:
+            frame = pd.concat([rest, frame], ignore_index=True)
+        last = frame[key].searchsorted(frame[key].iloc[-1]) if len(frame) else 0
+        rest = frame.iloc[last:]
+        if last:
+            yield frame.iloc[:last]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-separator characters (null: empty)."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

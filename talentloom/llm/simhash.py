@@ -1,13 +1,17 @@
 """SimHash near-duplicates: exact links between 64-bit fingerprints.
 
-Fingerprints within ``radius`` bits agree exactly on at least one of
-``radius + 1`` bit bands, so the distinct fingerprints are dealt by (band, value
-of the band). A band value with more fingerprints than a tile is cut into tiles
+Tiles of all fingerprints, with only population counts to part them, would be
+compared a third of all with all at two bits. So bands come first: cut into
+``radius`` and some more blocks, two linked fingerprints agree exactly on all
+blocks but ``radius`` of them, and the distinct fingerprints are dealt by the
+value of every such choice of blocks; the more rows, the longer these values.
+A value with more fingerprints than a tile is cut into tiles
 by population count (and a hash where one count alone is too much), and only
 tile pairs whose counts differ by at most ``radius`` get a task. In a task
 numpy compares by exclusive-or and bit counts, in population order, so
 comparisons stop where the counts part. A task emits a spanning forest of what
 it links instead of all pairs; components are then found by stars.
+``similar.py`` compares by tiles alone, at a radius where no bands help.
 
 Copies with the same fingerprint are one row from the start and are expanded
 only in the last join.
@@ -19,7 +23,9 @@ extra columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_groups
 from .components import components
 
 SEED = 42
@@ -38,21 +44,25 @@ TILE = 512
 _BITS_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority of the bits of the XXH64 of all word shingles.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all word shingles in order, repeats included.
 
     ``bytes.lower`` and ``bytes.split`` know ASCII alone: exactly A-Z, and
     exactly the six separators of the word rule.
     """
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends.tolist()[shingle - 1 :] or [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have (none: 0)."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BITS_AT_ONCE):
         part = hashes[at : at + _BITS_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +70,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority of the bits of all word shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``key`` and fp long (the fingerprint as a signed number) of every row."""
 
@@ -96,13 +111,19 @@ def _forest(group: np.ndarray, pop: np.ndarray, marks: np.ndarray, radius: int)
     return child, root[child]
 
 
+def blocks_for(rows: int, radius: int) -> int:
+    """Blocks to cut fingerprints into, so that a value of all but ``radius`` of them holds few of ``rows`` by chance."""
+    wanted = math.log2(max(2, rows)) + 4
+    return next((n for n in range(radius + 1, radius + 3) if 64 * (n - radius) / n >= wanted), radius + 3)
+
+
 def links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links a, b that connect all distinct ``fp`` within ``radius`` of each other."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    bands = [
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
-    ]
+    blocks = blocks_for(marks.count(), radius)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    signed = [m - (m >> 63 << 64) for m in masks]
+    bands = [F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)]
     dealt = marks.select("fp", F.bit_count("fp").alias("pop"), F.inline(F.array(*bands)))
     by_pop = dealt.groupBy("band", "value", "pop").agg(F.count("*").alias("n"))
     tiles = F.ceil(F.col("n") / tile).cast("int")
@@ -119,15 +140,7 @@ def links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     sorted_rows = grouped.repartition("g").sortWithinPartitions("g", "pop", "fp")
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            if rest is not None:
-                frame = pd.concat([rest, frame], ignore_index=True)
-            last = frame["g"].searchsorted(frame["g"].iloc[-1]) if len(frame) else 0
-            rest, whole = frame.iloc[last:], frame.iloc[:last]
-            yield forest_of(whole)
-        if rest is not None:
-            yield forest_of(rest)
+        yield from map(forest_of, whole_groups(frames, "g"))
 
     def forest_of(frame: pd.DataFrame) -> pd.DataFrame:
         marks = frame["fp"].to_numpy(np.int64)

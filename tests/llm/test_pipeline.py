@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 import corpus_pipeline as pipeline
-from talentloom.llm import near_copies
+from talentloom.llm import similar
 from talentloom.llm.common import stored
 from talentloom.llm.mixing import mix_sources
 
@@ -75,12 +76,14 @@ def _edited(text, places):
     return " ".join(tokens)
 
 
-def _without_copies(rows):
+def _without_copies(rows, radius=similar.RADIUS):
     """Row numbers that stay, over all pairs."""
-    sets = []
+    sets, marks = [], []
     for _, text in rows:
         w = (text or "").lower().split()
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else []))
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in sets[-1]]
+        marks.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     root = list(range(len(rows)))
 
     def find(x):
@@ -90,7 +93,7 @@ def _without_copies(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+            if a == sets[j] or (marks[i] ^ marks[j]).bit_count() <= radius and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
                 root[find(i)] = find(j)
     groups = {}
     for i in range(len(rows)):
@@ -98,24 +101,51 @@ def _without_copies(rows):
     return sorted(min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for g in groups.values())
 
 
-@pytest.mark.parametrize("few, tile", [(32, 512), (2, 3)])
-def test_near_copies_against_all_pairs(spark, monkeypatch, few, tile):
-    monkeypatch.setattr(near_copies, "FEW", few)
+@pytest.mark.parametrize("radius, tile, tile_bytes", [(similar.RADIUS, 8192, 8 << 20), (64, 5, 2000)])
+def test_near_duplicates_against_all_pairs(spark, radius, tile, tile_bytes):
     r = random.Random(3)
     rows = []
     for i in range(12):
         base = _prose(500 + i, 120)
         rows.append((len(rows), base))
-        for _ in range(6):  # similarities on both sides of 0.8
+        for _ in range(9):  # similarities on both sides of 0.8
             rows.append((len(rows), _edited(r.choice(rows)[1] if i == 0 else base, r.sample(range(120), r.randint(1, 4)))))
-    rows += [(len(rows), "one two"), (len(rows) + 1, "one two"), (len(rows) + 2, ""), (len(rows) + 3, None)]
+    rows += [(len(rows), "one two"), (len(rows) + 1, "one two"), (len(rows) + 2, ""), (len(rows) + 3, None), (None, rows[3][1]), (None, _prose(4)), (None, _prose(4))]
     data = [(i, k, t) for i, (k, t) in enumerate(rows)]
     docs = stored(spark.createDataFrame(data, "_row long, _key long, _text string"), "near")
-    assert sorted(x._row for x in near_copies.first_copies(docs, tile).collect()) == _without_copies(rows)
+    gone = {x._row for x in similar.first_of_each(docs, radius, tile, tile_bytes).collect()}
+    assert sorted(set(range(len(rows))) - gone) == _without_copies(rows, radius)
+
+
+def test_near_duplicates_where_parities_do_not_help(spark):
+    """Sets so large that all their parities are mixed: the second check decides."""
+    r = random.Random(8)
+    base = _prose(600, 4000)
+    rows = [(i, _edited(base, r.sample(range(4000), r.randint(30, 80)))) for i in range(40)]
+    docs = stored(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "_row long, _key long, _text string"), "near")
+    left = _without_copies(rows)
+    assert 1 < len(left) < 40
+    for tile_bytes in (8 << 20, 300_000):
+        gone = {x._row for x in similar.first_of_each(docs, tile_bytes=tile_bytes).collect()}
+        assert sorted(set(range(40)) - gone) == left
+
+
+def test_tiles_hold_all_cells_and_pairs():
+    cells = [(b, p, n) for b, p, n in ((3, 30, 4), (3, 31, 5), (3, 33, 25), (3, 40, 2), (4, 20, 3), (4, 36, 1), (9, 30, 1))]
+    placed, meet = similar.tiles_of(cells, 10, 5)
+    where = {(b, p): range(first, first + parts) for b, p, first, parts in placed}
+    assert len(where[3, 33]) == 3 and where[3, 30] == where[3, 31]
+    pairs = set(meet)
+    for (b, p), mine in where.items():
+        for (o, q), theirs in where.items():
+            for i in mine:
+                for j in theirs:
+                    assert (min(i, j), max(i, j)) in pairs or abs(b - o) > 1 or abs(p - q) > 5
+    assert not any({i, j} & set(where[9, 30]) for i, j in pairs if i != j)
 
 
 def test_near_duplicate_stage_links_at_four_fifths(spark):
     base = _prose(77, 200)
     rows = [(1, base), (2, _edited(base, [50, 120])), (3, _edited(base, [10, 60, 110, 160, 190]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert _without_copies(rows) == [0, 2] and [x.doc_id for x in pipeline.near_duplicate_removal(spark, docs, None).orderBy("doc_id").collect()] == [1, 3]
+    assert _without_copies(rows) == [0, 2] and [x.doc_id for x in similar.drop_near_duplicates(docs).orderBy("doc_id").collect()] == [1, 3]
