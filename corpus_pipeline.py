@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from talentloom.llm.common import renamed, stored, table
 from talentloom.llm.mixing import mixed_documents
-from talentloom.llm.near_copies import first_copies
 from talentloom.llm.packing import pack_documents
 from talentloom.llm.pii import redact
 from talentloom.llm.queries import WORD_BPE, WORD_END
+from talentloom.llm.similar import drop_near_duplicates
 from talentloom.llm.toxicity import THRESHOLD, train
 
 #: Held against a step-by-step brute-force version in the tests: SQL can
@@ -38,15 +38,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: that with the smallest id, then row (null ids last)."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    facts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("k")).first()
-    if facts["n"] == facts["k"] == docs.select("doc_id").distinct().count():
-        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    else:  # the numbers must be the same at every reading
-        rows = stored(rows, "numbered")
-    first = first_copies(rows.select("_row", F.col("doc_id").alias("_key"), F.col("text").alias("_text")))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    """One row of each group of near copies stays: that with the smallest id (null ids last)."""
+    return drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
