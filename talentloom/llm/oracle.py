@@ -85,11 +85,11 @@ from c"""
 
 TOP_PRODUCTS_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score
-  from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0
+  select q.n, q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score
+  from v q join v on v.n <> q.n where q.vec_id % 50 = 0
 )
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+select query_id, row_number() over (partition by n order by score desc, vec_id)::int as rank, vec_id, score
 from s qualify rank <= 5"""

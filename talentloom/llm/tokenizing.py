@@ -74,8 +74,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
         self.drops_case = vocabulary.drops_case
+        # Added tokens match before letters are lowered, in their own case only.
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
 
+    def _lowered(self, data: np.ndarray) -> np.ndarray:
+        """Lowered text, but what differs from an added token by case alone stays as it is."""
+        out = _lowered(data)
+        folded = data.tobytes().lower()
+        for token in self.added:
+            at = folded.find(token)
+            while at >= 0:
+                out[at : at + len(token)] = data[at : at + len(token)]
+                at = folded.find(token, at + 1)
+        return out
+
     def _learn(self, chunks: list[bytes]) -> None:
         if len(self.memo) + len(chunks) > MEMO_ENTRIES:
             self.memo.clear()
@@ -113,7 +126,7 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
         if self.drops_case:
-            data = _lowered(data)
+            data = self._lowered(data)
         cut = _cuts(data)
         starts = ends - sizes
         cut[starts[sizes > 0]] = True

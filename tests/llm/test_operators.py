@@ -1,6 +1,7 @@
 """Each operator on awkward tables, and against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -42,6 +43,7 @@ ROWS = [
     (8, "mail a.b@c.de and +1 (234) 555-6789, 4111 1111 1111 1111 at 10.0.0.1 password=ab12cd34ef56ab78 x", "en", None, 9, "x", "y", "z"),
     (8, "mail a.b@c.de and +1 (234) 555-6789, 4111 1111 1111 1111 at 10.0.0.1 password=ab12cd34ef56ab78 x", "en", None, 9, "x", "y", "z"),
     (None, "no id here", "en", "b", 9, "x", "y", "z"),
+    (9, "A <|ENDOFTEXT|> b<|EndOfText|>C <|startoftext|> <|STARTOFTEXT|>", "en", "b", 9, "x", "y", "z"),
 ]
 
 
@@ -243,39 +245,54 @@ def test_mixed_documents_hold_the_words(docs):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in out.collect()) == taken
 
 
-@pytest.mark.parametrize("rows", [700, 9000])
-def test_search_against_brute_force(spark, rows):
+def _best_products(rows, top=5):
+    """(query_id, rank, vec_id, score) of every row whose id is divisible by 50, by all pairs of rows."""
+    width = max(len(v) for _, v in rows)
+    whole = [[math.floor(256 * x) for x in v] + [0] * (width - len(v)) for _, v in rows]
+    out = []
+    for i, (key, _) in enumerate(rows):
+        if key % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[i], w, strict=True)), rows[j][0]) for j, w in enumerate(whole) if j != i)[:top]
+            out += [(key, n + 1, name, -score) for n, (score, name) in enumerate(best)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("rows, tree_rows", [(700, 16_384), (2000, 300)])
+def test_search_against_brute_force(spark, rows, tree_rows):
     r = np.random.default_rng(6)
-    data = r.normal(size=(rows, 16)).astype(np.float32)
+    data = r.normal(size=(rows, 12)) + 4 * r.normal(size=(5, 12))[r.integers(0, 5, rows)]
     data[::7] = data[0]  # one common vector
     vectors = [(i, v.tolist()) for i, v in enumerate(data)]
-    odd = [(rows, None), (rows + 1, [float("nan")] * 16), (rows + 2, [1.0, None]), (None, [1.0] * 16), (rows + 3, [])]
-    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>")
-    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") % 50 == 0).collect()}
-    q = np.floor(256 * data.astype(np.float64))
-    want = {}
-    for i in range(0, rows, 50):
-        s = q @ q[i]
-        best = [k for k in np.lexsort((np.arange(rows), -s)) if k != i][:5]
-        want |= {(i, n + 1): (int(k), int(s[k])) for n, k in enumerate(best)}
-    assert got == want
+    odd = [(rows, None), (rows + 1, [float("nan")] * 12), (rows + 2, [1.0, None]), (None, [1.0] * 12), (rows + 3, []), (rows + 4, [float("inf")])]
+    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>")
+    got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") % 50 == 0, tree_rows=tree_rows).collect())
+    assert got == _best_products(vectors)
     assert search.top_products(df.filter(F.lit(False)), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_search_with_repeated_ids(spark):
-    near = [(i, [float(40 - i), 1.0]) for i in range(1, 30)]
-    rows = [(0, [50.0, 1.0])] * 10 + [(0, [60.0, 1.0])] + near + [(2, near[1][1])] * 9 + [(3, [-9.0, 0.0])]
+def test_search_with_repeated_ids_and_large_vectors(spark):
+    rows = [(0, [50.0, 1.0])] * 10 + [(0, [60.0, 1.0])] + [(i, [float(40 - i), 1.0]) for i in range(1, 30)] + [(2, [38.0, 1.0])] * 9 + [(3, [-9.0, 0.0])]
+    rows += [(50, [1.0, 2.0]), (51, [2.0**40, 1.0]), (52, [2.0**40, 1.0 + 1 / 256]), (53, [2.0**30, 3.5]), (100, [-1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(x.rank, x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") == 0).orderBy("rank").collect()]
-    score = lambda v: 65536 * int(50 * v + 1)
-    assert got == [(1, 1, score(39)), (2, 2, score(38)), (3, 2, score(38)), (4, 2, score(38)), (5, 2, score(38))]
-
-
-def test_search_keeps_neighbours_behind_own_copies():
-    ids = np.array([0] * 10 + list(range(1, 9)))
-    rows = np.array([[50.0]] * 10 + [[float(40 - i)] for i in range(1, 9)])
-    found = search.search(search.build(ids, rows, 2500.0), rows[0], 0, 2500.0, 5)
-    assert sorted(-name for _, name in found) == [1, 2, 3, 4, 5]
+    got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") % 50 == 0, tree_rows=20).collect())
+    want = _best_products(rows)
+    assert got == want
+    far = spark.createDataFrame([(0, [2.0**60]), (1, [2.0**60])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        search.top_products(far, F.col("vec_id") == 0).collect()
+
+
+def test_search_skips_distances_where_vectors_cluster():
+    r = np.random.default_rng(1)
+    rows = np.floor(256 * (r.normal(size=(4000, 8)) * 0.05 + 3 * r.normal(size=(40, 8))[r.integers(0, 40, 4000)]))
+    tree, norm = search.build(np.arange(4000), np.arange(4000), rows)
+    best = search.Best(50, 5)
+    computed = search.search(tree, norm, rows[:50], np.arange(50), best)
+    for i in range(50):
+        score = rows @ rows[i]
+        score[i] = -np.inf
+        assert best.ids[i].tolist() == np.lexsort((np.arange(4000), -score))[:5].tolist()
+    assert computed < 0.3 * 50 * 4000
 
 
 def _removed(rows, length, keep):
