@@ -15,7 +15,8 @@ is bounded by the patterns that exist (kinds x votes x shapes), not by the corpu
 Edge cases: null and empty texts have no spans; repeated rows give repeated
 results; an empty table gives an empty result; extra columns are not carried.
 Spans are in code points, end exclusive. Added spans never overlap base spans
-or one another (the earlier, then longer, stays).
+or one another (the earlier, then a true IBAN, then the longer stays). Every pattern
+is linear in a text.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import renamed, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "iban", "national_id", "local_phone", "person", "address")
@@ -38,19 +39,21 @@ KINDS = BASE_KINDS + ADDED_KINDS
 
 # Fixed patterns of the base kinds. An address is found by its at sign first.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+#: Runs of digits are taken whole: a match cannot start inside one nor give digits back.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: What may be personal beyond the base kinds, one named pattern a kind.
+#: What may be personal beyond the base kinds, one named pattern a kind. All are
+#: linear in the text: repeats are bounded, or runs that start at a separator.
+SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\x20\"'])[A-Za-z0-9+/_-]{16,}+")
 WIDER = re.compile(
-    r"(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?<=[=:\x20\"'])(?=[^\s\"']*[0-9])(?=[^\s\"']*[A-Za-z])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-]))"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
+    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
     r"|(?P<national_id>(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<local_phone>(?<![\w.+-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![\w-]))"
-    r"|(?P<person>\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sra)\b\.?\x20[A-Z][\w'’-]+(?:\x20[A-Z][\w'’-]+)?)"
-    r"|(?P<address>\b[0-9]{1,5}\x20(?:[A-Z][a-z]+\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd)\b\.?)"
+    r"|(?P<person>\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sra)\b\.?\x20[A-Z][\w'’-]{1,40}(?:\x20[A-Z][\w'’-]{1,40})?)"
+    r"|(?P<address>\b[0-9]{1,5}\x20(?:[A-Z][a-z]{1,30}\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd)\b\.?)"
 )
 #: A text without any of these has no candidate; saves most of the scan.
 HINT = re.compile(r"[0-9]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sra)\b")
@@ -58,11 +61,20 @@ HINT = re.compile(r"[0-9]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|S
 # Gazetteers of the context labelers.
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "credential", "auth", "passwort", "contraseña")
 CONTACT_WORDS = ("phone", "tel", "mobile", "call", "fax", "contact", "telefon", "téléphone", "teléfono", "whatsapp")
-IDENTITY_WORDS = ("ssn", "iban", "account", "konto", "compte", "cuenta", "social security", "born", "passport", "name", "address", "adresse", "dirección")
-NUMBER_WORDS = ("version", "isbn", "issn", "page", "figure", "fig", "table", "section", "chapter", "price", "usd", "eur", "total", "order", "item", "doi", "rfc")
+IDENTITY_WORDS = ("ssn", "sozialversicherung", "sécurité sociale", "seguridad social", "dni", "born", "lives", "signed", "patient", "customer", "employee", "iban", "account", "konto", "compte", "cuenta", "social security", "passport", "name", "address", "adresse", "dirección")
+NUMBER_WORDS = ("version", "v", "isbn", "issn", "ean", "sku", "invoice", "serial", "build", "score", "pages", "seite", "página", "no", "nr", "vol", "page", "figure", "fig", "table", "section", "chapter", "price", "usd", "eur", "total", "order", "item", "doi", "rfc")
+# Frequent given names of the four languages (common knowledge, lower case).
 GIVEN_NAMES = frozenset(
-    "james john mary anna peter paul maria michael david sarah emma thomas laura hans karl jürgen claudia pierre marie jean luc sophie carlos juan josé ana lucía elena".split()
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark steven paul andrew joshua kevin brian george edward "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy margaret sandra ashley emily emma olivia anna laura amy rachel helen ruth alice grace "
+    "jean pierre michel andré philippe jacques louis françois nicolas julien antoine luc marc hugo gabriel "
+    "marie nathalie isabelle sylvie catherine françoise sophie camille chloé léa manon julie claire hélène "
+    "hans peter klaus wolfgang jürgen stefan andreas uwe karl heinz lukas felix jonas leon max "
+    "claudia sabine petra monika ursula katharina lena hannah mia johanna greta "
+    "josé antonio juan manuel francisco luis javier carlos miguel pedro jesús alejandro pablo sergio diego "
+    "maría carmen ana isabel dolores pilar teresa rosa cristina marta elena lucía paula sofía".split()
 )
+_AGAINST = re.compile(rf"\b(?:{'|'.join(NUMBER_WORDS)})\b\W*\Z")
 ANCHOR = 0.98
 LABELERS = ("shape", "context", "against", "checksum", "mixture", "gazetteer")
 _CONTEXT = {
@@ -87,23 +99,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _local_start(text: str, least: int, at: int) -> int:
+    """Where the run of local-part characters before ``at`` begins, ``least`` at the earliest."""
+    width = 64
+    while True:
+        lo = max(least, at - width)
+        run = LOCAL.match(text[lo:at][::-1])
+        length = run.end() if run else 0
+        if length < at - lo or lo == least:
+            return at - length
+        width *= 8
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the base kinds, by kind, then start."""
     out = []
     done = 0
     if "@" in text:
         for m in AT.finditer(text):
-            local = LOCAL.search(text[max(done, m.start() - 4096) : m.start()])
-            if local and local.start() == 0 and m.start() - 4096 > done:  # a very long local part
-                local = LOCAL.search(text[done : m.start()])
-                begin = done + local.start()
-            elif local:
-                begin = max(done, m.start() - 4096) + local.start()
-            else:
-                continue
-            done = m.end()
-            out.append((0, begin, done))
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            begin = _local_start(text, done, m.start())
+            if begin < m.start():
+                done = m.end()
+                out.append((0, begin, done))
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -125,13 +143,13 @@ def votes(kind: str, text: str, start: int, end: int) -> str:
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
     shape = {
-        "secret": value.startswith("AKIA") or (len(value) >= 16 and digits >= 4 and letters >= 3),
+        "secret": value.startswith("AKIA") or (digits >= 4 and letters >= 3 and len(set(value)) >= 9),
         "iban": 15 <= len(value.replace(" ", "")) <= 34,
         "national_id": value[:3] not in ("000", "666") and value[0] != "9",
-        "local_phone": 9 <= digits <= 12,
+        "local_phone": 9 <= digits <= 12 and not re.fullmatch(r"[0-9]{1,3}(?:[\x20.][0-9]{3})+", value),
     }.get(kind, True)
     near = any(w in before for w in _CONTEXT[kind])
-    against = any(re.search(rf"\b{w}\b\W*\Z", before) for w in NUMBER_WORDS)
+    against = _AGAINST.search(before) is not None
     check = "."
     if kind == "iban":
         check = "+" if _iban_ok(value) else "-"
@@ -142,7 +160,10 @@ def votes(kind: str, text: str, start: int, end: int) -> str:
         check = "+" if len(set(value)) >= 9 and (kinds >= 2) else "-"
     mixture = "."
     if kind in ("secret", "iban"):
-        mixture = "+" if digits and letters and re.search(r"[=:\"']\s*\Z", before) else ("+" if value.startswith("AKIA") else ".")
+        if value.startswith("AKIA") or digits and letters and len(set(value)) >= 9 and re.search(r"[=:\"']\s*\Z", before):
+            mixture = "+"
+        elif sum(len(part) >= 3 and part.isalpha() for part in re.split(r"[-_/]", value)) >= 2:  # joined words
+            mixture = "-"
     elif kind in ("local_phone", "national_id"):
         mixture = "-" if re.search(r"[#$€£]\s*\Z", before) or re.fullmatch(r"(?:19|20)[0-9]{2}[.-][0-9]{2}[.-][0-9]{2}", value) else "."
     gazetteer = "."
@@ -162,17 +183,27 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if not HINT.search(text):
         return out
     taken = sorted((a, b) for _, a, b in base)
-    at = 0
-    for m in WIDER.finditer(text):
-        kind, (a, b) = m.lastgroup, m.span()
+    at = end = 0
+    for a, b, kind in wider_spans(text):
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if at < len(taken) and taken[at][0] < b:
+        if a < end or at < len(taken) and taken[at][0] < b:
             continue
+        end = b
         out.append((KINDS.index(kind), a, b, f"{kind}|{votes(kind, text, a, b)}|{min(9, (b - a) // 4)}"))
     return out
 
 
+def wider_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what the wider patterns propose; of two at one place a true IBAN, then the longer, comes first."""
+    out = [(m.start(), m.end(), m.lastgroup) for m in WIDER.finditer(text)]
+    for m in SECRET.finditer(text):
+        value = m[0]
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            out.append((m.start(), m.end(), "secret"))
+    return sorted(out, key=lambda x: (x[0], not (x[2] == "iban" and _iban_ok(text[x[0] : x[1]])), -x[1], x[2]))
+
+
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())])
 
 
@@ -275,37 +306,44 @@ def _of_kind(number: int) -> Column:
 
 
 def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_email, n_ip, n_card, n_phone, base_sha256, spans string of every row."""
+    """``key``, n_email, n_ip, n_card, n_phone, base_sha256, spans string, n_spans of every row."""
     scanned = stored(scan(df, (key,), text), "pii-spans")
     found = scanned.select(key, chosen_spans(accepted_patterns(scanned)).alias("_s"))
     count = [F.size(_of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     base = F.filter("_s", lambda s: s["kind"] < len(BASE_KINDS))
-    return found.select(key, *count, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_s")).alias("spans"))
+    return found.select(key, *count, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_s")).alias("spans"), F.size("_s").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of ``text`` replaced by ``<kind>``; other columns as they are.
 
-    Two scans of the texts: one to train, one to replace.
+    One scan of the texts, stored with what it found; a second pass over that
+    table only cuts the accepted spans out.
     """
-    patterns = frozenset(accepted_patterns(stored(scan(df, (), text), "pii-spans")))
+    plain, names = renamed(df)
+    scanned = stored(scan(plain, tuple(plain.columns), names[text]), "pii-spans")
+    spans = F.array_sort(F.transform(chosen_spans(accepted_patterns(scanned)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     at = df.columns.index(text)
+    ready = scanned.select(*plain.columns, spans.alias("_found"))
 
-    def clean(body: str | None) -> str | None:
-        if not body:
-            return body
-        spans = [(a, b, k) for k, a, b, p in candidates(body, base_spans(body)) if k < len(BASE_KINDS) or p in patterns]
+    def clean(body: str, spans: list[dict]) -> str:
         out, done = [], 0
-        for a, b, k in sorted(spans):
-            if a >= done:
-                out += [body[done:a], f"<{KINDS[k]}>"]
-            done = max(done, b)
+        for s in spans:
+            if s["start"] >= done:
+                out += [body[done : s["start"]], f"<{KINDS[s['kind']]}>"]
+            done = max(done, s["end"])
         return "".join([*out, body[done:]])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([clean(v.as_py()) for v in columns[at]], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return df.mapInArrow(cleaned, df.schema)
+            *columns, found = batch.columns
+            rows = np.flatnonzero(np.asarray(pc.list_value_length(found).fill_null(0)) > 0)
+            if len(rows):
+                mask = np.zeros(batch.num_rows, bool)
+                mask[rows] = True
+                new = [clean(columns[at][i].as_py(), found[i].as_py()) for i in rows.tolist()]
+                columns[at] = pc.replace_with_mask(columns[at], pa.array(mask), pa.array(new, columns[at].type))
+            yield pa.RecordBatch.from_arrays(columns, names=plain.columns)
+
+    out = ready.mapInArrow(cleaned, plain.schema)
+    return out.select(*[F.col(new).alias(old) for old, new in names.items()])
