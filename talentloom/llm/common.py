@@ -99,11 +99,17 @@ def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def is_unique(df: DataFrame, key: str) -> bool:
+    """Whether ``key`` is a whole number in every row, and no two rows have the same."""
+    if dict(df.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    facts = df.agg(F.count("*").alias("n"), F.count(key).alias("k")).first()
+    return facts["n"] == facts["k"] == df.select(key).distinct().count()
+
+
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """``df`` with _row, a unique long that is the same at every reading: the key itself where it is unique, else a number (stored)."""
-    facts = df.agg(F.count("*").alias("n"), F.count(key).alias("k")).first()
-    whole = dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
-    if whole and facts["n"] == facts["k"] == df.select(key).distinct().count():
+    if is_unique(df, key):
         return df.select(F.col(key).cast("long").alias("_row"), "*")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

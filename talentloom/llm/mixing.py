@@ -8,19 +8,21 @@ only narrow rows are sorted. A source whose target is above its size is
 repeated in whole epochs, and the last one is cut at the exact word.
 
 Edge cases: a null text has size 0 and gives no words; null is a source of its
-own, last in order; repeated rows are mixed each (equal ones are
-interchangeable); a source without words has target 0; an empty table gives an
-empty result. The same table always gives the same mix.
+own, last in order; repeated rows are mixed each, and rows with repeated or null
+keys are told apart by a number; a source without words has target 0; an empty
+table gives an empty result. The same table gives the same mix; with repeated
+keys, the same files read in the same way.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import renamed, stored, word_count, words
+from .common import is_unique, numbered, renamed, stored, word_count, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -31,38 +33,39 @@ MIN_RANGE_BITS = 10
 ROWS_A_RANGE = 50_000
 
 
+def ranked_sources(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``sizes`` (source, source_size) with the weight of each source's place in order, by ranges and their sums; stored."""
+    spark = sizes.sparkSession
+    lined = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    lined = stored(lined.select("*", F.monotonically_increasing_id().alias("_id")), "sources")
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(lined.groupBy(part.alias("part")).count().collect())  # one row a partition
+    starts = list(zip((r["part"] for r in counts), accumulate((r["count"] for r in counts), initial=0)))
+    starts = spark.createDataFrame(starts, "part long, start long") if starts else spark.createDataFrame([], "part long, start long")
+    placed = lined.withColumn("part", part).join(F.broadcast(starts), "part")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("start") + inside) % len(weights) + 1).cast("int"))
+    return placed.select("source", "source_size", weight.alias("weight"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS) -> DataFrame:
     """Add weight and target to ``sizes`` (source, source_size), one row a source.
 
     Sources in code-point order (null last) take the weights in turn. The words
     of all sources are shared by weight; a source stops at ``cap`` times its
-    size and what it leaves is shared again. In the order of cap / weight the
-    stopped sources come first, so one running sum finds the final share.
+    size and what it leaves is shared again. A share only grows as sources
+    stop, so rounds of one sum over all sources end with the final one.
     """
-    everything = Window.partitionBy()
-    ranked = sizes.select(
-        "source",
-        "source_size",
-        F.element_at(
-            F.array(*[F.lit(w) for w in weights]),
-            ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"),
-        ).alias("weight"),
-        F.sum("source_size").over(everything).alias("_all"),
-    )
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
-    lined = ranked.select(
-        "*",
-        F.row_number().over(order).alias("_i"),
-        (F.col("_all") - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0))).cast("double").alias("_rest"),
-        F.sum("weight").over(onward).cast("double").alias("_w"),
-    )
-    stops = cap * F.col("source_size") <= F.col("_rest") / F.col("_w") * F.col("weight")
-    first = F.min(F.when(~stops, F.struct("_i", (F.col("_rest") / F.col("_w")).alias("share")))).over(everything)
-    shared = lined.withColumn("_f", first)
-    target = F.when(F.col("_f").isNull() | (F.col("_i") < F.col("_f._i")), (cap * F.col("source_size")).cast("double"))
-    return shared.select("source", "source_size", "weight", target.otherwise(F.col("_f.share") * F.col("weight")).alias("target"))
+    ranked = ranked_sources(sizes, weights)
+    most = cap * F.col("source_size")
+    everything = ranked.agg(F.sum("source_size")).first()[0] or 0
+    share, stopped = 0.0, -1
+    while True:
+        stops = most <= F.lit(share) * F.col("weight")
+        facts = ranked.agg(F.sum(F.when(stops, most)).alias("full"), F.sum(F.when(~stops, F.col("weight"))).alias("w"), F.count_if(stops).alias("n")).first()
+        if facts["n"] == stopped or not facts["w"]:
+            break
+        share, stopped = float(everything - (facts["full"] or 0)) / float(facts["w"]), facts["n"]
+    return ranked.select("*", F.when(stops, most.cast("double")).otherwise(F.lit(share) * F.col("weight")).alias("target"))
 
 
 def mix_sources(
@@ -73,18 +76,16 @@ def mix_sources(
     keep: tuple[str, ...] = (),
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = MAX_EPOCHS,
-    narrow: bool = True,
 ) -> DataFrame:
-    """``key``, ``source``, the columns in ``keep``, size, source_size, target, taken.
-
-    ``narrow``: store the sizes first, so that texts are read once; give False
-    when ``keep`` holds the text itself.
-    """
+    """``key``, ``source``, the (narrow) columns in ``keep``, size, source_size, target, taken."""
     names = [key, source, *[c for c in keep if c not in (key, source)]]
-    digits = F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, KEY_BITS // 4)
-    sized = df.select(*names, word_count(F.col(text)).alias("size"), F.conv(digits, 16, 10).cast("long").alias("_key"))
-    if narrow:
-        sized = stored(sized, "mix-sizes")
+    sized = stored(df.select(*names, word_count(F.col(text)).alias("size")), "mix-sizes")
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    if not is_unique(sized, key):  # else all rows of a key would stand in one range
+        sized = stored(sized.withColumn("_n", F.monotonically_increasing_id()), "mix-rows")
+        name = F.concat(name, F.lit(":"), F.col("_n").cast("string"))
+    digits = F.substring(F.md5(F.concat(F.lit(SEED), name)), 1, KEY_BITS // 4)
+    sized = sized.withColumn("_key", F.conv(digits, 16, 10).cast("long"))
     bits = max(MIN_RANGE_BITS, math.ceil(math.log2(max(1, sized.count()) / ROWS_A_RANGE)))
     sized = sized.withColumn("_range", F.shiftright("_key", KEY_BITS - bits))
     ranges = sized.groupBy(F.col(source).alias("source"), "_range").agg(F.sum("size").alias("n"))
@@ -106,15 +107,16 @@ def mix_sources(
 def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: ``df``'s rows, repeated and cut as ``taken`` says.
 
-    A cut copy holds the first words of its text, joined by single spaces.
+    A cut copy holds the first words of its text, joined by single spaces. Only
+    narrow rows are placed; the texts are shuffled once, to meet their shares.
     """
     plain, names = renamed(df)
-    key, source, text = names[key], names[source], names[text]
-    mix = mix_sources(plain, key, source, text, keep=tuple(plain.columns), narrow=False)
+    rows = numbered(plain, names[key])
+    mix = stored(mix_sources(rows, "_row", names[source], names[text]).select("_row", "size", "taken"), "mix-shares")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.when(whole > 0, F.array_repeat(F.lit(0), whole)).otherwise(F.array().cast("array<int>"))
     copies = F.concat(copies, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    cut = F.when(F.col("_n") > 0, F.array_join(F.slice(words(F.col(text)), F.lit(1), F.greatest(F.col("_n"), F.lit(1))), " ")).otherwise(F.col(text))
-    spread = mix.withColumn("_n", F.explode(copies))
-    return spread.select(*[(cut if new == text else F.col(new)).alias(old) for old, new in names.items()])
+    cut = F.when(F.col("_n") > 0, F.array_join(F.slice(words(F.col(names[text])), F.lit(1), F.greatest(F.col("_n"), F.lit(1))), " ")).otherwise(F.col(names[text]))
+    spread = rows.join(mix, "_row").withColumn("_n", F.explode(copies))
+    return spread.select(*[(cut if new == names[text] else F.col(new)).alias(old) for old, new in names.items()])

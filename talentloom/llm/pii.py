@@ -323,7 +323,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     plain, names = renamed(df)
     scanned = stored(scan(plain, tuple(plain.columns), names[text]), "pii-spans")
     spans = F.array_sort(F.transform(chosen_spans(accepted_patterns(scanned)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    at = df.columns.index(text)
+    at, order = df.columns.index(text), list(plain.columns)
     ready = scanned.select(*plain.columns, spans.alias("_found"))
 
     def clean(body: str, spans: list[dict]) -> str:
@@ -343,7 +343,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
                 mask[rows] = True
                 new = [clean(columns[at][i].as_py(), found[i].as_py()) for i in rows.tolist()]
                 columns[at] = pc.replace_with_mask(columns[at], pa.array(mask), pa.array(new, columns[at].type))
-            yield pa.RecordBatch.from_arrays(columns, names=plain.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=order)
 
     out = ready.mapInArrow(cleaned, plain.schema)
     return out.select(*[F.col(new).alias(old) for old, new in names.items()])

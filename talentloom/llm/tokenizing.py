@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-MEMO_ENTRIES = 800_000
-SLICE_BYTES = 8 << 20
+MEMO_ENTRIES = 600_000
+SLICE_BYTES = 2 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
