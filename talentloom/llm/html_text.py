@@ -1,24 +1,25 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one splits a page into blocks and decides each by its container, link
-density, length and stop-word density. Pass two lets undecided short blocks
-inherit the label of the nearest decided neighbours. A page is one row, so the
-operator is a map without a shuffle.
-
-Containers decide first: what stands in navigation, headers, footers, asides,
-forms, adverts, notices or comments (by tag, role, class or id) is dropped; what
-stands in an article or main element is kept unless it is mostly links. Other
-blocks go by the densities.
+A page is split into blocks. Pass one looks at link density, length and stop-word
+density of every block: mostly links is dropped, long enough prose is kept, the
+rest stays open. The innermost telling container (by tag, role, class or id) is one
+more input: navigation, headers, footers, asides, forms, adverts, notices and
+comments are dropped whatever their words are, and outside of an article or main
+element a line that claims rights is dropped too. Pass two lets open blocks inherit the label of their nearest decided
+neighbours in the same kind of container. A page is one row, so the operator is
+a map without a shuffle; its work is linear in the page.
 
 Edge cases: null or empty html gives an empty text; unclosed or cut-off tags,
 comments and scripts end with the page; repeated rows give repeated results;
 clashing extra columns are not carried. ``br`` is white space inside a block.
+A page whose blocks are all open is kept whole.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ BLOCKS = frozenset(
 )
 FURNITURE = frozenset("nav header footer aside form menu head dialog button select textarea noscript iframe object svg canvas template fieldset".split())
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PUNCTUATION = ".,;:!?\"'()[]«»“”"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "svg", "iframe")
 NAMES = frozenset(
@@ -55,6 +58,8 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+#: How a line of rights begins.
+RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 LONG = 140
 SHORT = 70
 MANY_STOP_WORDS = 0.2
@@ -63,14 +68,15 @@ MANY_LINKS = 0.5
 _STOP = frozenset(STOP_WORDS)
 
 KEEP, DROP, OPEN = 1, 0, -1
+#: What the innermost telling container says.
+ARTICLE, PLAIN, ASIDE = 1, 0, -1
 
 
 @dataclass
 class Block:
     text: str
-    linked: int  # characters inside links
-    furniture: bool
-    content: bool
+    links: float  # share of its characters inside links
+    hint: int
 
 
 def _marks(attributes: str) -> bool:
@@ -93,23 +99,41 @@ def _marks(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order, with what surrounds each."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, furniture, content
+    stack: list[tuple[str, int]] = []  # open elements: name, hint that holds inside
+    held: Counter[str] = Counter()  # how many of each name are open
     pieces: list[str] = []
-    linked = links = 0
+    linked: list[str] = []
+    links = 0
+    own: int | None = None  # the hint of a paragraph, or of a heading in an article's header
+
+    def hint() -> int:
+        return stack[-1][1] if stack else PLAIN
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(pieces)).split())
+        text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, linked, any(x[1] for x in stack), any(x[2] for x in stack)))
+            inside = sum(len(x) for x in "".join(linked).split())
+            out.append(Block(text, inside / max(1, len(text) - text.count(" ")), hint() if own is None else own))
         pieces.clear()
-        linked = 0
+        linked.clear()
 
     def take(text: str) -> None:
-        nonlocal linked
+        text = html.unescape(text)
         pieces.append(text)
         if links:
-            linked += len(text.strip())
+            linked.append(text)
+
+    def push(name: str, says: int) -> None:
+        stack.append((name, says))
+        held[name] += 1
+
+    def pop(name: str) -> None:
+        """Close the innermost open ``name`` and all inside it."""
+        while held[name]:
+            last = stack.pop()[0]
+            held[last] -= 1
+            if last == name:
+                break
 
     at = 0
     for m in MARKUP.finditer(page):
@@ -127,26 +151,27 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
         elif name in BLOCKS or name in FURNITURE:
             flush()
-            links = 0
+            links, own = 0, None
             if name == "body":  # a head that was never closed ends here
-                stack = [x for x in stack if x[0] != "head"]
+                pop("head")
             if m[2]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            elif name not in VOID and name not in ("p", "html", "body"):
+                pop(name)
+            elif name == "p":
+                own = ASIDE if _marks(m[4]) else None
+            elif name not in VOID and name not in ("html", "body"):
                 if name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
+                    pop(name)
+                if name in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][1] == ARTICLE:
+                    own = ARTICLE  # the article's own header
                 if not m[4].rstrip().endswith("/"):
-                    content = name in CONTENT
-                    stack.append((name, name in FURNITURE or (not content and _marks(m[4])), content))
+                    says = ARTICLE if name in CONTENT else ASIDE if name in FURNITURE or _marks(m[4]) else hint() if own is None else own
+                    push(name, says)
         elif not m[2] and name not in VOID and _marks(m[4]):  # inline furniture
             flush()
-            stack.append((name, True, False))
+            push(name, ASIDE)
         elif m[2] and stack and stack[-1][0] == name:
             flush()
-            stack.pop()
+            pop(name)
     if at < len(page):
         take(page[at:])
     flush()
@@ -154,47 +179,51 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> int:
-    """KEEP, DROP or OPEN by container and densities."""
-    if block.furniture:
+    """KEEP, DROP or OPEN by densities and container."""
+    if block.links > MANY_LINKS or block.hint == ASIDE:
         return DROP
-    share = block.linked / len(block.text)
-    if share > MANY_LINKS:
+    size = len(block.text)
+    if size < LONG and block.hint == PLAIN and RIGHTS.match(block.text):
         return DROP
-    if block.content:
-        return KEEP
-    tokens = block.text.lower().split()
-    stop = sum(t in _STOP for t in tokens) / len(tokens)
-    if len(block.text) < SHORT:
+    if size < SHORT:
         return OPEN
-    if len(block.text) >= LONG and stop >= MANY_STOP_WORDS or stop >= SOME_STOP_WORDS and share == 0:
+    tokens = block.text.lower().split()
+    stop = sum(t.strip(PUNCTUATION) in _STOP for t in tokens) / len(tokens)
+    if size >= LONG and (stop >= MANY_STOP_WORDS or block.links == 0) or stop >= SOME_STOP_WORDS and block.links == 0:
         return KEEP
     return OPEN
 
 
-def second_pass(labels: list[int]) -> list[int]:
-    """Open labels take that of the nearest decided neighbour (kept on ties or without any)."""
-    n = len(labels)
-    left, right = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        last = i if labels[i] != OPEN else last
-        left[i] = last
-    last = None
-    for i in range(n - 1, -1, -1):
-        last = i if labels[i] != OPEN else last
-        right[i] = last
+def second_pass(labels: list[int], hints: list[int]) -> list[int]:
+    """Open labels take that of the nearest decided neighbour (kept on ties or without any).
+
+    An article's open blocks do not look at what stands outside of it.
+    """
     out = list(labels)
-    for i, label in enumerate(labels):
-        if label == OPEN:
-            near = [(abs(i - k), -labels[k], labels[k]) for k in (left[i], right[i]) if k is not None]
-            out[i] = min(near)[2] if near else KEEP
+    for kind in (ARTICLE, PLAIN):
+        seen = [i for i, h in enumerate(hints) if kind == PLAIN or h == kind]
+        before = _last_decided(seen, labels)
+        after = _last_decided(seen[::-1], labels)
+        for i in seen:
+            if labels[i] == OPEN and hints[i] == kind:
+                near = [(abs(i - k), -labels[k], labels[k]) for k in (before[i], after[i]) if k is not None]
+                out[i] = min(near)[2] if near else KEEP
+    return out
+
+
+def _last_decided(order: list[int], labels: list[int]) -> dict[int, int | None]:
+    """For each block of ``order``, the last decided one up to it."""
+    out, last = {}, None
+    for i in order:
+        last = i if labels[i] != OPEN else last
+        out[i] = last
     return out
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: kept blocks joined by line feeds."""
     found = blocks(page or "")
-    labels = second_pass([first_pass(b) for b in found])
+    labels = second_pass([first_pass(b) for b in found], [b.hint for b in found])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == KEEP)
 
 

@@ -1,6 +1,7 @@
 """Each operator on awkward tables, and against brute force."""
 
 import hashlib
+import html
 import math
 import random
 import re
@@ -249,8 +250,57 @@ def test_html_without_article():
     body = "<div><p>The story of the day is that a man of the town was in the house with a dog and it was on the news for this.</p><p>Short one.</p></div>"
     page = f"<ul class='menu'><li><a>Home</a></li></ul>{body}<div class='sidebar'>The side of it and the other of it in this</div>"
     assert html_text.main_text(page).endswith("Short one.") and "Home" not in html_text.main_text(page) and "side of it" not in html_text.main_text(page)
-    assert html_text.second_pass([-1, 1, -1, -1, 0, -1]) == [1, 1, 1, 0, 0, 0]
-    assert html_text.second_pass([-1, -1]) == [1, 1]
+    assert html_text.second_pass([-1, 1, -1, -1, 0, -1], [0] * 6) == [1, 1, 1, 0, 0, 0]
+    assert html_text.second_pass([-1, -1], [0, 0]) == [1, 1]
+    assert html_text.second_pass([0, -1, 0, 1], [-1, 1, -1, 1]) == [0, 1, 0, 1]  # an article's block between adverts
+
+
+PROSE = "The story of the day is that a man of the town was in the house with a dog, and it was on the news for this and for that; so it is."
+
+
+def test_html_goes_by_densities_where_nothing_is_named():
+    """The same page with telling elements and class names, and with plain divs."""
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(5))
+    page = (
+        f"<nav><ul>{links}</ul></nav><div class='ad'>Buy it now.</div><article><h1>A title</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>"
+        f"<table><tr><td>{'12 | 13 | x ' * 15}</td></tr></table></article><footer>&copy; example.org, {PROSE[:60]}</footer>"
+    )
+    bare = re.sub(r"<(nav|article|footer)>", "<div>", re.sub(r"</(nav|article|footer)>", "</div>", page)).replace(" class='ad'", "")
+    want = f"A title\n{PROSE}\nShort one.\n{PROSE}\n{('12 | 13 | x ' * 15).strip()}"
+    assert html_text.main_text(page) == html_text.main_text(bare) == want
+
+
+def test_html_innermost_container_decides():
+    for outer in ("class='layout has-sidebar'", "id='search-results'", "role='search'"):
+        assert html_text.main_text(f"<div {outer}><article><p>{PROSE}</p><aside><p>{PROSE}</p></aside></article><p>{PROSE}</p></div>") == PROSE
+    assert html_text.main_text(f"<p class='cookie-notice'>{PROSE}</p><p>{PROSE}<p>{PROSE}") == f"{PROSE}\n{PROSE}"
+    assert html_text.main_text(f"<article><header><h1>Title</h1><p>by me</p></header><p>{PROSE}</p></article>") == f"Title\n{PROSE}"
+
+
+def test_html_link_share_is_of_visible_text():
+    spaced = f"<p>{PROSE} <a href='x'>{'one' + ' ' * 90 + '&nbsp;&amp;&lt;&gt;&quot;' * 3}</a></p>"
+    assert html_text.main_text(spaced).startswith(PROSE)
+
+
+def test_html_of_a_very_long_page():
+    began = time.process_time()
+    for page in ("<div>" * 200_000 + "x" + "</section>" * 50_000, f"<p>{PROSE}</p>" * 20_000, "<a href='" * 100_000, "<li><td>" * 100_000, "<b>" * 300_000):
+        html_text.main_text(page)
+    assert time.process_time() - began < 60
+
+
+def _article(page):
+    """The blocks of the only article, plainly."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", body)
+    return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", x)).split()) for x in parts) if x)
+
+
+def test_html_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got == {r.page_id: _article(r.html) for r in pages.collect()}
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
 def _toxic_rows():
