@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -26,6 +26,15 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def numbered(df: DataFrame, array: str | Column, place: str, item: str, *keep: str) -> DataFrame:
+    """The columns in ``keep``, and place and value of every element of ``array``.
+
+    The outer form, and a filter after it: before the inner form Spark tests the
+    size of the array, which computes an expensive one again.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(place, item)).filter(F.col(place).isNotNull())
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

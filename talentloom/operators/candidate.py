@@ -88,14 +88,12 @@ def _entries(sections: DataFrame, kind: str, starts_entry) -> DataFrame:
     which ``starts_entry`` holds.
     """
     chosen = sections.filter(F.col("section_type") == kind)
-    blocks = chosen.select(
-        "document_id", "section_idx", "page_number",
-        F.posexplode(F.filter(F.transform(F.split("body_text", "\n\n", -1), T.strip), lambda b: b != "")).alias("_b", "block"),
-    )
+    parts = F.filter(F.transform(F.split("body_text", "\n\n", -1), T.strip), lambda b: b != "")
+    blocks = T.numbered(chosen, parts, "_b", "block", "document_id", "section_idx", "page_number")
     lined = blocks.select("*", F.split("block", "\n", -1).alias("_lines"))
     flagged = lined.select("*", F.transform("_lines", lambda x, i: (i == 0) | starts_entry(x)).alias("_flags"))
     started = flagged.select("*", F.filter(F.transform("_flags", lambda f, i: F.when(f, i)), lambda i: i.isNotNull()).alias("_starts"))
-    each = started.select("*", F.posexplode("_starts").alias("_k", "_at"))
+    each = T.numbered(started, "_starts", "_k", "_at", "*")
     stop = F.coalesce(F.get("_starts", F.col("_k") + 1), F.size("_lines"))
     entry = T.strip(F.array_join(F.slice("_lines", F.col("_at") + 1, stop - F.col("_at")), "\n"))
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("section_idx", "_b", "_k")) - 1
@@ -189,7 +187,7 @@ def extract_projects(sections: DataFrame) -> DataFrame:
 
 def _section_lines(sections: DataFrame, kind: str, wanted=lambda x: x != "") -> DataFrame:
     """document_id, idx, line, page_number of the wanted lines in sections of one kind."""
-    lines = sections.filter(F.col("section_type") == kind).select("document_id", "section_idx", "page_number", F.posexplode(T.filled_lines(F.col("body_text"))).alias("_i", "line"))
+    lines = T.numbered(sections.filter(F.col("section_type") == kind), T.filled_lines(F.col("body_text")), "_i", "line", "document_id", "section_idx", "page_number")
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("section_idx", "_i")) - 1
     return lines.filter(wanted(F.col("line"))).select("document_id", place.alias("idx"), "line", "page_number")
 
@@ -219,9 +217,8 @@ def extract_skills(sections: DataFrame, alias_index: DataFrame, technical: bool
     Only SKILLS sections are read; ``technical`` adds TECHNICAL_SKILLS.
     """
     kinds = ["SKILLS", "TECHNICAL_SKILLS"] if technical else ["SKILLS"]
-    tokens = sections.filter(F.col("section_type").isin(kinds)).select(
-        "document_id", "section_idx", "section_type", "page_number", F.posexplode(T.delimited_tokens(F.col("body_text"))).alias("_i", "raw_text")
-    )
+    own = sections.filter(F.col("section_type").isin(kinds))
+    tokens = T.numbered(own, T.delimited_tokens(F.col("body_text")), "_i", "raw_text", "document_id", "section_idx", "section_type", "page_number")
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("section_idx", "_i")) - 1
     known = normalize_skill_name(tokens.withColumn("idx", place), "raw_text", alias_index)
     confidence = F.when(F.col("canonical_name").isNotNull(), config.SKILL_KNOWN_CONFIDENCE).otherwise(config.SKILL_UNKNOWN_CONFIDENCE)

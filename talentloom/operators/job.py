@@ -45,7 +45,8 @@ def extract_requirements(sections: DataFrame, forms: list[tuple[str, str]], skil
     starts as REQUIRED. A skill mention beats a number of years, which beats
     a degree.
     """
-    lines = sections.filter("section_type = 'REQUIREMENTS'").select("document_id", "section_idx", "page_number", F.posexplode(F.split("body_text", "\n", -1)).alias("_i", "_raw"))
+    own = sections.filter("section_type = 'REQUIREMENTS'")
+    lines = T.numbered(own, F.split("body_text", "\n", -1), "_i", "_raw", "document_id", "section_idx", "page_number")
     bare = lines.select("*", unbulleted(F.col("_raw")).alias("raw_text")).filter("raw_text <> ''")
     mark = T.fold(F.regexp_replace("raw_text", ":+$", ""))
     marked = bare.select("*", F.when(mark.isin(*config.REQUIRED_MARKS), "REQUIRED").when(mark.isin(*config.PREFERRED_MARKS), "PREFERRED").alias("_mark"))

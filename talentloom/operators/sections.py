@@ -34,35 +34,46 @@ def _alias_table(headings: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     return sorted(flat.items(), key=lambda x: (-len(x[0]), x[0]))
 
 
+def _constant(values: list[str]) -> Column:
+    """A constant array, folded by the optimizer."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def section_heading(c: Column, headings: dict[str, tuple[str, ...]] = config.HEADINGS) -> Column:
     """Section type of a heading: exact alias, else the longest alias inside it, else OTHER."""
     return T.let(T.clean_heading(c), lambda clean: _heading_type(clean, headings))
 
 
 def _heading_type(clean: Column, headings: dict[str, tuple[str, ...]]) -> Column:
-    out = F.lit("OTHER")
-    for alias, kind in reversed(_alias_table(headings)):
-        out = F.when(clean.contains(alias), kind).otherwise(out)
-    return F.coalesce(T.lookup(clean, dict(_alias_table(headings))), out)
+    table = _alias_table(headings)
+    aliases, kinds = _constant([a for a, _ in table]), _constant([k for _, k in table])
+    inside = F.get(F.filter(aliases, lambda a: F.contains(clean, a)), F.lit(0))
+    hit = F.when(F.array_contains(aliases, clean), clean).otherwise(inside)
+    return F.coalesce(F.get(kinds, F.array_position(aliases, hit).cast("int") - 1), F.lit("OTHER"))
 
 
 def heading_score(line: Column, typical: Column, headings: dict[str, tuple[str, ...]] = config.HEADINGS) -> Column:
     """Sum of weak signals that a line is a heading, at most 1; ``line`` is a LINE struct."""
-    bare = T.strip(line["text"])
+    return T.let(T.strip(line["text"]), lambda bare: _bare_score(bare, line, typical, headings))
+
+
+def _bare_score(bare: Column, line: Column, typical: Column, headings: dict[str, tuple[str, ...]]) -> Column:
     out = (bare == "") | (F.length(bare) > config.HEADING_LENGTH) | bare.rlike("[.,;]$")
-    scored = T.let(F.struct(bare.alias("bare"), T.clean_heading(bare).alias("clean")), lambda x: _signals(x["bare"], x["clean"], line, typical, headings))
+    scored = T.let(T.clean_heading(bare), lambda clean: _signals(bare, clean, line, typical, headings))
     return F.when(out, 0.0).otherwise(scored)
 
 
 def _signals(bare: Column, clean: Column, line: Column, typical: Column, headings: dict[str, tuple[str, ...]]) -> Column:
     parts = config.HEADING_PARTS
     aliases = [a for a, _ in _alias_table(headings)]
+    # A text holds some alias just when it holds one that has no other inside.
+    least = _constant([a for a in aliases if not any(b != a and b in a for b in aliases)])
     caps = (bare == F.upper(bare)) & (bare != F.lower(bare)) & (F.length(bare) >= 5) & (F.size(F.split(bare, r"(?U)\s+")) <= 6)
     large = (line["font_size"] > 0) & (typical > 0) & (line["font_size"] >= typical * config.FONT_RATIO)
     few = F.size(F.split(clean, " ")) <= 3
     when = lambda test, part: F.when(F.coalesce(test, F.lit(False)), parts[part]).otherwise(0.0)
     total = when(line["is_heading_style"], "style") + when(clean.isin(aliases), "alias") + when(caps, "caps") + when(large, "font")
-    total = total + when(line["is_bold"], "bold") + F.when(few, when(_heading_type(clean, headings) != "OTHER", "contains")).otherwise(0.0)
+    total = total + when(line["is_bold"], "bold") + F.when(few, when(F.exists(least, lambda a: F.contains(clean, a)), "contains")).otherwise(0.0)
     return F.least(total, F.lit(1.0))
 
 
@@ -101,36 +112,36 @@ def detect_sections(docs: DataFrame, lines: DataFrame | None = None, headings: d
         rows = rows.join(docs.select("document_id", "raw_text"), "document_id")
     else:
         rows = rows.withColumn("raw_text", F.array_join("lines.text", "\n"))
-    scored = rows.select(
-        "document_id", "lines", T.detect_language(F.col("raw_text"))["language"].alias("language"),
-        F.transform("lines", lambda x: heading_score(x, F.col("typical_font_size"), headings)).alias("_scores"),
-    )
-    marked = scored.select(
-        "document_id", "language", "lines", "_scores",
-        F.filter(F.transform("_scores", lambda s, i: F.when(s >= config.HEADING_THRESHOLD, i)), lambda i: i.isNotNull()).alias("_heads"),
-    )
-    opened = marked.filter(F.size("lines") > 0).withColumn("_starts", F.concat(F.array(F.lit(-1)), "_heads"))
-    each = opened.select("*", F.posexplode("_starts").alias("_k", "_at"))
-    stop = F.coalesce(F.get("_starts", F.col("_k") + 1), F.size("lines"))
-    body = T.strip(F.array_join(F.slice(F.transform("lines", lambda x: F.coalesce(x["text"], F.lit(""))), F.col("_at") + 2, stop - F.col("_at") - 1), "\n"))
-    head = F.get("lines", F.greatest("_at", F.lit(0)))
-    led = F.col("_at") >= 0
-    found = each.select(
-        "document_id", "_k", F.when(led, section_heading(head["text"], headings)).otherwise("OTHER").alias("section_type"),
-        F.when(led, T.strip(head["text"])).otherwise("").alias("heading_text"), body.alias("body_text"), head["page_number"].alias("page_number"),
-        "language", F.when(led, F.get("_scores", "_at")).otherwise(1.0).alias("confidence"), head["column_index"].alias("column_index"),
-        "_starts", "lines",
+    scored = rows.filter(F.size("lines") > 0).select(
+        "document_id", T.detect_language(F.col("raw_text"))["language"].alias("language"),
+        T.let(F.struct("lines", F.transform("lines", lambda x: heading_score(x, F.col("typical_font_size"), headings)).alias("scores")), _cut).alias("_sections"),
     )
-    kept = found.filter("heading_text <> '' or body_text <> ''")
-    # Only the leading section can be missing, so the index shifts by one at most.
-    first = F.get("_starts", F.lit(1))
-    lead_body = T.strip(F.array_join(F.slice(F.transform("lines", lambda x: F.coalesce(x["text"], F.lit(""))), F.lit(1), F.coalesce(first, F.size("lines"))), "\n"))
-    return kept.select(
-        "document_id", (F.col("_k") - F.when(lead_body == "", 1).otherwise(0)).alias("section_idx"), "section_type", "heading_text", "body_text",
-        "page_number", "language", "confidence", "column_index",
+    each = T.numbered(scored, "_sections", "section_idx", "s", "document_id", "language")
+    return each.select(
+        "document_id", "section_idx", F.when(F.col("s.led"), section_heading(F.col("s.heading_text"), headings)).otherwise("OTHER").alias("section_type"),
+        "s.heading_text", "s.body_text", "s.page_number", "language", "s.confidence", "s.column_index",
     )
 
 
+def _cut(found: Column) -> Column:
+    """Sections of struct<lines, scores>, cut in the row: only its own text goes with each."""
+    heads = F.filter(F.transform(found["scores"], lambda s, i: F.when(s >= config.HEADING_THRESHOLD, i)), lambda i: i.isNotNull())
+    texts = F.transform(found["lines"], lambda x: F.coalesce(x["text"], F.lit("")))
+    bound = F.struct(F.concat(F.array(F.lit(-1)), heads, F.array(F.size(found["lines"]))).alias("edges"), texts.alias("texts"))
+
+    def section(x: Column, k: Column) -> Column:
+        at, stop = F.get(x["edges"], k), F.get(x["edges"], k + 1)
+        led, head = at >= 0, F.get(found["lines"], F.greatest(at, F.lit(0)))
+        return F.struct(
+            led.alias("led"), F.when(led, T.strip(head["text"])).otherwise("").alias("heading_text"),
+            T.strip(F.array_join(F.slice(x["texts"], at + 2, stop - at - 1), "\n")).alias("body_text"), head["page_number"].alias("page_number"),
+            F.when(led, F.get(found["scores"], at)).otherwise(1.0).alias("confidence"), head["column_index"].alias("column_index"),
+        )
+
+    every = T.let(bound, lambda x: F.transform(F.sequence(F.lit(0), F.size(x["edges"]) - 2), lambda k: section(x, k)))
+    return F.filter(every, lambda s: (s["heading_text"] != "") | (s["body_text"] != ""))
+
+
 def section_summary(sections: DataFrame) -> DataFrame:
     """document_id, sections: what is kept on the document about its sections, in order."""
     row = F.struct("section_idx", F.struct(F.col("section_type").alias("type"), F.col("heading_text").alias("heading"), F.col("page_number").alias("page"), "language", "confidence").alias("s"))

@@ -45,7 +45,7 @@ def permits(allowed: Column, transformation: str) -> Column:
 def known_skill_names(facts: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
     """document_id, known array<string>: skills' names and every mention in any fact."""
     own = F.when(F.col("type") == "SKILL", F.array(F.coalesce("normalized_value", "value"))).otherwise(F.array().cast("array<string>"))
-    names = facts.select("document_id", F.explode(F.array_union(own, scan_mentions(F.col("value"), forms))).alias("n"))
+    names = T.numbered(facts, F.array_union(own, scan_mentions(F.col("value"), forms)), "_i", "n", "document_id")
     return names.groupBy("document_id").agg(F.array_sort(F.collect_set("n")).alias("known"))
 
 

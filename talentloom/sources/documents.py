@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import config
 from ..functions import text as T
@@ -85,7 +87,7 @@ def parse_plain_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = F.is_valid_utf8(text) & (T.strip(text) != "")
     parsed = docs.withColumns({"raw_text": F.when(F.coalesce(fine, F.lit(False)), text), "status": F.when(F.coalesce(fine, F.lit(False)), "PROCESSED").otherwise("FAILED")})
     parts = F.filter(F.transform(F.split("raw_text", "\n\n", -1), T.strip), lambda x: x != "")
-    blocks = parsed.filter("raw_text is not null").select("document_id", F.posexplode(parts).alias("block_idx", "text"))
+    blocks = T.numbered(parsed.filter("raw_text is not null"), parts, "block_idx", "text", "document_id")
     return parsed, blocks
 
 
@@ -98,14 +100,44 @@ def replaced(existing: DataFrame, new: DataFrame, key: str = "document_id", of:
     return existing.join(keys, key, "left_anti").unionByName(new)
 
 
-def write_profiles(tables: dict[str, tuple[DataFrame, DataFrame]], processed: DataFrame, path: str) -> None:
-    """Write name -> (existing, new) as ``path/name``, replacing the rows of processed documents."""
-    for name, (existing, new) in tables.items():
-        replaced(existing, new, of=processed).write.mode("overwrite").parquet(f"{path}/{name}")
+#: Parts of a stored profile table; a document's rows stand in the part of its hash.
+BUCKETS = 64
+
+
+def read_profiles(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """A table that write_profiles stored (None if there is none yet)."""
+    try:
+        rows = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException:  # nothing was stored yet
+        return None
+    return rows.filter("document_id is not null").drop("bucket")
+
+
+def write_profiles(tables: dict[str, DataFrame], processed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace the rows of the ``processed`` documents (document_id) by those of ``tables`` (name -> rows), in the tables ``path/name``.
+
+    Only the parts that processed documents fall into are read and written.
+    Spark writes them beside the old ones and swaps each in as the job ends, so
+    a failed job leaves the table as it was. A part whose rows all went keeps a
+    row without document_id, as a part without rows would not be swapped.
+    """
+    spark = processed.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    ids = processed.select("document_id").distinct()
+    touched = [r[0] for r in ids.select(bucket.alias("b")).distinct().collect()]  # ``buckets`` rows at most
+    for name, new in tables.items():
+        rows = new.withColumn("bucket", bucket)
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        old = read_profiles(spark, f"{path}/{name}", rows.schema)
+        if old is not None:
+            rest = old.withColumn("bucket", bucket).filter(F.col("bucket").isin(touched)).join(ids, "document_id", "left_anti")
+            rows = rows.unionByName(rest)
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a (entity_type, entity_id, model, version): the newest by created_at, ``new`` on ties."""
+    """One row a (entity_type, entity_id, model, version): that of ``new`` if it has one (its newest by created_at), else the existing one."""
     keys = ["entity_type", "entity_id", "model", "version"]
     both = existing.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
     order = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc("created_at"))

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from .. import config
 from ..sources.documents import IDENTITY, dedupe_uploads, parse_plain_text, validate_uploads
@@ -19,30 +19,50 @@ SCHEMA = (
 )
 
 
+#: Parts of the target by file hash; a batch reads the parts that its own hashes fall into.
+BUCKETS = 64
+
+
+def current_documents(stored: DataFrame) -> DataFrame:
+    """The newest row of each document: a document that failed once may have been read again."""
+    order = Window.partitionBy("document_id").orderBy(F.desc("batch"))
+    return stored.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+
+
 def stream_documents(spark: SparkSession, path: str, target: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Append new, valid, not yet processed uploads below ``path`` to the table at ``target``.
+    """Append valid uploads below ``path`` that still need processing to the table at ``target``.
 
     A batch is checked, deduplicated against the target and in itself (exact,
-    without state that grows), parsed, and handed to ``then`` for profiles.
-    ``path`` holds Parquet files of SCHEMA.
+    without state that grows), parsed, and handed to ``then`` for profiles. An
+    upload that was stored but failed is processed again, under the stored id.
+    Uploads that break a rule go to ``target``-rejected with the reason.
+    ``path`` holds Parquet files of SCHEMA; see ``current_documents`` for reading.
     """
     uploads = spark.readStream.schema(SCHEMA).parquet(path)
+    bucket = F.pmod(F.crc32(F.col("file_hash").cast("binary")), F.lit(BUCKETS)).cast("int")
 
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        accepted, _ = validate_uploads(batch)
-        stored = StructType([*session.createDataFrame([], SCHEMA).schema.fields, StructField("raw_text", StringType()), StructField("batch", LongType())])
+        accepted, rejected = validate_uploads(batch)
+        rejected.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}-rejected")
+        fields = session.createDataFrame([], SCHEMA).schema.fields
+        stored = StructType([*fields, StructField("raw_text", StringType()), StructField("bucket", IntegerType()), StructField("batch", LongType())])
+        mine = [r[0] for r in accepted.select(bucket.alias("b")).distinct().collect()]  # BUCKETS rows at most
         try:
-            existing = session.read.schema(stored).parquet(target)
+            # A batch that was cut off is written again: its own rows do not count as stored.
+            existing = session.read.schema(stored).parquet(target).filter(F.col("bucket").isin(mine) & (F.col("batch") < number))
         except AnalysisException:  # nothing was stored yet
             existing = session.createDataFrame([], stored)
-        # A batch that was cut off is written again: its own rows do not count as stored.
-        fresh = dedupe_uploads(accepted, existing.filter(F.col("batch") != number).select(*batch.columns)).filter("is_new").select(*batch.columns)
-        parsed, _ = parse_plain_text(fresh)
-        rows = parsed.withColumn("batch", F.lit(number).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        known = current_documents(existing.select(*IDENTITY, "document_id", "status", "batch"))
+        told = dedupe_uploads(accepted, known.drop("batch")).filter("needs_processing")
+        once = Window.partitionBy("stored_id").orderBy("document_id")
+        told = told.withColumn("_r", F.row_number().over(once)).filter("_r = 1").withColumn("document_id", F.col("stored_id"))
+        parsed, _ = parse_plain_text(told.select(*batch.columns))
+        rows = parsed.withColumns({"bucket": bucket, "batch": F.lit(number).cast("long")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
         if then is not None:
-            then(session.read.schema(rows.schema).parquet(target).filter(F.col("batch") == number), number)
+            written = session.read.schema(rows.schema).parquet(target).filter(F.col("bucket").isin(mine) & (F.col("batch") == number))
+            then(written.drop("bucket"), number)
 
     return uploads.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -137,6 +137,54 @@ def test_stream(spark, tmp_path):
     assert sorted(r.document_id for r in spark.read.parquet(target).collect()) == ["a", "d"] and seen == [1, 1]
 
 
+def test_stream_reads_failed_uploads_again_and_keeps_rejected_ones(spark, tmp_path):
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    bad, seen = b"\xff\xfe", []
+    for rows in ([("a", None, bad), ("b", None, b"fine"), ("e", None, b"")], [("c", None, bad), ("d", None, b"fine"), ("f", None, bad)]):
+        uploads(spark, rows).write.mode("append").parquet(source)
+        q = intake.stream_documents(spark, source, target, f"file://{tmp_path}/check", lambda df, n: seen.append(sorted((r.document_id, r.status) for r in df.collect())))
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert seen == [[("a", "FAILED"), ("b", "PROCESSED")], [("a", "FAILED")]]
+    now = intake.current_documents(spark.read.parquet(target)).collect()
+    assert sorted((r.document_id, r.status, r.batch) for r in now) == [("a", "FAILED", 1), ("b", "PROCESSED", 0)]
+    assert [(r.document_id, r.reject_reason) for r in spark.read.parquet(f"{target}-rejected").collect()] == [("e", "empty file")]
+
+
+def test_write_profiles_in_place(spark, tmp_path):
+    """The table is read from the very folder that is written."""
+    path = f"file://{tmp_path}/profiles"
+    rows = lambda *x: spark.createDataFrame(list(x), "document_id string, v int")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "document_id string")
+    kept = lambda: sorted((r.document_id, r.v) for r in storage.read_profiles(spark, f"{path}/t").collect())
+    assert storage.read_profiles(spark, f"{path}/t") is None
+    storage.write_profiles({"t": rows(("a", 1), ("a", 2), ("b", 3), ("c", 4))}, ids("a", "b", "c"), path, 4)
+    assert kept() == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
+    storage.write_profiles({"t": storage.read_profiles(spark, f"{path}/t").filter("document_id = 'a'").withColumn("v", F.col("v") * 10)}, ids("a", "c"), path, 4)
+    assert kept() == [("a", 10), ("a", 20), ("b", 3)]
+    storage.write_profiles({"t": rows()}, ids("a", "b"), path, 4)
+    assert kept() == []
+
+
+def test_headings_of_all_types(spark):
+    from talentloom import config
+
+    told = {
+        "PERSONAL_INFORMATION": ("Contact Details", "Coordonnées"), "SUMMARY": ("Profile", "Résumé professionnel"), "HIGHLIGHTS": ("Career Highlights",),
+        "CORE_QUALIFICATIONS": ("Core Qualifications",), "EXPERIENCE": ("Work History", "Expériences professionnelles", "Internships"), "EDUCATION": ("Academic Background", "Études"),
+        "PROJECTS": ("Side Projects", "Projets personnels"), "SKILLS": ("Areas of Expertise", "Compétences clés"), "TECHNICAL_SKILLS": ("Technical Skills", "Outils et technologies"),
+        "CERTIFICATIONS": ("Licenses and Certifications", "Certificats"), "LANGUAGES": ("Spoken Languages", "Langues"), "ACHIEVEMENTS": ("Awards and Honors", "Réalisations"),
+        "PUBLICATIONS": ("Selected Publications",), "PRESENTATIONS": ("Speaking Engagements",), "VOLUNTEER_EXPERIENCE": ("Volunteer Experience", "Bénévolat"),
+        "LEADERSHIP": ("Leadership Roles",), "INTERESTS": ("Personal Interests", "Centres d'intérêt"), "HOBBIES": ("Hobbies & Interests", "Loisirs"),
+        "AFFILIATIONS": ("Professional Memberships",), "SCHOLARSHIPS": ("Grants and Scholarships",), "ADDITIONAL_INFORMATION": ("Additional Information", "Informations complémentaires"),
+        "RESPONSIBILITIES": ("What you'll do", "Key Responsibilities"), "REQUIREMENTS": ("What we're looking for", "Required skills"), "OTHER": ("Lorem ipsum", ""),
+    }
+    assert set(told) == set(config.SECTION_TYPES)
+    rows = [(kind, text) for kind, texts in told.items() for text in texts]
+    got = spark.createDataFrame(rows, "kind string, text string").select("kind", "text", sections.section_heading(F.col("text")).alias("got")).collect()
+    assert [(r.text, r.got) for r in got if r.got != r.kind] == []
+
+
 def test_stream_dedupe(spark, tmp_path):
     uploads(spark, [("a", "o", b"x"), ("b", "o", b"x"), ("c", "o", b"y")]).write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(UPLOAD).parquet(f"file://{tmp_path}/in")
