@@ -25,6 +25,26 @@ def eligible_pairs(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFr
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+#: Ids that one row of the smaller side of the bulk form holds.
+BLOCK = 4096
+
+
+def eligible_grid(docs: DataFrame) -> DataFrame:
+    """candidate_id, job_id: every processed CV with every processed job offer, the bulk form of eligible pairs.
+
+    The offers' ids travel as blocks (one row each, of bounded size); a CV meets
+    every block once, and pairs appear only as blocks are opened. The pairs are
+    as many as CVs times offers; give a pair table to ``eligible_pairs`` where
+    that is too much.
+    """
+    ready = docs.filter("status = 'PROCESSED'")
+    jobs = ready.filter("document_type = 'JOB_OFFER'").select(F.col("document_id").alias("job_id"))
+    blocks = max(1, -(-jobs.count() // BLOCK))
+    dealt = jobs.groupBy(F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("job_id").alias("jobs"))
+    cvs = ready.filter("document_type = 'CV'").select(F.col("document_id").alias("candidate_id"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return cvs.join(dealt, "block").select("candidate_id", F.explode("jobs").alias("job_id"))
+
+
 def dimension_scores(evals: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """keys, dimension, score (mean), evaluation_count."""
     return evals.groupBy(*keys, "dimension").agg(F.avg("score").alias("score"), F.count("*").alias("evaluation_count"))

@@ -6,6 +6,9 @@ alone what must be extracted.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,25 @@ def _docs(m: Model) -> DataFrame:
 
 # --- language, lines, sections ---------------------------------------------------
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
-@query("document_language")
+_WORDS = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+_MARKS = config.FR_DIACRITICS + config.FR_DIACRITICS.upper()
+# RE2 has no look-behind: apostrophes are doubled, so that one can end a match and part the next.
+LANGUAGE = f""", signals as (
+  select doc_id, text, regexp_extract_all(text, '[a-zA-ZÀ-ÿ'']+') as t, regexp_replace(text, '([''’])', '\\1\\1', 'g') as d from documents
+), counted as (
+  select doc_id, len(t) as n,
+    len(list_filter(t, lambda w: lower(w) in ({_WORDS(config.FR_WORDS)}))) + (length(text) - length(translate(text, '{_MARKS}', ''))) * {config.DIACRITIC_WEIGHT}::double
+      + len(regexp_extract_all(d, '(?i)(?:^|[^\\pL\\pN\\pM_])[ldjmnstc][''’]|qu[''’]')) * {config.MARKER_WEIGHT}::double as fr,
+    len(list_filter(t, lambda w: lower(w) in ({_WORDS(config.EN_WORDS)}))) + len(regexp_extract_all(text, '(?i)[\\pL\\pN\\pM_]+[''’](?:s|t|re|ve|ll|d|m)(?:[^\\pL\\pN\\pM_]|$)')) * {config.MARKER_WEIGHT}::double as en
+  from signals
+), shares as (
+  select *, round_even(greatest(fr, en) / nullif(fr + en, 0), 4)::double as share, n >= {config.MIN_SIGNAL_WORDS} and fr + en > 0 as told from counted
+)
+select doc_id, case when told then (case when fr >= en then 'FR' else 'EN' end) else 'UNKNOWN' end as language, case when told then share else 0.0 end::double as confidence,
+  case when told and least(fr, en) > 0 and share < {config.BILINGUAL} then (case when fr >= en then 'EN' else 'FR' end) end as secondary_language from shares"""
+
+
+@query("document_language", LANGUAGE)
 def document_language(m: Model) -> DataFrame:
     found = T.detect_language(F.col("raw_text"))
     return _docs(m).select(F.col("document_id").alias("doc_id"), found.alias("l")).select("doc_id", "l.*")
@@ -72,6 +93,14 @@ def clean_headings(m: Model) -> DataFrame:
     return lines.select(F.col("document_id").alias("doc_id"), "line_no", T.clean_heading(F.col("text")).alias("heading"))
 
 
+@query("location_lines", """, lines as (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as l from documents where text <> '')
+  select doc_id, len(list_filter(l, lambda x: length(trim(x)) between 1 and 60 and contains(x, ',') and not regexp_matches(x, '[0-9]') and not starts_with(lower(trim(x)), 'technologies'))) as n_places from lines""")
+def location_lines(m: Model) -> DataFrame:
+    """How many lines of each text look like a place."""
+    lines = sections.explode_lines(_docs(m))
+    return lines.groupBy(F.col("document_id").alias("doc_id")).agg(F.count_if(T.looks_like_location(F.col("text"))).alias("n_places"))
+
+
 @query("document_sections")
 def document_sections(m: Model) -> DataFrame:
     """Sections of the prose documents, counted by type."""
@@ -87,14 +116,21 @@ def cv_sections(m: Model) -> DataFrame:
     return sections.detect_sections(cvs(m)).select("document_id", "section_idx", "section_type")
 
 
-@query("layout_sections", "select cast(c_custkey as string) as document_id, i as section_idx, case i when 0 then 'OTHER' when 1 then 'OTHER' else 'SKILLS' end as section_type, case i when 0 then '' when 1 then 'Big unusual words' else 'Skills' end as heading_text from customer, (select unnest(range(3))::int as i)")
+@query("layout_sections", """select cast(c_custkey as string) as document_id, (row_number() over (partition by c_custkey order by i) - 1)::int as section_idx, case when i < 2 then 'OTHER' else 'SKILLS' end as section_type, case i when 0 then '' when 1 then 'Big unusual words' else 'Skills' end as heading_text,
+  case i when 0 then 1.0 when 1 then case c_custkey % 4 when 0 then 1.0 when 1 then 0.9 else 0.0 end else case when c_custkey % 3 = 0 then 1.0 else 0.85 end end as confidence from customer, (select unnest(range(3))::int as i) where i <> 1 or c_custkey % 4 < 2""")
 def layout_sections(m: Model) -> DataFrame:
     """Lines with fonts and styles: a large bold line and a styled line open sections."""
-    rows = [("Name Line", 10.0, False, False), ("plain text here", 10.0, False, False), ("Big unusual words", 16.0, True, True), ("more plain text", 10.0, False, False), ("Skills", 10.0, False, True), ("Skill1, Skill2", 10.0, False, False)]
-    made = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(s).alias("font_size"), F.lit(b).alias("is_bold"), F.lit(h).alias("is_heading_style")) for t, s, b, h in rows])
-    docs = m.customer.select(F.col("c_custkey").cast("string").alias("document_id"), F.lit("Name Line").alias("raw_text"))
-    lines = docs.select("document_id", F.posexplode(made).alias("line_no", "l")).select("document_id", "line_no", "l.*", F.lit(1).alias("page_number"), F.lit(0).alias("column_index"))
-    return sections.detect_sections(docs, lines).select("document_id", "section_idx", "section_type", "heading_text")
+    key = F.col("c_custkey")
+    big, styled = key % 2 == 0, key % 4 < 2  # of the line in large letters; the last heading is styled for every third
+    rows = [
+        ("Name Line", F.lit(10.0), F.lit(False), F.lit(False)), ("plain text here", F.lit(10.0), F.lit(False), F.lit(False)),
+        ("Big unusual words", F.when(big, 16.0).otherwise(10.5), big, styled), ("more plain text", F.lit(10.0), F.lit(False), F.lit(False)),
+        ("Skills", F.lit(10.0), F.lit(False), key % 3 == 0), ("Skill1, Skill2", F.lit(10.0), F.lit(False), F.lit(False)),
+    ]
+    made = F.array(*[F.struct(F.lit(t).alias("text"), s.alias("font_size"), b.alias("is_bold"), h.alias("is_heading_style")) for t, s, b, h in rows])
+    docs = m.customer.select(key.cast("string").alias("document_id"), F.lit("Name Line").alias("raw_text"), made.alias("made"))
+    lines = docs.select("document_id", F.posexplode("made").alias("line_no", "l")).select("document_id", "line_no", "l.*", F.lit(1).alias("page_number"), F.lit(0).alias("column_index"))
+    return sections.detect_sections(docs.drop("made"), lines).select("document_id", "section_idx", "section_type", "heading_text", F.round("confidence", 2).alias("confidence"))
 
 
 # --- candidate extraction --------------------------------------------------------
@@ -106,10 +142,16 @@ def cv_profiles(m: Model) -> DataFrame:
     return out.select("document_id", "full_name", "contact.email", "contact.phone", "contact.location", "summary")
 
 
-@query("cv_evidence", "select field, count(*) as n from customer, (select unnest(['full_name', 'email', 'phone', 'location', 'summary']) as field) group by field")
+_PROFILES = f"""select cast(c_custkey as string) as document_id, concat('Person Number', case when c_custkey % 2 = 0 then ' Even' else ' Odd' end) as full_name, concat('p', c_custkey, '@mail.example') as email,
+  concat('+33 612 34 56 ', 10 + c_custkey % 90) as phone, concat('Town', chr((65 + c_custkey % 26)::int), ', France') as location, concat('Works on ', {_case("c_custkey % 7", WORDS)}, ' since ever.') as summary from customer"""
+
+
+@query("cv_evidence", f"""select document_id, field, text, case field when 'summary' then 0.9 when 'email' then 0.85 when 'phone' then 0.85 else 0.6 end::double as confidence
+  from (unpivot ({_PROFILES}) on full_name, email, phone, location, summary into name field value text)""")
 def cv_evidence(m: Model) -> DataFrame:
     docs = cvs(m)
-    return candidate.document_evidence(candidate.candidate_profiles(docs, sections.detect_sections(docs))).groupBy("field").agg(F.count("*").alias("n"))
+    found = candidate.document_evidence(candidate.candidate_profiles(docs, sections.detect_sections(docs)))
+    return found.select("document_id", "field", "evidence.text", "evidence.confidence")
 
 
 _EXPERIENCES = f"""select cast(c_custkey as string) as document_id, 0 as idx, {_case("c_custkey % 9", TITLES)} as title, concat('Firm ', c_custkey % 30) as company, concat('Jan ', 2000 + c_custkey % 15) as start_date_raw,
@@ -187,10 +229,38 @@ def delimited_tokens(m: Model) -> DataFrame:
     return _docs(m).select(F.col("document_id").alias("doc_id"), F.size(T.delimited_tokens(F.col("raw_text"))).cast("long").alias("n_tokens"))
 
 
-@query("hash_embeddings")
+_HASHED = "list_aggregate(list_transform(range(32), lambda i: (('0x' || substr(sha256(text), (2 * i + 1)::int, 2))::int)::varchar), 'string_agg', ' ')"
+
+
+@query("hash_embeddings", f"select doc_id, {_HASHED} as bytes, 32 as dimensions from documents")
 def hash_embeddings(m: Model) -> DataFrame:
-    """Deterministic vectors of all texts."""
-    return _docs(m).select(F.col("document_id").alias("doc_id"), T.hash_embedding(F.col("raw_text")).alias("embedding"))
+    """Deterministic vectors of all texts, scaled back to the bytes that they stand for."""
+    rows = _docs(m).select(F.col("document_id").alias("doc_id"), T.hash_embedding(F.col("raw_text")).alias("v"))
+    back = F.transform("v", lambda x: F.round((x + 1) * 127.5).cast("int").cast("string"))
+    return rows.select("doc_id", F.array_join(back, " ").alias("bytes"), F.size("v").alias("dimensions"))
+
+
+def _bytes_model(texts: list[str]) -> list[list[float]]:
+    return [[float(b) for b in hashlib.sha256(t.encode()).digest()[:4]] for t in texts]
+
+
+def _broken_model(texts: list[str]) -> list[list[float]]:
+    raise RuntimeError("this provider never answers")
+
+
+@query("text_embeddings", "select sha256(text) as text_hash, list_aggregate(list_transform(range(4), lambda i: (('0x' || substr(sha256(text), (2 * i + 1)::int, 2))::int)::varchar), 'string_agg', ' ') as vector, 'bytes' as model, 4 as dimensions from (select distinct text from documents where trim(text) <> '')")
+def text_embeddings(m: Model) -> DataFrame:
+    """Every distinct text by a user's model; the first provider fails, so the second is named."""
+    made = enrich.embed(_docs(m), "raw_text", [("broken", 8, _broken_model), ("bytes", 4, _bytes_model)])
+    return made.select(F.sha2("text", 256).alias("text_hash"), F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ").alias("vector"), "model", "dimensions")
+
+
+@query("job_embedding_texts", f"""select cast(p_partkey as string) as document_id, sha256(concat('Data Person ', p_partkey % 50, ' Build ', {_case("p_partkey % 7", WORDS)}, ' services Talk to people Good knowledge of Skill', p_partkey % {N_SKILLS}, ' ', p_partkey % 8, '+ years of work A master degree Skill', (p_partkey + 5) % {N_SKILLS}, ' Patience')) as digest from part""")
+def job_embedding_texts(m: Model) -> DataFrame:
+    docs = job_offers(m)
+    found = sections.detect_sections(docs)
+    asked = job.extract_requirements(found, forms(m), m.skills)
+    return enrich.job_embedding_text(job.job_profiles(docs, found), asked).select("document_id", F.sha2("text", 256).alias("digest"))
 
 
 @query("lexical_overlap", f""", t as (select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 and x not in ({_LIST(config.OVERLAP_STOP)}))) as t from documents)
@@ -263,9 +333,9 @@ def candidate_facts(m: Model) -> DataFrame:
 
 
 @query("known_skill_names", FACTS + f""", m as (select document_id, normalized_value as n from facts where type = 'SKILL' union select document_id, concat('Skill', substr(x, 2)) from (select document_id, unnest(regexp_extract_all(lower(value), '(?:^|[^a-z0-9])(s[0-9]+)', 1)) as x from facts) where substr(x, 2)::int < {N_SKILLS})
-  select document_id, count(distinct n) as n_known from m group by 1""")
+  select document_id, string_agg(n, '|' order by n) as known from (select distinct document_id, n from m) group by 1""")
 def known_skill_names(m: Model) -> DataFrame:
-    return truth.known_skill_names(_facts(m), forms(m)).select("document_id", F.size("known").cast("long").alias("n_known"))
+    return truth.known_skill_names(_facts(m), forms(m)).select("document_id", F.array_join("known", "|").alias("known"))
 
 
 CHOSEN = """select concat('plan', candidate_id) as plan_id, candidate_id as document_id, idx as rec_idx, 'KEYWORD_PLACEMENT' as type, raw_text as current_state, canonical_name as target_state, null as source_label, 'SAFE_TO_REPHRASE' as safety, concat('Use ', canonical_name) as title from candidate_skills where raw_text like 's%'
@@ -352,11 +422,71 @@ def upload_checks(m: Model) -> DataFrame:
     return storage.reject_reason(m.sql(UPLOADS)).select("document_id", "reject_reason")
 
 
-@query("upload_dedupe", "select doc_id as document_id, min(doc_id) over (partition by text, source, lang) as stored_id, doc_id = min(doc_id) over (partition by text, source, lang) as is_new, doc_id = min(doc_id) over (partition by text, source, lang) as needs_processing from documents")
+@query("upload_dedupe", """, batch as (select * from documents where doc_id % 3 <> 0), stored as (
+    select text, source, lang, min(doc_id) as id, arg_min(case doc_id % 4 when 0 then 'FAILED' when 1 then 'UPLOADED' else 'PROCESSED' end, doc_id) as status from documents where doc_id % 3 = 0 group by 1, 2, 3
+  ), firsts as (select text, source, lang, min(doc_id) as id from batch group by 1, 2, 3)
+  select b.doc_id as document_id, coalesce(s.id, f.id) as stored_id, s.id is null and f.id = b.doc_id as is_new, case when s.id is null then f.id = b.doc_id else s.status in ('FAILED', 'UPLOADED') end as needs_processing
+  from batch b join firsts f on f.text = b.text and f.source is not distinct from b.source and f.lang is not distinct from b.lang left join stored s on s.text = b.text and s.source is not distinct from b.source and s.lang is not distinct from b.lang""")
 def upload_dedupe(m: Model) -> DataFrame:
-    new = m.sql(UPLOADS)
-    stored = new.withColumn("status", F.lit("PROCESSED")).filter(F.lit(False))
-    return storage.dedupe_uploads(new, stored).select("document_id", "stored_id", "is_new", "needs_processing")
+    """Two thirds of the documents are uploaded, a third is stored already, in several states."""
+    rows = m.sql(UPLOADS)
+    state = F.when(F.col("document_id") % 4 == 0, "FAILED").when(F.col("document_id") % 4 == 1, "UPLOADED").otherwise("PROCESSED")
+    stored = rows.filter("document_id % 3 = 0").withColumn("status", state)
+    return storage.dedupe_uploads(rows.filter("document_id % 3 <> 0"), stored).select("document_id", "stored_id", "is_new", "needs_processing")
+
+
+_ACCEPTED = "doc_id % 11 <> 0 and doc_id % 13 <> 0 and doc_id % 7 <> 0 and doc_id % 5 <> 0"
+
+
+@query("validated_uploads", f"select doc_id as document_id, {_ACCEPTED} as accepted from documents")
+def validated_uploads(m: Model) -> DataFrame:
+    fine, bad = storage.validate_uploads(m.sql(UPLOADS))
+    return fine.select("document_id", F.lit(True).alias("accepted")).unionByName(bad.select("document_id", F.lit(False).alias("accepted")))
+
+
+def _arriving(m: Model) -> DataFrame:
+    """Uploads as the stream reads them: ids as strings in the order of numbers."""
+    rows = m.sql(UPLOADS).select(
+        F.lpad(F.col("document_id").cast("string"), 12, "0").alias("document_id"), "owner_id", "document_type", "original_filename", "mime_type", F.col("file_size").cast("long").alias("file_size"),
+        F.col("text").cast("binary").alias("content"), "file_hash", F.lit("UPLOADED").alias("status"), F.lit("2026-01-01").cast("timestamp").alias("created_at"), F.col("document_id").alias("_n"),
+    )
+    return rows
+
+
+@query("streamed_documents", f""", arrived as (select *, doc_id % 2 as batch from documents where {_ACCEPTED}), kept as (
+    select *, row_number() over (partition by text, source, lang order by batch, doc_id) as r from arrived)
+  select lpad(doc_id::varchar, 12, '0') as document_id, case when trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' then 'FAILED' else 'PROCESSED' end as status, sha256(text) as file_hash from kept where r = 1""")
+def streamed_documents(m: Model) -> DataFrame:
+    """Continuous intake of all uploads in two rounds, even ids first."""
+    root = storage.scratch_dir(m.spark)
+    rows = _arriving(m)
+    for part in (0, 1):
+        rows.filter(F.col("_n") % 2 == part).drop("_n").write.mode("append").parquet(f"{root}/in")
+        intake.stream_documents(m.spark, f"{root}/in", f"{root}/documents", f"{root}/state").awaitTermination()
+    return intake.current_documents(m.spark.read.parquet(f"{root}/documents")).select("document_id", "status", "file_hash")
+
+
+@query("stream_deduped", "select distinct sha256(text) as file_hash, lang as document_type, source as owner_id from documents")
+def stream_deduped(m: Model) -> DataFrame:
+    """First copies within a time bound, from a stream of all uploads."""
+    root = storage.scratch_dir(m.spark)
+    rows = _arriving(m).drop("_n")
+    rows.write.parquet(f"{root}/in")
+    unique = intake.stream_dedupe(m.spark.readStream.schema(rows.schema).parquet(f"{root}/in")).select("file_hash", "document_type", "owner_id")
+    unique.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.schema(unique.schema).parquet(f"{root}/out")
+
+
+@query("written_profiles", "select cast(c_custkey as string) as document_id, i as idx, case when c_custkey % 3 = 0 then concat('new ', c_name) else c_name end as value from customer, (select unnest(range(2))::int as i) where c_custkey % 6 <> 0 and (c_custkey % 3 <> 0 or i = 0)")
+def written_profiles(m: Model) -> DataFrame:
+    """All profiles are stored, then every third document is processed again: one row less, or none at all."""
+    root = storage.scratch_dir(m.spark)
+    rows = m.customer.select(F.col("c_custkey").cast("string").alias("document_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.col("c_name").alias("value"))
+    storage.write_profiles({"profiles": rows}, rows, root)
+    again = storage.read_profiles(m.spark, f"{root}/profiles").filter("cast(document_id as int) % 3 = 0")
+    fresh = again.filter("idx = 0 and cast(document_id as int) % 6 <> 0").withColumn("value", F.concat(F.lit("new "), "value"))
+    storage.write_profiles({"profiles": fresh}, again, root)
+    return storage.read_profiles(m.spark, f"{root}/profiles")
 
 
 @query("plain_text_blocks", r"select doc_id as document_id, len(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) as n_blocks from documents")
@@ -373,27 +503,38 @@ def job_payloads(m: Model) -> DataFrame:
     return docs.select("conv_id", "turn", "file_hash").unionByName(rejected.select("conv_id", "turn", F.lit(None).cast("string").alias("file_hash")))
 
 
-@query("embedding_upserts", "select 'CANDIDATE_PROFILE' as entity_type, user_id as entity_id, max(event_id) as latest from events group by user_id")
+@query("embedding_upserts", "select 'CANDIDATE_PROFILE' as entity_type, user_id as entity_id, coalesce(max(case when event_id % 2 = 1 and event_id % 3 = 0 then event_id end), max(case when event_id % 2 = 0 then event_id end)) as latest from events where event_id % 2 = 0 or event_id % 3 = 0 group by user_id")
 def embedding_upserts(m: Model) -> DataFrame:
-    """All events as versions of their user's vector: the newest stays."""
+    """Even events are stored versions of their user's vector, some odd ones are new: a new one wins at any age."""
     rows = m.events.select(F.lit("CANDIDATE_PROFILE").alias("entity_type"), F.col("user_id").alias("entity_id"), F.lit("m").alias("model"), F.lit("1").alias("version"), F.col("event_id").alias("created_at"))
-    odd = rows.filter("created_at % 2 = 1")
-    merged = storage.upsert_embeddings(rows.filter("created_at % 2 = 0"), odd.filter(F.lit(False)))
-    out = storage.upsert_embeddings(merged.unionByName(odd), rows.filter(F.lit(False)))
-    return out.select("entity_type", "entity_id", F.col("created_at").alias("latest"))
+    merged = storage.upsert_embeddings(rows.filter("created_at % 2 = 0"), rows.filter("created_at % 2 = 1 and created_at % 3 = 0"))
+    return merged.select("entity_type", "entity_id", F.col("created_at").alias("latest"))
 
 
 _GONE = "(replace(replace(candidate_document_id, 'cv', ''), 'job', '')::int % 5 = 0 or replace(job_document_id, 'job', '')::int % 5 = 0)"
 
 
-@query("document_deletion", f"""select 'analyses' as name, count(*) as n from analyses where analysis_id not in (select analysis_id from analyses where {_GONE}) union all select 'plans', count(*) from plans p where not exists (select 1 from analyses a where a.analysis_id = p.analysis_id and {_GONE})
-  union all select 'documents', count(*) from stored_documents where regexp_replace(document_id, '[a-z]+', '')::int % 5 <> 0""")
+@query("document_deletion", f"""select 'analyses' as name, analysis_id as id from analyses where analysis_id not in (select analysis_id from analyses where {_GONE}) union all select 'plans', plan_id from plans p where not exists (select 1 from analyses a where a.analysis_id = p.analysis_id and {_GONE})
+  union all select 'changes', concat(plan_id, '/', n) from plans p, (select unnest(range(2))::int as n) where not exists (select 1 from analyses a where a.analysis_id = p.analysis_id and {_GONE})
+  union all select 'documents', document_id from stored_documents where regexp_replace(document_id, '[a-z]+', '')::int % 5 <> 0
+  union all select 'embeddings', concat(kind, '/', document_id) from stored_documents, (select unnest(['CANDIDATE_PROFILE', 'OTHER']) as kind) where kind = 'OTHER' or regexp_replace(document_id, '[a-z]+', '')::int % 5 <> 0""")
 def document_deletion(m: Model) -> DataFrame:
+    """What is left of all tables as every fifth document goes."""
     docs = m.stored_documents
     ids = docs.filter(F.regexp_replace("document_id", "[a-z]+", "").cast("int") % 5 == 0)
-    left = storage.delete_documents({"documents": docs, "analyses": m.analyses, "plans": m.plans}, ids)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    changes = m.plans.select("plan_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("op_idx"))
+    vectors = docs.select(F.explode(F.array(F.lit("CANDIDATE_PROFILE"), F.lit("OTHER"))).alias("entity_type"), F.col("document_id").alias("entity_id"))
+    left = storage.delete_documents({"documents": docs, "analyses": m.analyses, "plans": m.plans, "changes": changes, "embeddings": vectors}, ids)
+    name = {"documents": F.col("document_id"), "analyses": F.col("analysis_id"), "plans": F.col("plan_id"), "changes": F.concat_ws("/", "plan_id", "op_idx"), "embeddings": F.concat_ws("/", "entity_type", "entity_id")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("name"), name[k].alias("id")) for k, df in left.items()])
+
+
+@query("plan_deletion", "select 'plan' as kind, plan_id as id from plans where plan_id not in (select plan_id from plans where status = 'COMPLETED') union all select 'change', concat(plan_id, '/', n) from plans, (select unnest(range(2))::int as n) where plan_id not in (select plan_id from plans where status = 'COMPLETED')")
+def plan_deletion(m: Model) -> DataFrame:
+    """Completed plans go with their changes."""
+    changes = m.plans.select("plan_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("op_idx"))
+    plans, rest = storage.delete_tailoring_plans(m.plans, changes, m.plans.filter("status = 'COMPLETED'"))
+    return plans.select(F.lit("plan").alias("kind"), F.col("plan_id").alias("id")).unionByName(rest.select(F.lit("change").alias("kind"), F.concat_ws("/", "plan_id", "op_idx").alias("id")))
 
 
 @query("renamed_jobs", f"select document_id, case when original_filename = '{config.PASTED_NAME}' and document_id like 'job%' then concat('Title ', document_id) else original_filename end as original_filename from stored_documents")
@@ -413,6 +554,13 @@ def recent_analyses(m: Model) -> DataFrame:
     return views.recent(m.analyses.withColumnRenamed("analysis_id", "document_id")).select(F.col("document_id").alias("analysis_id"), "created_at")
 
 
+@query("listed_documents", "select document_id from stored_documents where document_type = 'JOB_OFFER'")
+def listed_documents(m: Model) -> DataFrame:
+    """Job offers, newest first."""
+    docs = m.stored_documents.withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
+    return views.list_documents(docs, "JOB_OFFER").select("document_id")
+
+
 # --- views and status ------------------------------------------------------------
 @query("applications", """, newest as (select * from plans qualify row_number() over (partition by analysis_id order by created_at desc, plan_id) = 1)
   select a.analysis_id, c.original_filename as cv_name, j.original_filename as job_name, p.plan_id,
@@ -440,12 +588,17 @@ def status_transitions(m: Model) -> DataFrame:
     return intake.check_status_transitions(m.sql(EVENTS), tie="event_id").select("event_id", "previous_status", "is_legal")
 
 
-@query("section_summaries", "select cast(c_custkey as string) as document_id, 8 as n_sections from customer")
-def section_summaries(m: Model) -> DataFrame:
-    return sections.section_summary(sections.detect_sections(cvs(m))).select("document_id", F.size("sections").alias("n_sections"))
+_CV_HEADINGS = ("", *_CV_KINDS[1:])
 
 
-@query("entry_counts", "select cast(c_custkey as string) as document_id, 2 as n_experiences from customer")
-def entry_counts(m: Model) -> DataFrame:
-    return candidate.split_entries(sections.detect_sections(cvs(m))).groupBy("document_id").agg(F.count("*").cast("int").alias("n_experiences"))
+@query("section_summaries", f"select cast(c_custkey as string) as document_id, '{'|'.join(f'{k}:{h}' for k, h in zip(_CV_KINDS, _CV_HEADINGS, strict=True))}' as sections from customer")
+def section_summaries(m: Model) -> DataFrame:
+    told = F.transform("sections", lambda x: F.concat_ws(":", x["type"], x["heading"]))
+    return sections.section_summary(sections.detect_sections(cvs(m))).select("document_id", F.array_join(told, "|").alias("sections"))
+
 
+@query("cv_entries", f"""select cast(c_custkey as string) as document_id, 0 as idx, concat({_case("c_custkey % 9", TITLES)}, ' at Firm ', c_custkey % 30) as first_line, 5 as n_lines from customer
+  union all select cast(c_custkey as string), 1, concat('Consultant, Own Office ', 2001 + c_custkey % 9, ' - ', 2012), 2 from customer""")
+def cv_entries(m: Model) -> DataFrame:
+    lines = F.split("entry", "\n")
+    return candidate.split_entries(sections.detect_sections(cvs(m))).select("document_id", "idx", lines[0].alias("first_line"), F.size(lines).alias("n_lines"))

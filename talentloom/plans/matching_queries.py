@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import matching, recommend, scoring, taxonomy
+from ..operators import matching, recommend, scoring, tailoring, taxonomy
 from .model import LEVELS, REFERENCE_YEAR, Model
 from .registry import query
 
@@ -144,7 +144,7 @@ def evaluated(m: Model, dimensions: tuple[str, ...] = config.DIMENSIONS) -> Data
     return matching.evaluate_pairs(m.pairs, matching.job_demands(m.job_rows(), m.requirements, related), facts, REFERENCE_YEAR, dimensions=dimensions)
 
 
-_BARE = ("candidate_id", "job_id", "eval_idx", "dimension", "requirement_type", "priority", "raw_text", "status", "match_signal", "matched_skill", "score", "confidence")
+_BARE = ("candidate_id", "job_id", "eval_idx", "dimension", "requirement_type", "priority", "raw_text", "status", "match_signal", "match_strength", "matched_skill", "n_evidence", "score", "confidence")
 
 
 @query("pair_scores", BREAKDOWN + f" select candidate_id, job_id, overall, {_SHOWN}, mandatory_gaps, printf('%.4f', penalty)::double as mandatory_gap_penalty from scores")
@@ -152,9 +152,13 @@ def pair_scores(m: Model) -> DataFrame:
     return scoring.score_breakdown(evaluated(m)).select("candidate_id", "job_id", "overall", *config.DIMENSIONS, "mandatory_gaps", "mandatory_gap_penalty")
 
 
-@query("pair_evaluations", ALL_EVALS + f" select {', '.join(_BARE)} from evals")
+_STRENGTH = " ".join(["case match_signal", *[f"when '{k}' then '{v}'" for k, v in config.SIGNAL_STRENGTH.items()], "end"])
+
+
+@query("pair_evaluations", ALL_EVALS + f""" select {', '.join(f"e.{c}" for c in _BARE if c not in ('match_strength', 'n_evidence'))}, {_STRENGTH} as match_strength, case when dimension = 'skills' then coalesce(x.n_signals, 0) else 0 end as n_evidence
+  from evals e left join skill_index x on x.candidate_id = e.candidate_id and x.canonical_name = e.matched_skill""")
 def pair_evaluations(m: Model) -> DataFrame:
-    return evaluated(m).select(*_BARE)
+    return evaluated(m).withColumn("n_evidence", F.size("evidence").cast("long")).select(*_BARE)
 
 
 @query("skill_evaluations", SKILL_EVALS + " select candidate_id, job_id, raw_text, priority, match_signal, matched_skill from skill_evals")
@@ -167,10 +171,20 @@ def dimension_scores(m: Model) -> DataFrame:
     return scoring.dimension_scores(evaluated(m))
 
 
-@query("gaps", ALL_EVALS + """ select candidate_id, job_id, eval_idx, requirement_type, priority, raw_text, case when match_signal = 'NO_EVIDENCE' then 'NO_EVIDENCE_FOUND' else 'PARTIAL_EVIDENCE_FOUND' end as evidence_status, confidence
-  from evals where status <> 'MET'""")
+LABELS = """, labelled as (
+  select s.candidate_id, s.canonical_name, case s.part when 1 then concat(e.title, ' at ', e.company) when 2 then p.name end as label, s.part * 1000000000 + s.idx * 10000 + s.j as place
+  from signals s left join experiences e on s.part = 1 and e.candidate_id = s.candidate_id and e.idx = s.idx left join projects p on s.part = 2 and p.candidate_id = s.candidate_id and p.idx = s.idx
+), labels as (
+  select candidate_id, canonical_name, string_agg(label, '|' order by place) as labels from (select candidate_id, canonical_name, label, min(place) as place from labelled where label is not null group by 1, 2, 3) t group by 1, 2
+)"""
+
+
+@query("gaps", ALL_EVALS + LABELS + """ select e.candidate_id, e.job_id, eval_idx, requirement_type, priority, raw_text, case when match_signal = 'NO_EVIDENCE' then 'NO_EVIDENCE_FOUND' else 'PARTIAL_EVIDENCE_FOUND' end as evidence_status, confidence,
+    coalesce(case when dimension = 'skills' then l.labels end, matched_skill, '') as related
+  from evals e left join labels l on l.candidate_id = e.candidate_id and l.canonical_name = e.matched_skill where status <> 'MET'""")
 def gaps(m: Model) -> DataFrame:
-    return scoring.detect_gaps(evaluated(m)).drop("reason", "related_candidate_skills")
+    """All gaps; the wording of their reasons is our own."""
+    return scoring.detect_gaps(evaluated(m)).withColumn("related", F.array_join("related_candidate_skills", "|")).drop("reason", "related_candidate_skills")
 
 
 @query("requirement_summary", ALL_EVALS + """ select candidate_id, job_id, count(*) as total, count(case when status = 'MET' then 1 end) as met, count(case when status = 'PARTIALLY_MET' then 1 end) as partially_met,
@@ -235,14 +249,33 @@ def vector_similarity(m: Model) -> DataFrame:
     return m.embeddings.join(nxt, "vec_id").select("vec_id", F.round(T.cosine_similarity(F.col("embedding"), F.col("b")), 6).alias("similarity"))
 
 
-@query("semantic_evaluations")
+_VECTOR = lambda text: f"list_transform(range(32), lambda i: ('0x' || substr(sha256({text}), (2 * i + 1)::int, 2))::int / 127.5 - 1)"
+SEMANTIC = SKILL_EVALS + OTHER_EVALS + f""", texts as (
+  select candidate_id, string_agg(canonical_name, ' ' order by place) as t from skill_index group by 1
+), vectors as (
+  select t, {_VECTOR("t")} as v from (select t from texts union select canonical_name from skills union select raw_text from duty union select description from experiences)
+), skill_meaning as (
+  select s.*, list_cosine_similarity(a.v, b.v) as meaning from skill_evals s join requirements r on r.job_id = s.job_id and r.idx = s.idx
+  left join texts c on c.candidate_id = s.candidate_id left join vectors a on a.t = c.t left join vectors b on b.t = r.canonical_name
+), line_meaning as (
+  select a.t as line, b.t as description, list_cosine_similarity(a.v, b.v) as meaning from vectors a join (select distinct raw_text from duty) d on d.raw_text = a.t, vectors b join (select distinct description from experiences) e on e.description = b.t
+), near_lines as (
+  select p.candidate_id, p.job_id, d.idx, max(n.meaning) as meaning from pairs p join duty d using (job_id) join experiences e on e.candidate_id = p.candidate_id join line_meaning n on n.line = d.raw_text and n.description = e.description group by 1, 2, 3
+), meant as (
+  select candidate_id, job_id, 'skills' as dimension, idx, raw_text, case when match_signal = 'NO_EVIDENCE' and meaning >= {config.SEMANTIC_PARTIAL} then 'SEMANTIC_MATCH' else match_signal end as match_signal, meaning from skill_meaning
+  union all select r.candidate_id, r.job_id, 'responsibilities', r.idx, r.raw_text, case when overlap >= {config.LEXICAL_OVERLAP} then 'PARTIAL_MATCH' when n.meaning >= {config.SEMANTIC_PARTIAL} then 'SEMANTIC_MATCH' else 'NO_EVIDENCE' end, n.meaning
+    from responsibility_evals r left join near_lines n using (candidate_id, job_id, idx)
+) select candidate_id, job_id, dimension, raw_text, match_signal, case when match_signal = 'SEMANTIC_MATCH' then (case when meaning >= {config.SEMANTIC_STRONG} then 'GOOD' else 'PARTIAL' end) else {_STRENGTH} end as match_strength from meant"""
+
+
+@query("semantic_evaluations", SEMANTIC)
 def semantic_evaluations(m: Model) -> DataFrame:
-    """Evaluations with the deterministic embedder; its vectors have no SQL twin."""
+    """Evaluations with the deterministic embedder, where meaning decides what words leave open."""
     facts = matching.candidate_facts(m.candidate_skills, m.with_technologies(), m.project_rows(), m.education, m.certifications, m.languages, T.hash_embedding)
     related = taxonomy.related_skills(m.skills, m.skill_relations)
     demands = matching.job_demands(m.job_rows(), m.requirements, related, T.hash_embedding)
     evals = matching.evaluate_pairs(m.pairs, demands, facts, REFERENCE_YEAR, T.hash_embedding, ("skills", "responsibilities"))
-    return evals.groupBy("dimension", "match_signal", "match_strength").agg(F.count("*").alias("n"))
+    return evals.select("candidate_id", "job_id", "dimension", "raw_text", "match_signal", "match_strength")
 
 
 # --- eligibility and runs --------------------------------------------------------
@@ -261,6 +294,14 @@ def eligible_pairs(m: Model) -> DataFrame:
     return fine.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
 
 
+@query("eligible_grid", """select c.document_id as candidate_id, count(*) as n_jobs, min(j.document_id) as first_job from stored_documents c, stored_documents j
+  where c.document_type = 'CV' and c.status = 'PROCESSED' and j.document_type = 'JOB_OFFER' and j.status = 'PROCESSED' group by 1""")
+def eligible_grid(m: Model) -> DataFrame:
+    """All processed CVs with all processed offers, counted by CV."""
+    pairs = scoring.eligible_grid(m.stored_documents)
+    return pairs.groupBy("candidate_id").agg(F.count("*").alias("n_jobs"), F.min("job_id").alias("first_job"))
+
+
 @query("run_analyses", BREAKDOWN + """ select concat(p.candidate_id, '-', p.job_id) as analysis_id, p.candidate_id, p.job_id, case when p.candidate_id % 10 = 0 or p.job_id % 7 = 0 then 'FAILED' else 'COMPLETED' end as status,
   case when p.candidate_id % 10 = 0 then 'no candidate profile' when p.job_id % 7 = 0 then 'no job profile' end as message, '1.0.0' as engine_version,
   case when p.candidate_id % 10 <> 0 and p.job_id % 7 <> 0 then coalesce(s.overall, 0.0) end as overall from pairs p left join scores s using (candidate_id, job_id)""")
@@ -316,6 +357,41 @@ def recommendation_counts(m: Model) -> DataFrame:
     return recommend.recommendation_counts(recommend.recommend(evaluated(m)))
 
 
+@query("recommendation_details", RECOMMENDED + """ select r.candidate_id, r.job_id, rec_idx, case when r.priority in ('CRITICAL', 'HIGH') then 'HIGH_IMPACT' when r.priority = 'MEDIUM' then 'MEDIUM_IMPACT' else 'LOW_IMPACT' end as impact,
+  case when type in ('KEYWORD_PLACEMENT', 'CERTIFICATION_GAP') then 'HIGH' when type = 'EXPERIENCE_CLARIFICATION' or title like 'No matching experience found: %' then 'LOW' when confidence >= 0.85 then 'HIGH' when confidence >= 0.6 then 'MEDIUM' else 'LOW' end as confidence,
+  case when type = 'UNDERREPRESENTED_SKILL' then matched_skill when type = 'KEYWORD_PLACEMENT' then raw_text end as current_state,
+  case when type in ('UNDERREPRESENTED_SKILL', 'MISSING_REQUIREMENT', 'CERTIFICATION_GAP') then raw_text when type = 'KEYWORD_PLACEMENT' then matched_skill end as target_state
+  from recs r join evals e on e.candidate_id = r.candidate_id and e.job_id = r.job_id and e.eval_idx = r.related_requirement_index""")
+def recommendation_details(m: Model) -> DataFrame:
+    return recommend.recommend(evaluated(m)).select("candidate_id", "job_id", "rec_idx", "impact", "confidence", "current_state", "target_state")
+
+
+_STORED_RECS = "select concat('a', cast(l_orderkey as string)) as analysis_id, '1.0.0' as engine_version, l_linenumber as rec_idx, case when l_linenumber % 4 = 3 then 'NOT_SAFE_TO_AUTOMATE' else 'SAFE_TO_REPHRASE' end as safety, l_partkey as k, l_orderkey from lineitem"
+
+
+@query("saved_recommendations", f""", recs as ({_STORED_RECS}) select analysis_id, engine_version, rec_idx, k from recs where l_orderkey % 3 = 0 union all
+  select analysis_id, engine_version, rec_idx, -k from recs where l_orderkey % 3 <> 0 and analysis_id in (select analysis_id from analyses where status = 'COMPLETED')""")
+def saved_recommendations(m: Model) -> DataFrame:
+    """A third of the analyses has its recommendations already; of the others, completed ones get new ones."""
+    recs = m.sql(_STORED_RECS)
+    new = recs.withColumn("k", -F.col("k"))
+    columns = ["analysis_id", "engine_version", "rec_idx", "k"]
+    return recommend.save_recommendations(recs.filter("l_orderkey % 3 = 0").select(*columns), new.select(*columns), m.analyses)
+
+
+@query("selected_recommendations", f""", recs as ({_STORED_RECS}), state as (select analysis_id, max(status) as status from analyses group by 1), plan as (
+    select concat('plan', l_orderkey) as plan_id, max(s.status) as status, count(*) as n, count(case when safety = 'NOT_SAFE_TO_AUTOMATE' then 1 end) as bad from (select distinct analysis_id, l_orderkey, rec_idx, safety from recs) r left join state s using (analysis_id) group by 1)
+  select plan_id, case when coalesce(status, '') <> 'COMPLETED' then 'analysis is not completed' when bad > 0 then 'a recommendation is not safe to tailor' end as reason, case when status = 'COMPLETED' and bad = 0 then n end as n from plan""")
+def selected_recommendations(m: Model) -> DataFrame:
+    """A plan an order, of all its recommendations: how many it takes, or why it is rejected."""
+    recs = m.sql(_STORED_RECS).select("analysis_id", "rec_idx", "safety", F.lit("T").alias("type"), "l_orderkey").distinct()
+    chosen = recs.select(F.concat(F.lit("plan"), "l_orderkey").alias("plan_id"), "analysis_id", "rec_idx")
+    states = m.analyses.groupBy("analysis_id").agg(F.max("status").alias("status"))
+    fine, bad = tailoring.select_recommendations(recs.drop("l_orderkey"), chosen, states)
+    kept = fine.groupBy("plan_id").agg(F.lit(None).cast("string").alias("reason"), F.count("*").alias("n"))
+    return kept.unionByName(bad.select("plan_id", "reason", F.lit(None).cast("long").alias("n")))
+
+
 # --- taxonomy --------------------------------------------------------------------
 @query("related_skills", RELATED + " select * from related")
 def related_skills(m: Model) -> DataFrame:
@@ -340,18 +416,35 @@ def skill_domain_counts(m: Model) -> DataFrame:
     return taxonomy.skill_domain_counts(m.skills)
 
 
-@query("taxonomy_problems", ", t as (select canonical_name from skills) select 'unknown parent' as problem, parent_skill as name from skills where parent_skill is not null and parent_skill not in (select canonical_name from t)")
+@query("taxonomy_problems", """, broken as (select *, case when taxonomy_idx % 10 = 4 then concat('No', canonical_name) else parent_skill end as parent from skills), listed as (
+    select canonical_name, parent from broken union all select canonical_name, parent from broken where taxonomy_idx % 20 = 0
+  ), names as (select alias, canonical_name from skill_aliases union all select 'S1', 'Skill2' union all select 'orphan', 'Nowhere'
+  ), edges as (select from_skill, to_skill from skill_relations union all select 'Skill3', 'Skill3' union all select 'Ghost', 'Skill3' union all select 'Skill3', 'Spook')
+  select 'duplicate skill' as problem, canonical_name as name from listed group by 2 having count(*) > 1
+  union all select 'unknown parent', parent from listed where parent not in (select canonical_name from listed)
+  union all select 'alias of unknown skill', alias from names where canonical_name not in (select canonical_name from listed)
+  union all select 'shared alias', lower(alias) from names group by 2 having count(distinct canonical_name) > 1
+  union all select 'unknown relation target', to_skill from edges where to_skill not in (select canonical_name from listed)
+  union all select 'unknown relation source', from_skill from edges where from_skill not in (select canonical_name from listed)
+  union all select 'relation to itself', from_skill from edges where from_skill = to_skill""")
 def taxonomy_problems(m: Model) -> DataFrame:
-    return taxonomy.check_taxonomy(m.skills, m.skill_aliases, m.skill_relations)
-
-
-@query("skill_views", RELATED + """ select canonical_name, category, parent_skill as parent, coalesce(n_children, 0) as n_children, coalesce(n_siblings, 0) as n_siblings, coalesce(n_explicit, 0) as n_explicit from skills left join (
-  select canonical_name, count(case when relation_type = 'PARENT_OF' then 1 end) as n_children, count(case when relation_type = 'PART_OF_ECOSYSTEM' then 1 end) as n_siblings,
-    count(case when relation_type not in ('PARENT_OF', 'PART_OF_ECOSYSTEM', 'CHILD_OF') then 1 end) as n_explicit from related group by 1) using (canonical_name)""")
+    """The taxonomy with errors of every kind put in."""
+    skills = m.skills.withColumn("parent_skill", F.when(F.col("taxonomy_idx") % 10 == 4, F.concat(F.lit("No"), "canonical_name")).otherwise(F.col("parent_skill")))
+    skills = skills.unionByName(skills.filter("taxonomy_idx % 20 = 0"))
+    aliases = m.skill_aliases.unionByName(m.spark.createDataFrame([("S1", "Skill2"), ("orphan", "Nowhere")], m.skill_aliases.schema))
+    edges = m.skill_relations.select("from_skill", "to_skill")
+    edges = edges.unionByName(m.spark.createDataFrame([("Skill3", "Skill3"), ("Ghost", "Skill3"), ("Skill3", "Spook")], edges.schema))
+    return taxonomy.check_taxonomy(skills, aliases, edges)
+
+
+@query("skill_views", RELATED + """ select s.canonical_name, category, parent_skill as parent, coalesce(children, '') as children, coalesce(siblings, '') as siblings, coalesce(explicit, '') as explicit from skills s left join (
+  select canonical_name, string_agg(case when relation_type = 'PARENT_OF' then related_skill end, '|' order by rel_rank) as children, string_agg(case when relation_type = 'PART_OF_ECOSYSTEM' then related_skill end, '|' order by rel_rank) as siblings,
+    string_agg(case when relation_type not in ('PARENT_OF', 'PART_OF_ECOSYSTEM', 'CHILD_OF') then concat(relation_type, ':', related_skill) end, '|' order by relation_type, rel_rank) as explicit from related group by 1) r using (canonical_name)""")
 def skill_views(m: Model) -> DataFrame:
     v = taxonomy.skill_view(m.skills, m.skill_relations)
-    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return v.select("canonical_name", "category", "parent", size("children"), size("siblings"), size("explicit"))
+    listed = lambda c: F.array_join(c, "|").alias(c)
+    named = F.array_join(F.transform("explicit", lambda x: F.concat_ws(":", x["relation_type"], x["related_skill"])), "|").alias("explicit")
+    return v.select("canonical_name", "category", "parent", listed("children"), listed("siblings"), named)
 
 
 @query("skills_by_category", """select candidate_id as document_id, category, (row_number() over (partition by candidate_id order by first, category) - 1)::int as category_idx, names from (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,9 @@ def query(name: str, sql: str | None = None):
     def add(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: build(Model(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = f"{CTES}{sql}" if sql.lstrip().startswith(",") else f"{CTES}\n{sql}"
+            text = f"{CTES}{sql}" if sql.lstrip().startswith(",") else f"{CTES}\n{sql}"
+            # Tables that several others read are computed once.
+            ORACLES[name] = re.sub(r"\b(\w+) as \(\n", r"\1 as materialized (\n", text)
         return build
 
     return add

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +103,19 @@ def replaced(existing: DataFrame, new: DataFrame, key: str = "document_id", of:
     return existing.join(keys, key, "left_anti").unionByName(new)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, in the one that driver and executors share (``spark.checkpoint.dir``).
+
+    A local session without that setting uses this machine's temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared}/{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="talentloom-")
+
+
 #: Parts of a stored profile table; a document's rows stand in the part of its hash.
 BUCKETS = 64
 
