@@ -216,8 +216,9 @@ def overlap_tokens(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two token sets, 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Shared share of two sets of distinct tokens, 0 if either is empty."""
+    share = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
 
 
 def lexical_overlap(a: Column, b: Column) -> Column:
@@ -250,10 +251,14 @@ def year_of(c: Column) -> Column:
     return first_found(c, config.YEAR).cast("int")
 
 
-def year_range(start: Column, end: Column, reference_year: Column) -> Column:
-    """struct<from, to>; null without a start year or with an end before it."""
-    begin = year_of(start)
-    stop = F.when(blank_to_null(end).isNull() | end.rlike(config.OPEN_END), reference_year).otherwise(F.coalesce(year_of(end), reference_year))
+def end_year(end: Column) -> Column:
+    """Year of an end date; null if it is open, missing or unreadable."""
+    return F.when(~(blank_to_null(end).isNull() | end.rlike(config.OPEN_END)), year_of(end))
+
+
+def year_range(begin: Column, end: Column, reference_year: Column) -> Column:
+    """struct<from, to> of a first and last year (null: the reference year); null without a first year or with an end before it."""
+    stop = F.coalesce(end, reference_year)
     return F.when(begin.isNotNull() & (stop >= begin), F.struct(begin.alias("from"), stop.cast("int").alias("to")))
 
 

@@ -92,10 +92,11 @@ def candidate_facts(
     worked = experiences.withColumns({
         "label": T.entry_label(F.col("title"), F.col("company"), "an experience entry"),
         "tokens": T.overlap_tokens(F.concat_ws(" ", "description", F.array_join("achievements", " "))),
+        "began": T.year_of(F.col("start_date_raw")), "ended": T.end_year(F.col("end_date_raw")),
     })
     parts = [
         by_skill,
-        listed(worked, "experiences", "label", "start_date_raw", "end_date_raw", "technologies", "seniority", "description", "tokens"),
+        listed(worked, "experiences", "label", "began", "ended", "technologies", "seniority", "description", "tokens"),
         listed(education, "education", "degree_level"),
         listed(certifications.withColumn("folded", _collapsed(F.col("name"))), "certifications", "name", "folded"),
         listed(languages.withColumn("level", T.rank(F.col("proficiency_normalized"), config.PROFICIENCY)), "languages", "canonical_name", "level"),
@@ -117,14 +118,16 @@ def domain_counts(skills: DataFrame) -> DataFrame:
     return counted.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("domain", "n"))).alias("domains"))
 
 
-def years_of_experience(experiences: Column, technology: Column, reference_year: Column) -> Column:
+def years_of_experience(experiences: Column, technology: Column, reference_year: Column, read: bool = False) -> Column:
     """Years that a candidate's experiences (with the technology, if not null) cover.
 
     0 if none is relevant; null if none of the relevant ones has readable years.
+    ``read``: the experiences have their years as numbers (began, ended).
     """
     relevant = F.filter(experiences, lambda e: technology.isNull() | F.coalesce(F.array_contains(e["technologies"], technology), F.lit(False)))
-    ranges = F.filter(F.transform(relevant, lambda e: T.year_range(e["start_date_raw"], e["end_date_raw"], reference_year)), lambda r: r.isNotNull())
-    return F.when(F.coalesce(F.size(relevant), F.lit(0)) <= 0, 0.0).when(F.size(ranges) > 0, T.years_covered(ranges))
+    years = (lambda e: (e["began"], e["ended"])) if read else (lambda e: (T.year_of(e["start_date_raw"]), T.end_year(e["end_date_raw"])))
+    ranges = F.filter(F.transform(relevant, lambda e: T.year_range(*years(e), reference_year)), lambda r: r.isNotNull())
+    return T.let(F.struct(F.coalesce(F.size(relevant), F.lit(0)).alias("n"), ranges.alias("r")), lambda x: F.when(x["n"] <= 0, 0.0).when(F.size(x["r"]) > 0, T.years_covered(x["r"])))
 
 
 def peak_seniority(experiences: Column) -> Column:
@@ -217,7 +220,7 @@ def _findings(reference_year: Column, embed: Callable[[Column], Column] | None)
     )
     found = [
         ("_hit", mine("skills", hit)),
-        ("_years", mine("experience", years_of_experience(F.col("experiences"), F.col("normalized_value"), reference_year))),
+        ("_years", mine("experience", years_of_experience(F.col("experiences"), F.col("normalized_value"), reference_year, read=True))),
         ("_gap", F.coalesce(mine("seniority", F.col("peak") - F.col("step")), mine("education", F.col("school") - F.col("step")))),
         ("_same", mine("certifications", same)), ("_part", mine("certifications", part)),
         ("_held", mine("languages", F.get(F.filter("languages", lambda x: x["canonical_name"] == F.col("wanted.name")), F.lit(0)))),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Surface forms that one alternation takes at most.
+#: Surface forms that one alternation takes at most; ``mention_table`` takes any number.
 MAX_FORMS = 5_000
 
 
@@ -40,7 +40,7 @@ def surface_forms(skills: DataFrame, aliases: DataFrame) -> list[tuple[str, str]
     )
     rows = forms.orderBy(F.length("form").desc(), "taxonomy_idx", "form").limit(MAX_FORMS + 1).collect()
     if len(rows) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} surface forms: join tokens with the alias index instead")
+        raise ValueError(f"more than {MAX_FORMS} surface forms: use mention_table instead")
     seen: dict[str, tuple[str, str]] = {}
     for r in rows:
         seen.setdefault(r["form"].lower(), (r["form"], r["canonical_name"]))
@@ -61,6 +61,39 @@ def scan_mentions(text: Column, forms: list[tuple[str, str]]) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda m: F.try_element_at(names, F.lower(m))), lambda m: m.isNotNull()))
 
 
+def form_table(skills: DataFrame, aliases: DataFrame) -> DataFrame:
+    """form (lower case), canonical_name: every surface form once, of the earlier skill on conflicts."""
+    own = skills.select(F.lower("canonical_name").alias("form"), "canonical_name", "taxonomy_idx")
+    others = aliases.join(skills.select("canonical_name", "taxonomy_idx"), "canonical_name").select(F.lower("alias").alias("form"), "canonical_name", "taxonomy_idx")
+    order = Window.partitionBy("form").orderBy("taxonomy_idx", "canonical_name")
+    return own.unionByName(others).filter("form <> ''").withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("form", "canonical_name")
+
+
+def mention_table(docs: DataFrame, text: str, forms: DataFrame, key: str = "document_id") -> DataFrame:
+    """``key`` and mentions array<string>, as ``scan_mentions`` finds them, for a taxonomy of any size.
+
+    Every place of a text where a mention can start or end gives pieces as long
+    as some form is; those meet the forms by a join. Of what is found the
+    leftmost, then longest stays, and nothing that overlaps it.
+    """
+    lengths = sorted(r[0] for r in forms.select(F.length("form")).distinct().collect())  # as many as the longest form has characters
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.array(*[F.lit(n) for n in lengths]).cast("array<int>").alias("_n"))
+    inner = lambda i: F.substring("_t", i, F.lit(1)).rlike("[A-Za-z0-9]")
+    starts = F.filter(F.sequence(F.lit(1), F.length("_t")), lambda i: (i == 1) | ~inner(i - 1))
+    at = T.numbered(rows.filter("_t <> ''"), starts, "_i", "_at", key, "_t", "_n")
+    fits = F.filter("_n", lambda n: (F.col("_at") + n - 1 == F.length("_t")) | ((F.col("_at") + n - 1 < F.length("_t")) & ~inner(F.col("_at") + n)))
+    pieces = T.numbered(at, fits, "_j", "_len", key, "_at", "_t").select(key, "_at", "_len", F.lower(F.substring("_t", F.col("_at"), F.col("_len"))).alias("form"))
+    hits = pieces.join(forms, "form").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", (-F.col("_len")).alias("_neg"), "canonical_name"))).alias("_h"))
+    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
+    taken = F.aggregate(
+        "_h", first,
+        lambda s, h: F.when(h["_at"] <= s["end"], s).otherwise(F.struct((h["_at"] - h["_neg"] - 1).cast("int").alias("end"), F.array_append(s["names"], h["canonical_name"]).alias("names"))),
+        lambda s: F.array_distinct(s["names"]),
+    )
+    found = hits.select(F.col(key), taken.alias("mentions"))
+    return docs.select(key).join(found, key, "left").select(key, F.coalesce("mentions", F.array().cast("array<string>")).alias("mentions"))
+
+
 def related_skills(skills: DataFrame, relations: DataFrame) -> DataFrame:
     """canonical_name, related_skill, relation_type, rel_rank: parent, children, ecosystem, explicit."""
     a = skills.select("canonical_name", "parent_skill", "ecosystem")

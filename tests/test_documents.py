@@ -112,6 +112,29 @@ def test_replace_and_cascade(spark):
     assert {k: [r[0] for r in v.collect()] for k, v in left.items()} == {"profiles": ["b"], "analyses": ["y"], "plans": ["q"], "changes": ["q"]}
 
 
+def test_project_changes_and_plan_deletion(spark):
+    row = lambda column, *x: spark.createDataFrame([("d", i, t) for i, t in enumerate(x)], f"document_id string, idx int, {column} string")
+    tables = {"skill": row("raw_text", "py", "go"), "project": row("name", "P"), "certification": row("name", "C"), "language": row("name", "L"), "experience": row("description", "E"), "education": row("degree", "D")}
+    told = [("d", "skill:1", "Go", True), ("d", "skill:0", "Python", False), ("d", "project:0", "PP", True), ("d", "certification:0", "CC", True), ("d", "language:0", "LL", True), ("d", "experience:0", "EE", True), ("d", "education:0", "DD", True)]
+    changes = spark.createDataFrame(told, "document_id string, fact_id string, final_text string, accepted boolean")
+    out = tailoring.project_changes(tables, changes)
+    assert {k: [r[2] for r in v.orderBy("idx").collect()] for k, v in out.items()} == {"skill": ["py", "Go"], "project": ["PP"], "certification": ["CC"], "language": ["LL"], "experience": ["EE"], "education": ["D"]}
+
+
+def test_run_tailoring(spark):
+    plans = spark.createDataFrame([("p", 1, 7), ("q", 2, 7)], "plan_id string, candidate_id long, job_id long")
+    operations = spark.createDataFrame([("p",)], "plan_id string")
+    changes = spark.createDataFrame([("p", True), ("p", False), ("p", True)], "plan_id string, accepted boolean")
+
+    def score(changed):
+        status = ["NOT_MET", "MET", "NOT_MET"] if changed is None else ["MET", "MET", "NOT_MET"]
+        evals = spark.createDataFrame([(1, 7, i, s) for i, s in enumerate(status)], "candidate_id long, job_id long, eval_idx int, status string")
+        return evals, spark.createDataFrame([(1, 7, 0.4 if changed is None else 0.7)], "candidate_id long, job_id long, overall double")
+
+    rows = tailoring.run_tailoring(plans, operations, changes, score).collect()
+    assert [(r.plan_id, r.before, r.after, r.improved, r.still_missing, r.unchanged, r.accepted, r.rejected) for r in rows] == [("p", 0.4, 0.7, 1, 1, 1, 2, 1)]
+
+
 def test_read_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     row = storage.read_documents(spark, f"file://{tmp_path}", "CV").first()

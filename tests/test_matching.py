@@ -1,5 +1,7 @@
 """Taxonomy, matching rules, scores, recommendations."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from talentloom import config
@@ -112,7 +114,18 @@ def test_semantic_match(spark):
     got = {(r.dimension, r.raw_text): (r.match_signal, r.match_strength, r.confidence) for r in evaluate(spark, same).filter("candidate_id = 1").collect()}
     assert got["skills", "C++"] == ("SEMANTIC_MATCH", "GOOD", 0.9) and got["responsibilities", "Sing songs"][0] == "SEMANTIC_MATCH"
     assert got["skills", "Flask"][0] == "EXACT_MATCH"
-    assert len(T.hash_embedding.__doc__) > 0
+    digest = hashlib.sha256("Go".encode()).digest()
+    vector = spark.createDataFrame([("Go",)], "t string").select(T.hash_embedding(F.col("t"), 40).alias("v")).first().v
+    assert vector == [digest[i % 32] / 127.5 - 1 for i in range(40)]
+
+
+def test_mention_table_finds_what_the_scan_finds(spark):
+    forms = taxonomy.surface_forms(skills(spark), aliases(spark))
+    texts = ["I know C++, PY3 and React Native.", "React Natives, Pythonic", None, "", "python Python k8s", "C++C++ C++", "React Native React", "x.Python", "pythonpy3", "(django)flask Flask"]
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id int, t string")
+    want = {r.document_id: r.m for r in df.select("document_id", taxonomy.scan_mentions(F.col("t"), forms).alias("m")).collect()}
+    table = taxonomy.form_table(skills(spark), aliases(spark))
+    assert {r.document_id: r.mentions for r in taxonomy.mention_table(df, "t", table).collect()} == want
 
 
 def test_recommendations(spark):
