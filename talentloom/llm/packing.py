@@ -107,7 +107,8 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = SEQUENCE
     parts = max(1, -(-pieces.count() // PIECES_A_PARTITION))
     names = pieces.columns
     dealt = (
-        pieces.withColumn("_h", F.xxhash64(*[F.col(f"`{key}`"), "piece"]))
+        pieces.withColumn("_n", F.monotonically_increasing_id())  # parts equal or null keys
+        .withColumn("_h", F.xxhash64(F.col(f"`{key}`"), "piece", "_n"))
         .repartition(parts, "_h")
         .sortWithinPartitions("_h", F.col(f"`{key}`"), "piece")
     )

@@ -91,9 +91,10 @@ def write_token_blocks(df: DataFrame, vocabulary: Vocabulary, end_id: int, key:
     by ranges of the key (one shuffle), and encoded after that, so that no id
     is shuffled.
     """
-    rows = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
+    # The row's number parts equal or null keys, which else would all fall into one range.
+    rows = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).withColumn("_n", F.monotonically_increasing_id())
     parts = max(1, -(-df.select(key).count() // ROWS_A_PARTITION))
-    dealt = rows.repartitionByRange(parts, "_k").sortWithinPartitions("_k")
+    dealt = rows.repartitionByRange(parts, "_k", "_n").sortWithinPartitions("_k").select("_k", "_t")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
@@ -133,8 +134,8 @@ _BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("keys", pa.li
 def block_starts(blocks: DataFrame) -> DataFrame:
     """part, block, base long: the ids before each block.
 
-    Two levels, so that no task holds all blocks: sums by part, whose number is
-    the number of partitions, and running sums inside a part.
+    Two levels, so that no task holds all blocks: running sums inside a part, and
+    one window over the parts' sums (one row a partition of the writing job).
     """
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))

@@ -98,6 +98,16 @@ def test_token_blocks_round_trip(docs, nothing):
     assert tokens.read_token_digests(tokens.write_token_blocks(nothing, BYTE, 2)).count() == 0
 
 
+def test_equal_keys_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "ROWS_A_PARTITION", 50)
+    monkeypatch.setattr(packing, "PIECES_A_PARTITION", 50)
+    same = spark.range(400, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    blocks = tokens.write_token_blocks(same, BYTE, 2)
+    assert blocks.select("part").distinct().count() >= 4
+    packed = packing.pack_documents(same, WORD, 1).collect()
+    assert len(packed) == 400 and len({r.sequence_id >> 40 for r in packed}) >= 4
+
+
 def test_block_coding_with_wide_ranks():
     ids = np.random.default_rng(3).integers(0, 70_000, 200_000).astype(np.uint32)
     back, counts = tokens.unpack_block(tokens.pack_block(ids, np.array([150_000, 0, 50_000])))
@@ -490,9 +500,14 @@ def _brute_components(rows):
     return marks, group
 
 
-@pytest.mark.parametrize("tile", [512, 4])
-def test_simhash(spark, monkeypatch, tile):
+def test_blocks_grow_with_the_rows():
+    assert [simhash.blocks_for(n, 2) for n in (10, 10**5, 10**7, 10**8, 10**11)] == [3, 3, 4, 4, 5]
+
+
+@pytest.mark.parametrize("tile, blocks", [(512, 3), (4, 3), (4, 4), (512, 5)])
+def test_simhash(spark, monkeypatch, tile, blocks):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, r: blocks)
     base = _words(11, 400).split()
     rows = []
     for i in range(60):
