@@ -50,6 +50,7 @@ SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic",
 YOU = ("you", "your", "yours", "u", "ur", "tu", "toi", "vous", "votre", "ton", "ta", "du", "dich", "dir", "dein", "deine", "ihr", "sie", "te", "ti", "usted", "vos")
 DISGUISE = ("013457@$", "oieastas")
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&|=/\\-_…«»„“”"
+CAPITALS = "".join(map(chr, (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))))
 FEATURES = (
     *(f"{tier}_{kind}" for tier in TIERS for kind in ("density", "count")),
     "seed_density", "near_you", "capitals", "marks", "disguised", "log_words",
@@ -64,8 +65,7 @@ def held_out(key: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Words in lower case, punctuation dropped, disguises undone."""
-    plain = F.translate(F.lower(text), PUNCTUATION, " " * len(PUNCTUATION))
-    return words(F.translate(plain, *DISGUISE))
+    return words(F.translate(F.lower(text), PUNCTUATION + DISGUISE[0], " " * len(PUNCTUATION) + DISGUISE[1]))
 
 
 def _starts(word: Column, stems: list[str]) -> Column:
@@ -93,9 +93,10 @@ def features(df: DataFrame, lexicon: dict[str, list[str]], text: str, keep: tupl
         *keep,
         plain_words(F.col("_t")).alias("_w"),
         F.length(F.translate("_t", SPACE_CHARS, "")).alias("_n"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", "[A-ZÀ-ÖØ-Þ]", ""))).alias("_caps"),
+        (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).alias("_caps"),
         (F.length("_t") - F.length(F.translate("_t", "!?*#$%&@", ""))).alias("_marks"),
-        F.regexp_count("_t", F.lit(r"\p{L}[0134570@$*]+\p{L}")).alias("_disguised"),
+        # The pattern is slow, and most texts hold none of its inner characters.
+        F.when(F.length(F.translate("_t", "0134570@$*", "")) < F.length("_t"), F.regexp_count("_t", F.lit(r"\p{L}[0134570@$*]+\p{L}"))).otherwise(0).alias("_disguised"),
     )
     # Few words pass the gate, so that only they are compared with all stems.
     body = body.select("*", F.size("_w").alias("_words"), F.filter("_w", lambda x: F.substring(x, 1, STEM).isin(gate)).alias("_g"))
