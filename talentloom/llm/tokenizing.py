@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 MEMO_ENTRIES = 600_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -76,7 +76,10 @@ class Encoder:
         self.drops_case = vocabulary.drops_case
         # Added tokens match before letters are lowered, in their own case only.
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Two generations: what is met again moves to the young one, and the old
+        # one goes when the young one is full, so common chunks stay.
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _lowered(self, data: np.ndarray) -> np.ndarray:
         """Lowered text, but what differs from an added token by case alone stays as it is."""
@@ -90,8 +93,6 @@ class Encoder:
         return out
 
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.memo) + len(chunks) > MEMO_ENTRIES:
-            self.memo.clear()
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
             done = self.tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
@@ -135,14 +136,20 @@ class Encoder:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        missing = [c for c in distinct if c not in self.memo]
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        missing = []
+        for c in distinct:
+            if c not in memo:
+                known = old.get(c)
+                if known is None:
+                    missing.append(c)
+                else:
+                    memo[c] = known
         if missing:
             self._learn(missing)
-            if len(missing) < len(distinct):  # the memo may have been cleared
-                lost = [c for c in distinct if c not in self.memo]
-                if lost:
-                    self._learn(lost)
-        found = [self.memo[c] for c in distinct]
+        found = [memo[c] for c in distinct]
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         source = np.frombuffer(b"".join(found), "<u4")
         place = np.cumsum(length) - length
