@@ -69,6 +69,20 @@ def test_run(spark, world):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
 
 
+def test_run_over_nothing_and_over_repeated_rows(spark, world, tmp_path):
+    empty, twice = f"file://{tmp_path}/empty", f"file://{tmp_path}/twice"
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert pipeline.run(spark, empty).count() == 0
+    rows = [(7, _prose(1), "en", "a", 5, "x")] * 5 + [(8, _prose(2), "en", "a", 5, "x")] * 3 + [(None, _prose(3), "en", "b", 5, "x")] * 4 + [(None, None, None, None, None, None)] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{twice}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{twice}/labels.parquet")
+    once = pipeline.near_duplicate_removal(spark, spark.read.parquet(f"{twice}/documents.parquet"), twice).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in once) == sorted([(7, _prose(1)[:9]), (8, _prose(2)[:9]), (0, _prose(3)[:9]), (0, "")])
+    packed = pipeline.run(spark, twice).collect()
+    assert {r.doc_id for r in packed} <= {7, 8, None} and {7, 8} <= {r.doc_id for r in packed}
+
+
 def _edited(text, places):
     tokens = text.split()
     for at in places:
