@@ -93,3 +93,69 @@ with v as (
 )
 select query_id, row_number() over (partition by n order by score desc, vec_id)::int as rank, vec_id, score
 from s qualify rank <= 5"""
+
+
+EMBEDDING_NEAR_DEDUP_SQL = """
+with recursive e as (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: x::double) as x from embeddings
+), good as (
+  select n, vec_id, x, sqrt(list_inner_product(x, x)) as size from e
+  where len(x) > 0 and len(list_filter(x, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(x, lambda v: v <> 0)) > 0
+), link as (
+  select a.n as a, b.n as b from good a join good b on a.n <> b.n where list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.9
+), reach as (
+  select n as a, n as b from e union select r.a, l.b from reach r join link l on r.b = l.a
+), top as (
+  select r.a as n, min(e.vec_id) as component_id from reach r join e on e.n = r.b group by r.a
+), k as (
+  select a as n, count(*) as n_links from link group by a
+)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from e join top using (n) left join k using (n)"""
+
+
+LEXICAL_SEARCH_SQL = r"""
+with word as (
+  select doc_id, n as row, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as n, doc_id, text from documents)
+), tf as (
+  select row, any_value(doc_id) as doc_id, term, count(*) as tf from word group by row, term
+), size as (
+  select row, sum(tf)::bigint as n from tf group by row
+), total as (
+  select count(*) as docs, sum(n)::bigint as len from size
+), weight as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by term
+), asked as (
+  select n as item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as n, item_id, text from benchmark)
+), norm as (
+  select row, 75 + (25 * n * docs) // len as m from size, total
+), scored as (
+  select item, any_value(item_id) as item_id, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from asked join weight using (term) join tf using (term) join norm using (row)
+  group by item, row
+)
+select item_id, row_number() over (partition by item order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20"""
+
+
+HARD_NEGATIVES_SQL = """
+with v as (
+  select row_number() over () as n, vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as x
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.n, a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_inner_product(a.x, v.x)::bigint as score
+  from v a join v on v.n <> a.n where a.vec_id % 50 = 0
+), p as (
+  select n, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by n order by score desc, vec_id) as place
+  from s where same qualify place <= 5
+)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.n, p.place order by s.score desc, s.vec_id)::int as rank,
+       s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.n = p.n and not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3"""

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .common import table
+from .embedding_dedup import near_duplicate_vectors
+from .hard_negatives import mine_negatives
 from .html_text import extract_pages
+from .lexical import rank_documents
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import find_pii
@@ -82,6 +85,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, by cosine."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -94,8 +113,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_products": op8_top_products,
         "op9_repeats": op9_repeats,
         "op10_simhash": op10_simhash,
+        "op11_embedding_near_dedup": op11_embedding_near_dedup,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": oracle.quality_sql(), "op6_mixing": oracle.mixing_sql(), "op8_top_products": oracle.TOP_PRODUCTS_SQL}
+    return {
+        "op1_quality": oracle.quality_sql(),
+        "op6_mixing": oracle.mixing_sql(),
+        "op8_top_products": oracle.TOP_PRODUCTS_SQL,
+        "op11_embedding_near_dedup": oracle.EMBEDDING_NEAR_DEDUP_SQL,
+        "op12_lexical_search": oracle.LEXICAL_SEARCH_SQL,
+        "op13_hard_negatives": oracle.HARD_NEGATIVES_SQL,
+    }

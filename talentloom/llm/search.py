@@ -48,14 +48,14 @@ SAMPLE_A_PIVOT, MOST_PIVOTS, ROUNDS = 16, 1024, 4
 _FAR = (1 << 63) - 1  # stands for scores that do not fit a long
 
 
-def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``key`` and x array<double>: floor(SCALE * component), of the vectors that take part."""
+def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *others: str) -> DataFrame:
+    """``key``, x array<double>: floor(SCALE * component), and ``others``, of the vectors that take part."""
     whole = float(1 << 53)  # from here on doubles are whole numbers
     raised = F.transform(F.col(vector).cast("array<double>"), lambda v: F.when(F.abs(v * SCALE) < whole, F.floor(v * SCALE).cast("double")).otherwise(v * SCALE))
     wild = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
     good = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
     clean = df.filter(good & ~F.exists(F.col(vector).cast("array<double>"), wild))
-    return clean.select(F.col(key).cast("long").alias(key), raised.alias("x"))
+    return clean.select(F.col(key).cast("long").alias(key), raised.alias("x"), *others)
 
 
 class Node:
