@@ -6,6 +6,8 @@ plain texts, and with one (by document) from a table of lines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,28 @@ def explode_lines(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return lists.select("document_id", F.posexplode(lines).alias("line_no", "l")).select("document_id", "line_no", "l.page_number", "l.text")
 
 
-def _alias_table(headings: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    """(alias, type), longest first, ties by alias."""
-    flat = {a: kind for kind, aliases in headings.items() for a in aliases}
-    return sorted(flat.items(), key=lambda x: (-len(x[0]), x[0]))
+def _kinds(headings: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """Section type by alias."""
+    return {a: kind for kind, aliases in headings.items() for a in aliases}
+
+
+def trie_pattern(words: list[str]) -> str:
+    """A pattern of all ``words`` as a trie: at a place it takes the longest word that starts there, in one walk."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def walk(node: dict) -> str:
+        parts = [re.escape(letter) + walk(below) for letter, below in sorted(node.items()) if letter]
+        if not parts:
+            return ""
+        inner = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return inner + ("?" if "" in node else "")
+
+    return walk(root)
 
 
 def _constant(values: list[str]) -> Column:
@@ -40,16 +60,18 @@ def _constant(values: list[str]) -> Column:
 
 
 def section_heading(c: Column, headings: dict[str, tuple[str, ...]] = config.HEADINGS) -> Column:
-    """Section type of a heading: exact alias, else the longest alias inside it, else OTHER."""
+    """Section type of a heading: exact alias, else the longest alias inside it (ties by alias), else OTHER."""
     return T.let(T.clean_heading(c), lambda clean: _heading_type(clean, headings))
 
 
 def _heading_type(clean: Column, headings: dict[str, tuple[str, ...]]) -> Column:
-    table = _alias_table(headings)
-    aliases, kinds = _constant([a for a, _ in table]), _constant([k for _, k in table])
-    inside = F.get(F.filter(aliases, lambda a: F.contains(clean, a)), F.lit(0))
-    hit = F.when(F.array_contains(aliases, clean), clean).otherwise(inside)
-    return F.coalesce(F.get(kinds, F.array_position(aliases, hit).cast("int") - 1), F.lit("OTHER"))
+    kinds = _kinds(headings)
+    # The longest alias that starts at each place, then the longest of these.
+    found = F.regexp_extract_all(clean, F.lit(f"(?=({trie_pattern(list(kinds))}))"), F.lit(1))
+    inside = F.array_min(F.transform(found, lambda a: F.struct((-F.length(a)).alias("n"), a.alias("a"))))["a"]
+    hit = F.when(clean.isin(*kinds), clean).otherwise(inside)
+    place = F.array_position(_constant(list(kinds)), hit).cast("int") - 1
+    return F.coalesce(F.get(_constant(list(kinds.values())), place), F.lit("OTHER"))
 
 
 def heading_score(line: Column, typical: Column, headings: dict[str, tuple[str, ...]] = config.HEADINGS) -> Column:
@@ -65,15 +87,13 @@ def _bare_score(bare: Column, line: Column, typical: Column, headings: dict[str,
 
 def _signals(bare: Column, clean: Column, line: Column, typical: Column, headings: dict[str, tuple[str, ...]]) -> Column:
     parts = config.HEADING_PARTS
-    aliases = [a for a, _ in _alias_table(headings)]
-    # A text holds some alias just when it holds one that has no other inside.
-    least = _constant([a for a in aliases if not any(b != a and b in a for b in aliases)])
+    kinds = _kinds(headings)
     caps = (bare == F.upper(bare)) & (bare != F.lower(bare)) & (F.length(bare) >= 5) & (F.size(F.split(bare, r"(?U)\s+")) <= 6)
     large = (line["font_size"] > 0) & (typical > 0) & (line["font_size"] >= typical * config.FONT_RATIO)
     few = F.size(F.split(clean, " ")) <= 3
     when = lambda test, part: F.when(F.coalesce(test, F.lit(False)), parts[part]).otherwise(0.0)
-    total = when(line["is_heading_style"], "style") + when(clean.isin(aliases), "alias") + when(caps, "caps") + when(large, "font")
-    total = total + when(line["is_bold"], "bold") + F.when(few, when(F.exists(least, lambda a: F.contains(clean, a)), "contains")).otherwise(0.0)
+    total = when(line["is_heading_style"], "style") + when(clean.isin(*kinds), "alias") + when(caps, "caps") + when(large, "font")
+    total = total + when(line["is_bold"], "bold") + F.when(few, when(clean.rlike(trie_pattern(list(kinds))), "contains")).otherwise(0.0)
     return F.least(total, F.lit(1.0))
 
 

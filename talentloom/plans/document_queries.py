@@ -116,6 +116,67 @@ def cv_sections(m: Model) -> DataFrame:
     return sections.detect_sections(cvs(m)).select("document_id", "section_idx", "section_type")
 
 
+#: Every heading with its section type, as SQL rows.
+_ALIASES = [(a, kind) for kind, aliases in config.HEADINGS.items() for a in aliases]
+_ALIAS_ROWS = ", ".join(f"({i}, {_WORDS([a])}, '{kind}')" for i, (a, kind) in enumerate(_ALIASES))
+_CLEAN = r"trim(regexp_replace(regexp_replace(lower(strip_accents(translate(line, 'ßœŒ', '   '))), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g'))"
+_TYPED = f"""alias as (select * from (values {_ALIAS_ROWS}) as t(i, a, kind)), cleaned as (select *, {_CLEAN} as c from asked),
+  kinds as (select c, coalesce(max(case when a = c then kind end), arg_min(kind, (-length(a), a)), 'OTHER') as section_type
+    from (select distinct c from cleaned) d left join alias on contains(c, a) group by c)"""
+
+
+def _part_headings(m: Model) -> DataFrame:
+    """A line for every part, made of a heading of the whole table, in four forms."""
+    k = F.col("p_partkey")
+    names = F.array(*[F.lit(a) for a, _ in _ALIASES])
+    name, other = F.get(names, (k % len(_ALIASES)).cast("int")), F.get(names, (k * 7 % len(_ALIASES)).cast("int"))
+    forms = F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, F.concat(F.initcap(name), F.lit(" :")))
+    forms = forms.when(k % 4 == 2, F.concat(F.lit("# My "), F.translate(name, "eou", "éôù"), F.lit(" (all)"))).otherwise(F.concat("p_brand", F.lit(" "), name, F.lit(" & "), other))
+    return m.part.select("p_partkey", forms.alias("line"))
+
+
+@query("heading_types", f""", named as (select p_partkey, p_brand, x.a as name, y.a as other from part join (values {_ALIAS_ROWS}) as x(i, a, kind) on x.i = p_partkey % {len(_ALIASES)}
+    join (values {_ALIAS_ROWS}) as y(i, a, kind) on y.i = p_partkey * 7 % {len(_ALIASES)}),
+  asked as (select p_partkey, case p_partkey % 4 when 0 then upper(name) when 1 then name || ' :' when 2 then '# My ' || translate(name, 'eou', 'éôù') || ' (all)' else p_brand || ' ' || name || ' & ' || other end as line from named),
+  {_TYPED} select p_partkey, section_type from cleaned join kinds using (c)""")
+def heading_types(m: Model) -> DataFrame:
+    """Section type of a line that holds each heading: alone, marked, inside a line, or with another one."""
+    return _part_headings(m).select("p_partkey", sections.section_heading(F.col("line")).alias("section_type"))
+
+
+@query("line_types", rf""", asked as (select doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) as line from documents where text <> ''),
+  {_TYPED} select doc_id, section_type, count(*) as n from cleaned join kinds using (c) group by all""")
+def line_types(m: Model) -> DataFrame:
+    """What section type each line of every document would have as a heading."""
+    lines = sections.explode_lines(_docs(m))
+    return lines.select(F.col("document_id").alias("doc_id"), sections.section_heading(F.col("text")).alias("section_type")).groupBy("doc_id", "section_type").agg(F.count("*").alias("n"))
+
+
+#: Sections of the CVs with varied headings, in order, and which of a kind's headings a customer has.
+_VARIED = ("SUMMARY", "EXPERIENCE", "HIGHLIGHTS", "EDUCATION", "PROJECTS", "TECHNICAL_SKILLS", "CERTIFICATIONS", "LANGUAGES", "VOLUNTEER_EXPERIENCE", "INTERESTS", "AFFILIATIONS", "ADDITIONAL_INFORMATION")
+_VARIED_ROWS = ", ".join(f"({i}, '{kind}', [{_WORDS(config.HEADINGS[kind])}])" for i, kind in enumerate(_VARIED))
+_VARIED_CTE = f""", heads as (select c_custkey as k, i, kind, upper(case when c_custkey % 3 = 0 then replace(h[(c_custkey + i) % len(h) + 1], 'e', 'é') else h[(c_custkey + i) % len(h) + 1] end) as head
+    from customer, (values {_VARIED_ROWS}) as t(i, kind, h) where (c_custkey + i) % 4 <> 0)"""
+
+
+def varied_cvs(m: Model) -> DataFrame:
+    """CVs whose headings are all headings of each type in turn, English and French, with and without accents; some sections are missing."""
+    k, parts = F.col("c_custkey"), []
+    for i, kind in enumerate(_VARIED):
+        names = config.HEADINGS[kind]
+        name = F.get(F.array(*[F.lit(a) for a in names]), ((k + i) % len(names)).cast("int"))
+        head = F.upper(F.when(k % 3 == 0, F.replace(name, F.lit("e"), F.lit("é"))).otherwise(name))
+        parts.append(F.when((k + i) % 4 != 0, F.concat(head, F.lit("\n"), F.lit(f"Line {i} of "), "c_name", F.lit(".\n"))))
+    return m.customer.select(k.cast("string").alias("document_id"), F.concat(F.lit("Person\n"), F.concat_ws("\n", *parts)).alias("raw_text"))
+
+
+@query("varied_sections", f"""{_VARIED_CTE}, listed as (select k, -1 as i, 'OTHER' as section_type, '' as heading_text, 'Person' as body_text from heads group by k
+    union all select k, i, kind, head, 'Line ' || i || ' of ' || c_name || '.' from heads join customer on c_custkey = k)
+  select k::varchar as document_id, (row_number() over (partition by k order by i) - 1)::int as section_idx, section_type, heading_text, body_text from listed""")
+def varied_sections(m: Model) -> DataFrame:
+    return sections.detect_sections(varied_cvs(m)).select("document_id", "section_idx", "section_type", "heading_text", "body_text")
+
+
 @query("layout_sections", """select cast(c_custkey as string) as document_id, (row_number() over (partition by c_custkey order by i) - 1)::int as section_idx, case when i < 2 then 'OTHER' else 'SKILLS' end as section_type, case i when 0 then '' when 1 then 'Big unusual words' else 'Skills' end as heading_text,
   case i when 0 then 1.0 when 1 then case c_custkey % 4 when 0 then 1.0 when 1 then 0.9 else 0.0 end else case when c_custkey % 3 = 0 then 1.0 else 0.85 end end as confidence from customer, (select unnest(range(3))::int as i) where i <> 1 or c_custkey % 4 < 2""")
 def layout_sections(m: Model) -> DataFrame:
@@ -588,13 +649,10 @@ def status_transitions(m: Model) -> DataFrame:
     return intake.check_status_transitions(m.sql(EVENTS), tie="event_id").select("event_id", "previous_status", "is_legal")
 
 
-_CV_HEADINGS = ("", *_CV_KINDS[1:])
-
-
-@query("section_summaries", f"select cast(c_custkey as string) as document_id, '{'|'.join(f'{k}:{h}' for k, h in zip(_CV_KINDS, _CV_HEADINGS, strict=True))}' as sections from customer")
+@query("section_summaries", f"""{_VARIED_CTE} select k::varchar as document_id, 'OTHER:|' || string_agg(kind || ':' || head, '|' order by i) as sections from heads group by k""")
 def section_summaries(m: Model) -> DataFrame:
     told = F.transform("sections", lambda x: F.concat_ws(":", x["type"], x["heading"]))
-    return sections.section_summary(sections.detect_sections(cvs(m))).select("document_id", F.array_join(told, "|").alias("sections"))
+    return sections.section_summary(sections.detect_sections(varied_cvs(m))).select("document_id", F.array_join(told, "|").alias("sections"))
 
 
 @query("cv_entries", f"""select cast(c_custkey as string) as document_id, 0 as idx, concat({_case("c_custkey % 9", TITLES)}, ' at Firm ', c_custkey % 30) as first_line, 5 as n_lines from customer

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from talentloom import config
+from talentloom.headings import HEADINGS
 from talentloom.operators import candidate, sections, tailoring, taxonomy, truth, views
 from talentloom.plans import ORACLES, QUERIES, document_queries
 from talentloom.sources import documents as storage
@@ -198,7 +200,7 @@ def test_headings_of_all_types(spark):
         "PROJECTS": ("Side Projects", "Projets personnels"), "SKILLS": ("Areas of Expertise", "Compétences clés"), "TECHNICAL_SKILLS": ("Technical Skills", "Outils et technologies"),
         "CERTIFICATIONS": ("Licenses and Certifications", "Certificats"), "LANGUAGES": ("Spoken Languages", "Langues"), "ACHIEVEMENTS": ("Awards and Honors", "Réalisations"),
         "PUBLICATIONS": ("Selected Publications",), "PRESENTATIONS": ("Speaking Engagements",), "VOLUNTEER_EXPERIENCE": ("Volunteer Experience", "Bénévolat"),
-        "LEADERSHIP": ("Leadership Roles",), "INTERESTS": ("Personal Interests", "Centres d'intérêt"), "HOBBIES": ("Hobbies & Interests", "Loisirs"),
+        "LEADERSHIP": ("Leadership Roles",), "INTERESTS": ("Personal Interests", "Centres d'intérêt", "Hobbies & Interests"), "HOBBIES": ("Hobbies and Interests", "Loisirs"),
         "AFFILIATIONS": ("Professional Memberships",), "SCHOLARSHIPS": ("Grants and Scholarships",), "ADDITIONAL_INFORMATION": ("Additional Information", "Informations complémentaires"),
         "RESPONSIBILITIES": ("What you'll do", "Key Responsibilities"), "REQUIREMENTS": ("What we're looking for", "Required skills"), "OTHER": ("Lorem ipsum", ""),
     }
@@ -231,3 +233,27 @@ def test_same_rows_for_any_partitioning(spark, name):
         got.append(sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize(("line", "kind"), [
+    ("Work Experience", "EXPERIENCE"), ("CAREER SUMMARY", "EXPERIENCE"), ("Expérience professionnelle", "EXPERIENCE"), ("Background", "EXPERIENCE"), ("Record", "EXPERIENCE"),
+    ("Credentials", "CERTIFICATIONS"), ("Qualifications", "REQUIREMENTS"), ("Core Qualifications", "CORE_QUALIFICATIONS"), ("Skills & Competencies", "SKILLS"),
+    ("Co-op Experience", "EXPERIENCE"), ("Centres d'intérêt", "INTERESTS"), ("Activités extra-professionnelles", "OTHER"), ("My Technical Skills section", "TECHNICAL_SKILLS"),
+    ("brand", "OTHER"), ("thousand islands", "OTHER"), ("and", "OTHER"), ("technical", "OTHER"), ("Volunteer", "OTHER"), ("", "OTHER"), ("What you'll do", "RESPONSIBILITIES"),
+])
+def test_headings(spark, line, kind):
+    row = spark.createDataFrame([(line,)], "line string").select(sections.section_heading(F.col("line")).alias("t")).first()
+    assert row.t == kind
+
+
+def test_every_heading_has_its_type(spark):
+    rows = [(a, kind) for kind, aliases in HEADINGS.items() for a in aliases]
+    assert len({a for a, _ in rows}) == len(rows) and set(HEADINGS) | {"OTHER"} == set(config.SECTION_TYPES)
+    told = spark.createDataFrame(rows, "line string, want string").withColumn("got", sections.section_heading(F.upper("line")))
+    assert told.filter("got <> want").count() == 0
+
+
+def test_headings_of_ones_own(spark):
+    own = {"MAGIC": ("spells", "spell book"), "OTHER_MAGIC": ("spell",)}
+    row = spark.createDataFrame([("The spell book of old",), ("spells",), ("a spell",), ("Skills",)], "line string")
+    assert [r.t for r in row.select(sections.section_heading(F.col("line"), own).alias("t")).collect()] == ["MAGIC", "MAGIC", "OTHER_MAGIC", "OTHER"]
