@@ -2,12 +2,22 @@
 
 A page is split into blocks. Pass one looks at link density, length and stop-word
 density of every block: mostly links is dropped, long enough prose is kept, the
-rest stays open. The innermost telling container (by tag, role, class or id) is one
-more input: navigation, headers, footers, asides, forms, adverts, notices and
-comments are dropped whatever their words are, and outside of an article or main
-element a line that claims rights is dropped too. Pass two lets open blocks inherit the label of their nearest decided
-neighbours in the same kind of container. A page is one row, so the operator is
-a map without a shuffle; its work is linear in the page.
+rest stays open. Outside of an article or main element a line that claims rights is
+dropped. Pass two lets open blocks inherit the label of their nearest decided
+neighbours in the same kind of container.
+
+The innermost telling container (by tag, role, class or id) is one more input of pass
+one. A name that says furniture as a whole (``sidebar``, ``site-footer``, ``comment-list``)
+marks its container; a name of which that is only a part (``has-sidebar``,
+``related-work``) raises the length and density that prose in it needs. What stands in a
+marked container is dropped, but a container that holds most of a page's prose is no
+furniture, whatever it is called: if its prose outweighs by ``MOST`` times all text but links
+that stands outside of marked containers, the mark is void, and what the container stands in
+decides. Reader comments may outweigh an article; their mark, and that of a short notice, is void
+only where nothing stands outside.
+
+A page is one row, so the operator is a map without a shuffle; its work is linear
+in the page (but for sorting its containers).
 
 Edge cases: null or empty html gives an empty text; unclosed or cut-off tags,
 comments and scripts end with the page; repeated rows give repeated results;
@@ -17,6 +27,7 @@ A page whose blocks are all open is kept whole.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -46,6 +57,12 @@ NAMES = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended pagination pager login search "
     "copyright legal skip toolbar".split()
 )
+#: Words of names that say nothing beside those above, and the names of reader comments.
+NEUTRAL = frozenset(
+    "site page main primary secondary content list box wrap wrapper container section area block bar inner outer item items link links text title body top bottom left right row col "
+    "column group panel unit zone slot holder label button buttons btn icon icons form field modal js the post global local sticky mobile desktop small large".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 MARKUP = re.compile(
@@ -68,52 +85,80 @@ MANY_LINKS = 0.5
 _STOP = frozenset(STOP_WORDS)
 
 KEEP, DROP, OPEN = 1, 0, -1
-#: What the innermost telling container says.
+#: What the innermost telling container says; how often a container must outweigh the rest for its mark to be void.
 ARTICLE, PLAIN, ASIDE = 1, 0, -1
+MOST = 2
 
 
 @dataclass
 class Block:
     text: str
     links: float  # share of its characters inside links
-    hint: int
+    box: int  # number of the innermost telling container (-1: none)
+    weak: bool = False  # a name around it says furniture in part
+    hint: int = PLAIN
+
+
+@dataclass
+class Box:
+    """A telling container: an article, or one that is marked as furniture."""
+
+    parent: int
+    article: bool
+    comments: bool = False
+    void: bool = False
+
 
+#: What the attributes of an element say.
+SILENT, WEAK, MARKED, REMARKS = range(4)
 
-def _marks(attributes: str) -> bool:
+
+def _name_says(value: str) -> int:
+    says = SILENT
+    for token in value.split():
+        parts = [part.lower() for part in NAME_PARTS.findall(token)]
+        if any(part in COMMENTS for part in parts) and all(part in NAMES or part in NEUTRAL for part in parts):
+            return REMARKS
+        if any(part in NAMES for part in parts):
+            says = max(says, MARKED if all(part in NAMES or part in NEUTRAL for part in parts) else WEAK)
+    return says
+
+
+def _marks(attributes: str) -> int:
     """Whether class, id, role or style call an element furniture or hidden."""
+    says = SILENT
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(part.lower() in NAMES for part in NAME_PARTS.findall(value)):
-                return True
+            says = max(says, _name_says(value))
         elif name == "role":
-            if value.lower() in ROLES:
-                return True
+            says = max(says, MARKED if value.lower() in ROLES else SILENT)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            says = max(says, MARKED)
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            says = max(says, MARKED)
+    return says
 
 
 def blocks(page: str) -> list[Block]:
-    """The non-empty blocks of a page in order, with what surrounds each."""
+    """The non-empty blocks of a page in order, with what their containers say."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements: name, hint that holds inside
+    boxes: list[Box] = []
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, telling container and weak name that hold inside
     held: Counter[str] = Counter()  # how many of each name are open
     pieces: list[str] = []
     linked: list[str] = []
     links = 0
-    own: int | None = None  # the hint of a paragraph, or of a heading in an article's header
+    own: int | None = None  # the container of a paragraph, or of a heading in an article's header
 
-    def hint() -> int:
-        return stack[-1][1] if stack else PLAIN
+    def box() -> int:
+        return stack[-1][1] if stack else -1
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
             inside = sum(len(x) for x in "".join(linked).split())
-            out.append(Block(text, inside / max(1, len(text) - text.count(" ")), hint() if own is None else own))
+            out.append(Block(text, inside / max(1, len(text) - text.count(" ")), box() if own is None else own, bool(stack) and stack[-1][2]))
         pieces.clear()
         linked.clear()
 
@@ -123,8 +168,12 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked.append(text)
 
-    def push(name: str, says: int) -> None:
-        stack.append((name, says))
+    def telling(parent: int, article: bool, comments: bool = False) -> int:
+        boxes.append(Box(parent, article, comments))
+        return len(boxes) - 1
+
+    def push(name: str, where: int, weak: bool) -> None:
+        stack.append((name, where, weak))
         held[name] += 1
 
     def pop(name: str) -> None:
@@ -157,43 +206,96 @@ def blocks(page: str) -> list[Block]:
             if m[2]:
                 pop(name)
             elif name == "p":
-                own = ASIDE if _marks(m[4]) else None
+                says = _marks(m[4])
+                own = telling(box(), False, says == REMARKS) if says >= MARKED else None
             elif name not in VOID and name not in ("html", "body"):
                 if name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
                     pop(name)
-                if name in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][1] == ARTICLE:
-                    own = ARTICLE  # the article's own header
+                if name in HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][1] >= 0 and boxes[stack[-2][1]].article:
+                    own = stack[-2][1]  # the article's own header
                 if not m[4].rstrip().endswith("/"):
-                    says = ARTICLE if name in CONTENT else ASIDE if name in FURNITURE or _marks(m[4]) else hint() if own is None else own
-                    push(name, says)
-        elif not m[2] and name not in VOID and _marks(m[4]):  # inline furniture
+                    says = _marks(m[4])
+                    if name in CONTENT:
+                        push(name, telling(box(), True), False)
+                    elif name in FURNITURE or says >= MARKED:
+                        push(name, telling(box(), False, says == REMARKS), False)
+                    else:
+                        push(name, box() if own is None else own, says == WEAK or bool(stack) and stack[-1][2])
+        elif not m[2] and name not in VOID and (says := _marks(m[4])) >= MARKED:  # inline furniture
             flush()
-            push(name, ASIDE)
+            push(name, telling(box(), False, says == REMARKS), False)
         elif m[2] and stack and stack[-1][0] == name:
             flush()
             pop(name)
     if at < len(page):
         take(page[at:])
     flush()
+    void_marks(out, boxes)
+    for b in out:
+        k = b.box
+        while k >= 0 and boxes[k].void:
+            boxes[k].parent = k = _outside(boxes, k)
+        b.hint = PLAIN if k < 0 else ARTICLE if boxes[k].article else ASIDE
     return out
 
 
-def first_pass(block: Block) -> int:
-    """KEEP, DROP or OPEN by densities and container."""
-    if block.links > MANY_LINKS or block.hint == ASIDE:
+def _outside(boxes: list[Box], k: int) -> int:
+    """The container that a void one stands in, past further void ones."""
+    parent = boxes[k].parent
+    return boxes[parent].parent if parent >= 0 and boxes[parent].void else parent
+
+
+def void_marks(found: list[Block], boxes: list[Box]) -> None:
+    """Mark the boxes void that hold most of a page's prose, from the outermost in."""
+    prose = [0] * (len(boxes) + 1)  # of each box with what it holds, the last for no box
+    direct = [0] * (len(boxes) + 1)
+    text = [0] * (len(boxes) + 1)  # what may be prose too
+    for b in found:
+        says = _densities(b)
+        direct[b.box] += len(b.text) if says == KEEP else 0
+        text[b.box] += len(b.text) if says != DROP else 0
+    parts: dict[int, list[int]] = {}
+    for k in range(len(boxes) - 1, -1, -1):  # a box stands after the one that holds it
+        prose[k] += direct[k]
+        if not boxes[k].article:  # an article's prose is its own, not that of what it stands in
+            parts.setdefault(boxes[k].parent, []).append(k)
+            prose[boxes[k].parent] += prose[k]
+    outside = text[-1] + sum(text[k] for k, box in enumerate(boxes) if box.article)
+    heap = [(-prose[k], k) for holder, inner in parts.items() if holder < 0 or boxes[holder].article for k in inner]
+    heapq.heapify(heap)
+    while heap:
+        weight, k = heapq.heappop(heap)
+        if -weight <= MOST * outside or outside and (boxes[k].comments or -weight < 2 * LONG):
+            continue
+        boxes[k].void = True
+        outside += text[k]
+        for inner in parts.get(k, ()):
+            heapq.heappush(heap, (-prose[inner], inner))
+
+
+def _densities(block: Block) -> int:
+    """KEEP, DROP or OPEN by link density, length and stop-word density."""
+    if block.links > MANY_LINKS:
         return DROP
     size = len(block.text)
-    if size < LONG and block.hint == PLAIN and RIGHTS.match(block.text):
-        return DROP
     if size < SHORT:
         return OPEN
     tokens = block.text.lower().split()
     stop = sum(t.strip(PUNCTUATION) in _STOP for t in tokens) / len(tokens)
+    if block.weak:
+        return KEEP if stop >= (SOME_STOP_WORDS if size >= LONG else MANY_STOP_WORDS) else OPEN
     if size >= LONG and (stop >= MANY_STOP_WORDS or block.links == 0) or stop >= SOME_STOP_WORDS and block.links == 0:
         return KEEP
     return OPEN
 
 
+def first_pass(block: Block) -> int:
+    """KEEP, DROP or OPEN by densities and container."""
+    if block.hint == ASIDE or len(block.text) < LONG and block.hint == PLAIN and RIGHTS.match(block.text):
+        return DROP
+    return _densities(block)
+
+
 def second_pass(labels: list[int], hints: list[int]) -> list[int]:
     """Open labels take that of the nearest decided neighbour (kept on ties or without any).
 

@@ -112,7 +112,8 @@ def index(facts: DataFrame, documents: int, length: int, block: int = BLOCK) ->
         order = np.lexsort((-times, term))
         return pd.DataFrame({"m": frame["m"].iloc[:1].to_numpy(), "docs": [frame["doc"].to_numpy(np.int64)], "terms": [term[order]], "times": [times[order]], "places": [place[order]]})
 
-    made = dealt.groupBy("m", "part").applyInPandas(filled, "m long, docs array<long>, terms array<int>, times array<long>, places array<int>")
+    # By both, as a stratum may hold most documents: the join's partitioning by m alone would do for Spark.
+    made = dealt.repartition("m", "part").groupBy("m", "part").applyInPandas(filled, "m long, docs array<long>, terms array<int>, times array<long>, places array<int>")
     return stored(made.select(F.monotonically_increasing_id().alias("block"), "*"), "lexical-index")
 
 

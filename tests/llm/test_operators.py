@@ -281,12 +281,40 @@ def test_html_goes_by_densities_where_nothing_is_named():
 
 
 def test_html_innermost_container_decides():
-    for outer in ("class='layout has-sidebar'", "id='search-results'", "role='search'"):
-        assert html_text.main_text(f"<div {outer}><article><p>{PROSE}</p><aside><p>{PROSE}</p></aside></article><p>{PROSE}</p></div>") == PROSE
+    for outer, beside in (("class='layout has-sidebar'", True), ("id='search-results'", True), ("role='search'", False), ("class='site-footer'", False)):
+        page = f"<div {outer}><article><p>{PROSE}</p><aside><p>{PROSE}</p></aside></article><p>{PROSE}</p></div>"
+        assert html_text.main_text(page) == (f"{PROSE}\n{PROSE}" if beside else PROSE)  # a name in part only raises the bounds
     assert html_text.main_text(f"<p class='cookie-notice'>{PROSE}</p><p>{PROSE}<p>{PROSE}") == f"{PROSE}\n{PROSE}"
     assert html_text.main_text(f"<article><header><h1>Title</h1><p>by me</p></header><p>{PROSE}</p></article>") == f"Title\n{PROSE}"
 
 
+@pytest.mark.parametrize("opens", [
+    "<form id='aspnetForm'>", "<div class='layout has-sidebar'><div class='post'>", "<div class='site no-widget header-fixed'>", "<div id='legal-analysis'>",
+    "<div class='social-history'>", "<article><section class='related-work'>", "<div class='widget'>", "<main><div id='sidebar-left'>", "<form><div class='widget'><fieldset>",
+])
+def test_html_that_holds_the_prose_is_no_furniture(opens):
+    page = f"<body><nav><a href=x>Home</a></nav>{opens}<h1>Title of it</h1>" + f"<p>{PROSE}</p>" * 3 + "<aside><p>Beside the text of it.</p></aside></div></form><footer>The foot of all the pages.</footer>"
+    assert html_text.main_text(page) == "\n".join(["Title of it", PROSE, PROSE, PROSE])
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "post-comments", "sidebar", "site-footer", "cookie-banner", "ad-slot", "newsletter-signup", "share-buttons"])
+def test_html_furniture_by_name_goes(name):
+    page = f"<div class='post'><h1>Title of it</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='{name}'><p>{PROSE[:160]}</p></div>"
+    assert html_text.main_text(page) == f"Title of it\n{PROSE}\n{PROSE}"
+
+
+def test_html_comments_that_outweigh_the_article():
+    page = f"<div class='post'><h1>Title of it</h1><p>{PROSE}</p></div><section id='comments'>" + f"<p>{PROSE}</p>" * 12 + "</section>"
+    assert html_text.main_text(page) == f"Title of it\n{PROSE}"
+
+
+def test_html_in_deep_void_containers():
+    began = time.process_time()
+    page = "<div class='widget'>" * 20_000 + f"<p>{PROSE}</p><div class='ad'>Buy of it.</div>"
+    assert html_text.main_text(page) == PROSE
+    assert time.process_time() - began < 10
+
+
 def test_html_link_share_is_of_visible_text():
     spaced = f"<p>{PROSE} <a href='x'>{'one' + ' ' * 90 + '&nbsp;&amp;&lt;&gt;&quot;' * 3}</a></p>"
     assert html_text.main_text(spaced).startswith(PROSE)
