@@ -150,11 +150,14 @@ def search(root: Node, top_norm: float, queries: np.ndarray, own: np.ndarray, be
         points = np.column_stack((queries, np.zeros(len(queries))))
         squares = np.einsum("ij,ij->i", queries, queries)
         safe = bool(np.sqrt(top_norm * squares.max(initial=0.0)) < 1 << 52)
-        slack = 1e-9 * (squares + top_norm) + 1e-6
+        # Squared distances come from sums of about width products, so their error is bounded by width and norms, and that
+        # of a distance by its root. A test holds at most four distances (near, offset, a radius and the reach itself).
+        error = (queries.shape[1] + 8) * 2.0**-50 * (squares + top_norm) + 1e-9
+        room = 4 * np.sqrt(error)
 
         def reach(who: np.ndarray) -> np.ndarray:
             """Distance of the k-th best, with room for rounding (infinite before there is one)."""
-            return np.sqrt(np.maximum(0.0, squares[who] + top_norm - 2 * best.reached(who) + slack[who]))
+            return np.sqrt(np.maximum(0.0, squares[who] + top_norm - 2 * best.reached(who) + error[who])) + room[who]
 
         everyone = np.arange(len(queries))
         near = _distances(points, root.pivot[None, :])[:, 0]
