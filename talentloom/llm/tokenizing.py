@@ -2,9 +2,10 @@
 
 The tokenizers library takes about ten microseconds for a word it meets first,
 however often it has met it before. Words repeat, so each Python worker keeps
-a bounded memo ``chunk -> ids``: a batch is cut into chunks where no token can
+a memo ``chunk -> ids``, bounded in bytes: a batch is cut into chunks where no token can
 reach across, Arrow finds the distinct chunks, the library encodes those that
-the memo lacks, and numpy lays out the ids of the batch.
+the memo lacks, and numpy lays out the ids of the batch. Long chunks (scripts without
+blanks, tables, encoded data) are encoded anew each time and not kept.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-MEMO_ENTRIES = 600_000
+#: Bytes that a worker's memo holds, counting ``ENTRY`` for an entry beside its chunk and ids; the longest chunk that it keeps.
+MEMO_BYTES, ENTRY, KEPT = 160 << 20, 200, 64
 SLICE_BYTES = 4 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -43,9 +45,10 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
 def _cuts(data: np.ndarray) -> np.ndarray:
     """Where a new chunk may start, as a mask over the bytes.
 
-    Before a space or line feed that follows a visible ASCII character or a
-    letter of Latin-1, and between an ASCII letter and a full stop or comma:
-    no pattern of either tokenizer spans or looks across these places.
+    Before a space or line feed that follows a visible ASCII character or any
+    other that is not white space, and between a letter and a full stop or
+    comma, ASCII or ideographic: no pattern of either tokenizer spans or looks
+    across these places.
     """
     before, here = data[:-1], data[1:]
     space = (here == 0x20) | (here == 0x0A)
@@ -55,6 +58,23 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     letter = ((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A)
     cut = np.zeros(len(data), bool)
     cut[1:] = (space & (visible | latin)) | (letter & ((here == 0x2C) | (here == 0x2E)))
+    if data.max(initial=0) > 0xC3:
+        cut |= _further_cuts(data)
+    return cut
+
+
+def _further_cuts(data: np.ndarray) -> np.ndarray:
+    """The same beyond ASCII and Latin-1, told by the first byte of the character before."""
+    cut = np.zeros(len(data), bool)
+    at = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
+    at = at[data[at - 1] >= 0x80]
+    one, two, three, four = (np.where(at >= k, data[np.maximum(at - k, 0)], 0) for k in (1, 2, 3, 4))
+    # White space beyond ASCII begins with C2, E1 9A, E2 80, E2 81 or is E3 80 80.
+    fine = (two >= 0xC3) & (two <= 0xDF) | (three >= 0xE0) & (three != 0xE1) & (three != 0xE2) & ~((three == 0xE3) & (two == 0x80) & (one == 0x80)) | (four >= 0xF0)
+    cut[at[fine]] = True
+    # Ideographic full stop and comma after an ideograph (E4 to E9).
+    at = np.flatnonzero((data[3:-2] == 0xE3) & (data[4:-1] == 0x80) & ((data[5:] == 0x81) | (data[5:] == 0x82))) + 3
+    cut[at[(data[at - 3] >= 0xE4) & (data[at - 3] <= 0xE9)]] = True
     return cut
 
 
@@ -80,6 +100,7 @@ class Encoder:
         # one goes when the young one is full, so common chunks stay.
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the young one
 
     def _lowered(self, data: np.ndarray) -> np.ndarray:
         """Lowered text, but what differs from an added token by case alone stays as it is."""
@@ -92,14 +113,21 @@ class Encoder:
                 at = folded.find(token, at + 1)
         return out
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new chunks."""
+        out: dict[bytes, bytes] = {}
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
             done = self.tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
             flat = np.asarray(done.ids, "<u4").tobytes()
             owner = np.asarray([w for w in done.word_ids], np.int64)
             ends = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
-            self.memo.update((c, flat[ends[i] : ends[i + 1]]) for i, c in enumerate(part))
+            out.update((c, flat[ends[i] : ends[i + 1]]) for i, c in enumerate(part))
+        return out
+
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
+        self.memo[chunk] = ids
+        self.held += len(chunk) + len(ids) + ENTRY
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text.
@@ -136,8 +164,8 @@ class Encoder:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.memo) > MEMO_ENTRIES // 2:
-            self.memo, self.old = {}, self.memo
+        if self.held > MEMO_BYTES // 2:
+            self.memo, self.old, self.held = {}, self.memo, 0
         memo, old = self.memo, self.old
         missing = []
         for c in distinct:
@@ -146,10 +174,12 @@ class Encoder:
                 if known is None:
                     missing.append(c)
                 else:
-                    memo[c] = known
-        if missing:
-            self._learn(missing)
-        found = [memo[c] for c in distinct]
+                    self._keep(c, known)
+        new = self._learn(missing) if missing else {}
+        for c in missing:
+            if len(c) <= KEPT:
+                self._keep(c, new[c])
+        found = [memo[c] if len(c) <= KEPT else new[c] for c in distinct]
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         source = np.frombuffer(b"".join(found), "<u4")
         place = np.cumsum(length) - length
