@@ -1,49 +1,58 @@
 """Mixing sources to target weights by distributed prefix sums.
 
-Every document gets a hash-random key. The key's upper bits cut each source
-into ranges, which together are the source in sorted order: sums of ranges
-give the words before a range, and a window inside a range the words before a
-document. So a source of any share of the rows is spread over all tasks, and
-only narrow rows are sorted. A source whose target is above its size is
-repeated in whole epochs, and the last one is cut at the exact word.
+Every document gets a hash-random key, which is the hash of its id alone; ties go by
+id, size, a digest of the text, and, between rows that are equal in all of these, a
+number. All rows are range-sorted by source and this order, so a source or an id of any
+share of the rows is spread over many ranges. Sums of ranges give the words before a
+range, and a window inside a range the words before a document; only narrow rows are
+sorted. A source whose target is above its size is repeated in whole epochs, and the
+last one is cut at the exact word.
 
 Edge cases: a null text has size 0 and gives no words; null is a source of its
-own, last in order; repeated rows are mixed each, and rows with repeated or null
-keys are told apart by a number; a source without words has target 0; an empty
-table gives an empty result. The same table gives the same mix; with repeated
-keys, the same files read in the same way.
+own, last in order; repeated rows are mixed each; a source without words has target
+0; an empty table gives an empty result. The same rows give the same mix, however they
+are read: rows that only a number parts are equal in id, source and text. (Columns in
+``keep`` may differ in such rows; which of them gets which share is then open.)
 """
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_unique, numbered, renamed, stored, word_count, words
+from .common import numbered, renamed, stored, word_count, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 KEY_BITS = 60
-#: Ranges a source at least, and documents that a range should hold at most.
-MIN_RANGE_BITS = 10
+#: Rows that a range should hold at most.
 ROWS_A_RANGE = 50_000
 
 
+def _lined(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, Column, Column]:
+    """``df`` in order, by ranges; stored. Also each row's range and its place inside it."""
+    lined = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    lined = stored(lined.select("*", F.monotonically_increasing_id().alias("_id")), name)
+    return lined, F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _sums(df: DataFrame, part: Column, **what: Column) -> DataFrame:
+    """What the ranges before each range (``part``) sum up to; one row a range, of which there are as many as tasks."""
+    sums = df.groupBy(part.alias("part")).agg(*[c.cast("long").alias(n) for n, c in what.items()]).orderBy("part").collect()
+    rows, total = [], [0] * len(what)
+    for r in sums:
+        rows.append((r["part"], *total))
+        total = [t + (r[n] or 0) for t, n in zip(total, what, strict=True)]
+    kind = "part long, " + ", ".join(f"{n} long" for n in what)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, kind))
+
+
 def ranked_sources(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``sizes`` (source, source_size) with the weight of each source's place in order, by ranges and their sums; stored."""
-    spark = sizes.sparkSession
-    lined = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
-    lined = stored(lined.select("*", F.monotonically_increasing_id().alias("_id")), "sources")
-    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted(lined.groupBy(part.alias("part")).count().collect())  # one row a partition
-    starts = list(zip((r["part"] for r in counts), accumulate((r["count"] for r in counts), initial=0)))
-    starts = spark.createDataFrame(starts, "part long, start long") if starts else spark.createDataFrame([], "part long, start long")
-    placed = lined.withColumn("part", part).join(F.broadcast(starts), "part")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("start") + inside) % len(weights) + 1).cast("int"))
+    """``sizes`` (source, source_size) with the weight of each source's place in order."""
+    lined, part, inside = _lined(sizes, [F.col("source").asc_nulls_last()], "sources")
+    placed = lined.withColumn("part", part).join(_sums(lined, part, before=F.count("*")), "part")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("before") + inside) % len(weights) + 1).cast("int"))
     return placed.select("source", "source_size", weight.alias("weight"))
 
 
@@ -52,20 +61,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
     Sources in code-point order (null last) take the weights in turn. The words
     of all sources are shared by weight; a source stops at ``cap`` times its
-    size and what it leaves is shared again. A share only grows as sources
-    stop, so rounds of one sum over all sources end with the final one.
+    size and what it leaves is shared again. Sources stop in the order of their
+    size by weight, so prefix sums in this order tell the first that does not stop, and
+    with it the share of all that do not.
     """
     ranked = ranked_sources(sizes, weights)
+    ratio = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    lined, part, _ = _lined(ranked, ratio, "source-order")
     most = cap * F.col("source_size")
-    everything = ranked.agg(F.sum("source_size")).first()[0] or 0
-    share, stopped = 0.0, -1
-    while True:
-        stops = most <= F.lit(share) * F.col("weight")
-        facts = ranked.agg(F.sum(F.when(stops, most)).alias("full"), F.sum(F.when(~stops, F.col("weight"))).alias("w"), F.count_if(stops).alias("n")).first()
-        if facts["n"] == stopped or not facts["w"]:
-            break
-        share, stopped = float(everything - (facts["full"] or 0)) / float(facts["w"]), facts["n"]
-    return ranked.select("*", F.when(stops, most.cast("double")).otherwise(F.lit(share) * F.col("weight")).alias("target"))
+    total = lined.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    before = Window.partitionBy("part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    told = lined.withColumn("part", part).withColumns({"full": F.coalesce(F.sum(most).over(before), F.lit(0)), "used": F.coalesce(F.sum("weight").over(before), F.lit(0))})
+    told = told.join(_sums(lined, part, full_before=F.sum(most), used_before=F.sum("weight")), "part")
+    rest = (F.lit(total["words"] or 0) - F.col("full") - F.col("full_before")).cast("double")
+    share = rest / (F.lit(total["weight"] or 0) - F.col("used") - F.col("used_before")).cast("double")
+    goes_on = told.select("_id", share.alias("share"), most.alias("most"), "weight").filter(~(F.col("most") <= F.col("share") * F.col("weight")))
+    first = goes_on.agg(F.min(F.struct("_id", "share")).alias("x")).first()["x"]
+    if first is None:
+        return ranked.select("*", most.cast("double").alias("target"))
+    target = F.when(F.col("_id") < first["_id"], most.cast("double")).otherwise(F.lit(first["share"]) * F.col("weight"))
+    return lined.select("source", "source_size", "weight", target.alias("target"))
 
 
 def mix_sources(
@@ -79,27 +94,27 @@ def mix_sources(
 ) -> DataFrame:
     """``key``, ``source``, the (narrow) columns in ``keep``, size, source_size, target, taken."""
     names = [key, source, *[c for c in keep if c not in (key, source)]]
-    sized = stored(df.select(*names, word_count(F.col(text)).alias("size")), "mix-sizes")
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    if not is_unique(sized, key):  # else all rows of a key would stand in one range
-        sized = stored(sized.withColumn("_n", F.monotonically_increasing_id()), "mix-rows")
-        name = F.concat(name, F.lit(":"), F.col("_n").cast("string"))
-    digits = F.substring(F.md5(F.concat(F.lit(SEED), name)), 1, KEY_BITS // 4)
-    sized = sized.withColumn("_key", F.conv(digits, 16, 10).cast("long"))
-    bits = max(MIN_RANGE_BITS, math.ceil(math.log2(max(1, sized.count()) / ROWS_A_RANGE)))
-    sized = sized.withColumn("_range", F.shiftright("_key", KEY_BITS - bits))
-    ranges = sized.groupBy(F.col(source).alias("source"), "_range").agg(F.sum("size").alias("n"))
-    ranges = stored(ranges, "mix-ranges")
+    hashed = lambda value: F.conv(F.substring(F.md5(value), 1, KEY_BITS // 4), 16, 10).cast("long")
+    sized = df.select(
+        *names, word_count(F.col(text)).alias("size"), hashed(F.concat(F.lit(SEED), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("_key"),
+        hashed(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
+    )
+    sized = stored(sized, "mix-sizes").withColumn("_tie", F.monotonically_increasing_id())
+    order = [F.col(source).asc_nulls_last(), F.col("_key"), F.col(key), F.col("size"), F.col("_text"), F.col("_tie")]
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sized.count() // ROWS_A_RANGE))
+    placed = stored(sized.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "mix-order")
+    ranges = stored(placed.groupBy(F.col(source).alias("source"), "_range").agg(F.sum("size").alias("n")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
-    placed = placed.join(targets, placed["_s"].eqNullSafe(targets["source"])).drop("source")
+    bases = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    bases = bases.join(targets, bases["_s"].eqNullSafe(targets["source"])).drop("source")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    placed = placed.select("*", epochs.alias("_epochs"), (budget - epochs * F.col("source_size")).alias("_cut"))
-    inside = Window.partitionBy(source, "_range").orderBy("_key", key, "size").rowsBetween(Window.unboundedPreceding, -1)
-    running = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = running.join(placed, running[source].eqNullSafe(placed["_s"]) & (running["_range"] == placed["_r"]))
+    bases = bases.select("*", epochs.alias("_epochs"), (budget - epochs * F.col("source_size")).alias("_cut"))
+    inside = Window.partitionBy(source, "_range").orderBy("_key", key, "size", "_text", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    running = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = running.join(bases, running[source].eqNullSafe(bases["_s"]) & (running["_range"] == bases["_r"]))
     part = F.greatest(F.lit(0), F.least("size", F.col("_cut") - F.col("_base") - F.col("_inside")))
     return out.select(*names, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).alias("taken"))
 

@@ -49,7 +49,8 @@ def mixing_sql() -> str:
     return rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,
-         ('0x' || substr(md5('{SEED}' || coalesce(doc_id::varchar, '')), 1, {KEY_BITS // 4}))::bigint as k
+         ('0x' || substr(md5('{SEED}' || coalesce(doc_id::varchar, '')), 1, {KEY_BITS // 4}))::bigint as k,
+         ('0x' || substr(md5(coalesce(text, '')), 1, {KEY_BITS // 4}))::bigint as h
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
@@ -75,7 +76,7 @@ with d as (
   from t
 ), c as (
   select d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget,
-         coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
+         coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id nulls first, d.size, d.h rows between unbounded preceding and 1 preceding), 0) as before
   from d join b on d.source is not distinct from b.source
 )
 select doc_id, size, source_size, target,

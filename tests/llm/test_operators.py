@@ -114,6 +114,53 @@ def test_block_coding_with_wide_ranks():
     assert (back == ids).all() and counts.tolist() == [150_000, 0, 50_000]
 
 
+def _scripts(seed, n):
+    """Texts in many scripts, with and without blanks, and with white space, marks and case that tokenizers treat apart."""
+    r = random.Random(seed)
+    cyrillic, greek, kana, ideographs, hangul = (range(a, b) for a, b in ((0x410, 0x44F), (0x391, 0x3C9), (0x3041, 0x3090), (0x4E00, 0x4FFF), (0xAC00, 0xAC80)))
+    marks = ["\u00a0", "\u2003", "\u3000", "\u1680", "\u0301", "\u200d", "\ufeff", "。", "、", "，", "İ", "Σ", "'s", "'", "é", "ß", "\t", "\n", "  ", "1", "٣", "😀", "."]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(r.randint(1, 60)):
+            letters = r.choice([cyrillic, greek, kana, ideographs, hangul])
+            parts.append("".join(chr(r.choice(letters)) for _ in range(r.randint(1, 9))))
+            parts.append(r.choice([" ", " ", " ", "", "\n", r.choice(marks), " " + r.choice(marks), r.choice(marks) + " "]))
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [BYTE, WORD])
+def test_encoding_of_other_scripts(vocabulary):
+    import pyarrow as pa
+
+    from talentloom.llm.tokenizing import Encoder
+
+    plain = Tokenizer.from_file(vocabulary.path)
+    texts = _scripts(5, 400)
+    ids, counts = Encoder(vocabulary).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends.tolist(), counts.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("vocabulary", [BYTE, WORD])
+def test_memo_is_bounded_in_bytes(vocabulary, monkeypatch):
+    import pyarrow as pa
+
+    from talentloom.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "MEMO_BYTES", 1 << 20)
+    r = random.Random(2)
+    coder = tokenizing.Encoder(vocabulary)
+    for letters in ((0x4E00, 0x9F00), (0x430, 0x44F), (0x61, 0x7A)):
+        texts = ["".join(chr(r.randint(*letters)) + (" " if r.random() < 0.1 and letters[0] < 0x4E00 else "") for _ in range(3000)) for _ in range(60)]
+        for at in range(0, 60, 4):
+            coder.encode(pa.array(texts[at : at + 4]))
+            held = sum(len(c) + len(i) + tokenizing.ENTRY for memo in (coder.memo, coder.old) for c, i in memo.items())
+            assert held <= 2 << 20 and all(len(c) <= tokenizing.KEPT for c in coder.memo)
+
+
 def test_packing(docs, nothing):
     want = Counter()
     for i, ids in _encoded(WORD, 1):
@@ -398,6 +445,40 @@ def test_mixing(docs, nothing):
     assert mix_sources(nothing).count() == 0
 
 
+def _twin(rows):
+    import duckdb
+    import pandas as pd
+
+    from talentloom.llm import oracle
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "source", "text"]).astype({"doc_id": "Int64"})  # read by name below
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        return Counter((r[0], r[1], r[4]) for r in con.execute(oracle.mixing_sql()).fetchall())
+
+
+def test_mixing_with_repeated_keys_in_any_partitioning(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice("ab"), _words(i, r.randint(0, 40))) for i in range(300)]
+    rows += [(i, s, t) for i, s, t in rows[:40]] + [(i, "a", "other words of it") for i in range(40)] + [(7, "a", _words(k, 9)) for k in range(200)] + [(None, "b", _words(k % 20, 9)) for k in range(100)]
+    want = _twin(rows)
+    for parts in (1, 3, 5):
+        frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts)
+        assert Counter((x.doc_id, x["size"], x.taken) for x in mix_sources(frame).collect()) == want
+
+
+def test_one_repeated_row_changes_little(spark):
+    rows = [(i, "ab"[i % 2], _words(i, 20)) for i in range(500)]
+    taken = lambda rows: Counter((x.doc_id, x.taken) for x in mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect())
+    assert sum((taken(rows) - taken([*rows, rows[5]])).values()) < 20
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, f"s{i:03}", "w " * max(1, int(1.2 ** (i % 40)))) for i in range(400)]
+    got = Counter((x.doc_id, x["size"], x.taken) for x in mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect())
+    assert got == _twin(rows)
+
+
 def test_mixed_documents_hold_the_words(docs):
     taken = sum(r.taken for r in mix_sources(docs).collect())
     out = mixed_documents(docs)
@@ -430,6 +511,35 @@ def test_search_against_brute_force(spark, rows, tree_rows):
     assert search.top_products(df.filter(F.lit(False)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("centre", [2.0**e for e in (0, 12, 20, 26, 29, 34, 45)])
+def test_search_loses_no_answer_at_any_size(centre):
+    """Clusters that are narrow against their distance from zero, and one far longer vector: exact whole numbers tell."""
+    r = np.random.default_rng(int(np.log2(centre)) + 1)
+    for width, spread in ((6, 2), (40, 1)):
+        rows = np.floor(centre * r.choice([-1.0, 1.0], (3, width))[r.integers(0, 3, 646)] + spread * r.normal(size=(646, width)))
+        rows[0] *= 64
+        tree, norm = search.build(np.arange(646), np.arange(646), rows)
+        asked = np.arange(0, 646, 20)
+        best = search.Best(len(asked), 5)
+        search.search(tree, norm, rows[asked], asked, best)
+        whole = [[int(x) for x in row] for row in rows.tolist()]
+        for k, q in enumerate(asked.tolist()):
+            most = search._FAR
+            scores = [max(-most, min(most, sum(x * y for x, y in zip(whole[q], row, strict=True)))) for row in whole]
+            want = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:5]
+            assert list(zip((-best.score[k]).tolist(), best.ids[k].tolist(), strict=True)) == want
+
+
+def test_search_of_large_clustered_vectors(spark):
+    r = np.random.default_rng(2)
+    rows = np.floor(2.0**19 + 2 * r.normal(size=(646, 6)))
+    rows[0] *= 64
+    vectors = [(i, v.tolist()) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("x", F.lit("x")).withColumn("num", F.lit("y")).withColumn("score", F.lit("z"))
+    got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in search.top_products(df, F.col("vec_id") % 50 == 0, tree_rows=100).collect())
+    assert got == _best_products(vectors)
+
+
 def test_search_with_repeated_ids_and_large_vectors(spark):
     rows = [(0, [50.0, 1.0])] * 10 + [(0, [60.0, 1.0])] + [(i, [float(40 - i), 1.0]) for i in range(1, 30)] + [(2, [38.0, 1.0])] * 9 + [(3, [-9.0, 0.0])]
     rows += [(50, [1.0, 2.0]), (51, [2.0**40, 1.0]), (52, [2.0**40, 1.0 + 1 / 256]), (53, [2.0**30, 3.5]), (100, [-1.0])]
