@@ -1,21 +1,22 @@
 """Matching candidates with jobs, one row a (candidate, job, demand).
 
 Everything about a candidate is gathered once into a facts row, everything a job
-asks for into demand rows. Pairs meet demands on job_id and facts on
-candidate_id; every rule after that is narrow, and scoring by pair needs no
-further shuffle. Skills are looked up inside the candidate's map, never joined
-on the skill, so that a skill that most people have is no hot key.
+asks for into one row of demands in order. A pair meets both once, as one row;
+only then are its demands opened, and their place is their number. Every rule after
+that is narrow, and scoring by pair needs no further shuffle. Facts that are stored
+with ``store_facts`` are not shuffled either. Skills are looked up inside the
+candidate's map, never joined on the skill, so that a skill that most people have
+is no hot key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
+from .semantic import best_meanings, with_units
 
 EVALUATION = ("status", "match_signal", "matched_skill", "source_label", "semantic_score", "explanation", "evidence")
 
@@ -79,9 +80,8 @@ def candidate_skill_index(skills: DataFrame, experiences: DataFrame, projects: D
 
 
 def candidate_facts(
-    skills: DataFrame, experiences: DataFrame, projects: DataFrame, education: DataFrame, certifications: DataFrame, languages: DataFrame,
-    embed: Callable[[Column], Column] | None = None,
-) -> DataFrame:
+    skills: DataFrame, experiences: DataFrame, projects: DataFrame, education: DataFrame, certifications: DataFrame, languages: DataFrame
+) -> DataFrame:
     """One row a candidate: skill map and names in order, experiences, education, certifications, languages, domain counts."""
     index = candidate_skill_index(skills, experiences, projects)
     ordered = F.array_sort(F.collect_list(F.struct("place", "canonical_name", "signals")))
@@ -105,10 +105,7 @@ def candidate_facts(
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "candidate_id", "full")
-    out = out.withColumns({"peak": T.rank(peak_seniority(F.col("experiences")), config.SENIORITY), "school": T.rank(highest_education(F.col("education")), config.EDUCATION)})
-    if embed is not None:
-        out = out.withColumn("skills_vector", embed(F.array_join("skill_names", " ")))
-    return out
+    return out.withColumns({"peak": T.rank(peak_seniority(F.col("experiences")), config.SENIORITY), "school": T.rank(highest_education(F.col("education")), config.EDUCATION)})
 
 
 def domain_counts(skills: DataFrame) -> DataFrame:
@@ -156,7 +153,7 @@ def parse_language_requirement(text: Column) -> Column:
     return F.struct(F.when(names != "", T.normalize_language_name(names)).alias("name"), F.try_element_at(levels, F.lit(-1)).alias("level"))
 
 
-def job_demands(profiles: DataFrame, requirements: DataFrame, related: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+def job_demands(profiles: DataFrame, requirements: DataFrame, related: DataFrame) -> DataFrame:
     """All that jobs ask for: job_id, dim_rank, idx, dimension and the demand's own columns.
 
     ``profiles``: job_id, seniority_normalized, responsibilities. Requirements
@@ -188,10 +185,7 @@ def job_demands(profiles: DataFrame, requirements: DataFrame, related: DataFrame
         "needle": F.when(F.col("dimension") == "certifications", _collapsed(F.col("raw_text"))).otherwise(F.lower(T.strip(F.col("raw_text")))),
         "wanted": mine("languages", parse_language_requirement(F.col("raw_text"))),
     })
-    out = out.withColumn("level", T.rank(F.col("wanted.level"), config.PROFICIENCY))
-    if embed is not None:
-        out = out.withColumn("vector", F.when(F.col("dimension") == "skills", embed(F.col("canonical_name"))).when(F.col("dimension") == "responsibilities", embed(F.col("raw_text"))))
-    return out
+    return out.withColumn("level", T.rank(F.col("wanted.level"), config.PROFICIENCY))
 
 
 # --- rules, over a demand row joined with a facts row --------------------------
@@ -203,7 +197,7 @@ def _answer(status: Column, signal: Column, explanation: Column, matched: Column
     return F.struct(*[c.alias(n) for c, n in zip(columns, EVALUATION, strict=True)])
 
 
-def _findings(reference_year: Column, embed: Callable[[Column], Column] | None) -> list[tuple[str, Column]]:
+def _findings(reference_year: Column, semantic: bool) -> list[tuple[str, Column]]:
     """What the rules read off a demand and its candidate, each computed once, for its own dimension only."""
     mine = lambda d, c: F.when(F.col("dimension") == d, c)
     skill, names, needle = F.col("canonical_name"), F.col("skill_names"), F.col("needle")
@@ -226,13 +220,11 @@ def _findings(reference_year: Column, embed: Callable[[Column], Column] | None)
         ("_held", mine("languages", F.get(F.filter("languages", lambda x: x["canonical_name"] == F.col("wanted.name")), F.lit(0)))),
         ("_best", mine("responsibilities", best_lexical_match())), ("_top", mine("domain", top)),
     ]
-    if embed is not None:
-        found.append(("_meaning", mine("skills", T.cosine_similarity(F.col("vector"), F.col("skills_vector")))))
-        scored = F.transform(
-            F.filter("experiences", lambda e: F.coalesce(e["description"], F.lit("")) != ""),
-            lambda e: F.struct(T.cosine_similarity(F.col("vector"), embed(e["description"])).alias("score"), (-e["idx"]).alias("place"), e["label"].alias("label")),
-        )
-        found.append(("_near", mine("responsibilities", F.array_max(F.filter(scored, lambda x: x["score"] > 0)))))
+    if semantic:
+        near = F.get("_meanings", F.col("eval_idx"))
+        label = F.get("experiences", near["place"] - 1)["label"]
+        found.append(("_meaning", mine("skills", F.coalesce(near["score"], F.lit(0.0)))))
+        found.append(("_near", mine("responsibilities", F.when(near["score"] > 0, F.struct(near["score"].alias("score"), near["place"].alias("place"), label.alias("label"))))))
     return found
 
 
@@ -310,12 +302,14 @@ def best_lexical_match() -> Column:
 
 
 def evaluate_responsibility(semantic: bool = False) -> Column:
-    best = F.col("_best")
-    out = F.when(best["overlap"] >= config.LEXICAL_OVERLAP, _answer(F.lit("PARTIALLY_MET"), F.lit("PARTIAL_MATCH"), F.concat(F.lit("Words overlap with "), best["label"], F.lit(".")), None, best["label"]))
-    if semantic:
-        near = F.col("_near")
-        out = out.when(near["score"] >= config.SEMANTIC_PARTIAL, _answer(F.lit("PARTIALLY_MET"), F.lit("SEMANTIC_MATCH"), F.concat(F.lit("Close in meaning to "), near["label"], F.lit(".")), None, near["label"], near["score"]))
-    return out.otherwise(_answer(F.lit("NOT_MET"), F.lit("NO_EVIDENCE"), F.lit("No comparable experience found.")))
+    best, words = F.col("_best"), F.col("_best.overlap") >= config.LEXICAL_OVERLAP
+    near = F.col("_near") if semantic else F.lit(None).cast("struct<score:double,place:int,label:string>")
+    close = near["score"] >= config.SEMANTIC_PARTIAL
+    pick = lambda overlap, meaning, none: F.when(words, overlap).when(close, meaning).otherwise(none)
+    label = pick(best["label"], near["label"], F.lit(None).cast("string"))
+    text = pick(F.concat(F.lit("Words overlap with "), best["label"], F.lit(".")), F.concat(F.lit("Close in meaning to "), near["label"], F.lit(".")), F.lit("No comparable experience found."))
+    score = pick(F.lit(None).cast("double"), near["score"], F.lit(None).cast("double"))
+    return _answer(pick("PARTIALLY_MET", "PARTIALLY_MET", "NOT_MET"), pick("PARTIAL_MATCH", "SEMANTIC_MATCH", "NO_EVIDENCE"), text, None, label, score)
 
 
 def evaluate_domain() -> Column:
@@ -326,28 +320,59 @@ def evaluate_domain() -> Column:
     return _answer(F.when(top.isNotNull(), "MET").otherwise("NOT_MET"), signal, text)
 
 
+def demand_lists(demands: DataFrame) -> DataFrame:
+    """job_id, demands: what each job asks for, in order. A job's demands are one row, as large as its offer."""
+    own = [c for c in demands.columns if c not in ("job_id", "dim_rank", "idx")]
+    row = F.struct("dim_rank", "idx", F.struct(*own).alias("d"))
+    return demands.groupBy("job_id").agg(F.array_sort(F.collect_list(row))["d"].alias("demands"))
+
+
+def store_facts(facts: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Facts as a table cut by candidate_id, which joins on candidate_id read without a shuffle.
+
+    ``buckets``: so many that one holds some hundred MB.
+    """
+    facts.write.mode("overwrite").bucketBy(buckets, "candidate_id").sortBy("candidate_id").saveAsTable(name)
+    return facts.sparkSession.table(name)
+
+
 def evaluate_pairs(
-    pairs: DataFrame, demands: DataFrame, facts: DataFrame, reference_year: int, embed: Callable[[Column], Column] | None = None, dimensions: tuple[str, ...] = config.DIMENSIONS
+    pairs: DataFrame, demands: DataFrame, facts: DataFrame, reference_year: int, vectors: DataFrame | None = None, dimensions: tuple[str, ...] = config.DIMENSIONS
 ) -> DataFrame:
     """candidate_id, job_id, eval_idx, dimension, requirement_type, priority, raw_text, status, match_signal,
-    match_strength, score, confidence, matched_skill, source_label, evidence, explanation."""
-    semantic = embed is not None
+    match_strength, score, confidence, matched_skill, source_label, evidence, explanation.
+
+    ``vectors``: text, embedding of the texts that ``semantic.texts`` names; without it, meaning is not compared.
+    """
+    semantic = vectors is not None
     rules = {
         "skills": match_skill(semantic), "experience": evaluate_experience(), "seniority": evaluate_seniority(), "education": evaluate_education(),
         "certifications": evaluate_certification(), "languages": evaluate_language(), "responsibilities": evaluate_responsibility(semantic), "domain": evaluate_domain(),
     }
-    verdict = F.lit(None)
-    for name in dimensions:
-        verdict = F.when(F.col("dimension") == name, rules[name]).otherwise(verdict)
+
+    def verdict(field: str) -> Column:
+        """A field of its own, so that what nobody reads is not made."""
+        out = F.lit(None)
+        for name in dimensions:
+            out = F.when(F.col("dimension") == name, rules[name][field]).otherwise(out)
+        return out.alias(field)
+
     asked = demands.filter(F.col("dimension").isin(*dimensions)) if set(dimensions) != set(config.DIMENSIONS) else demands
-    met = pairs.join(asked, "job_id").join(facts, "candidate_id", "left")
-    found = met.select("*", *[c.alias(name) for name, c in _findings(F.lit(reference_year), embed)])
+    if semantic:
+        asked, facts = with_units(asked, facts, vectors)
+    met = pairs.join(demand_lists(asked), "job_id").join(facts, "candidate_id", "left")
+    if semantic:
+        of = lambda what: F.transform("demands", what)
+        found = best_meanings(of(lambda d: d["unit"]), of(lambda d: d["dimension"] == "skills"), F.col("units"))
+        met = met.withColumn("_meanings", found).withColumn("demands", of(lambda d: d.dropFields("unit"))).drop("units")
+    opened = met.select("candidate_id", "job_id", *[c for c in met.columns if c not in ("candidate_id", "job_id", "demands")], F.posexplode("demands").alias("eval_idx", "d"))
+    found = opened.select("*", "d.*").drop("d")
+    found = found.select("*", *[c.alias(name) for name, c in _findings(F.lit(reference_year), semantic)])
     found = found.withColumn("_proof", F.when(F.col("dimension") == "skills", F.try_element_at("skill_map", F.col("_hit"))))
-    judged = found.select("candidate_id", "job_id", "dim_rank", "idx", "dimension", "requirement_type", "priority", "raw_text", verdict.alias("v"))
-    strength = signal_strength(F.col("v.match_signal"), F.col("v.semantic_score"))
-    place = F.row_number().over(Window.partitionBy("candidate_id", "job_id").orderBy("dim_rank", "idx")) - 1
+    judged = found.select("candidate_id", "job_id", "eval_idx", "dimension", "requirement_type", "priority", "raw_text", *map(verdict, EVALUATION))
+    strength = signal_strength(F.col("match_signal"), F.col("semantic_score"))
     return judged.select(
-        "candidate_id", "job_id", place.alias("eval_idx"), "dimension", "requirement_type", "priority", "raw_text", "v.status", "v.match_signal",
-        strength.alias("match_strength"), strength_score(strength).alias("score"), signal_confidence(F.col("v.match_signal"), F.col("v.semantic_score")).alias("confidence"),
-        "v.matched_skill", "v.source_label", "v.evidence", "v.explanation",
+        "candidate_id", "job_id", "eval_idx", "dimension", "requirement_type", "priority", "raw_text", "status", "match_signal",
+        strength.alias("match_strength"), strength_score(strength).alias("score"), signal_confidence(F.col("match_signal"), F.col("semantic_score")).alias("confidence"),
+        "matched_skill", "source_label", "evidence", "explanation",
     )

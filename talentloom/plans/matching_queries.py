@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import matching, recommend, scoring, tailoring, taxonomy
+from ..operators import matching, recommend, scoring, semantic, tailoring, taxonomy
 from .model import LEVELS, REFERENCE_YEAR, Model
 from .registry import query
 
@@ -249,6 +251,7 @@ def vector_similarity(m: Model) -> DataFrame:
     return m.embeddings.join(nxt, "vec_id").select("vec_id", F.round(T.cosine_similarity(F.col("embedding"), F.col("b")), 6).alias("similarity"))
 
 
+_CONFIDENCE = " ".join(["case match_signal", *[f"when '{k}' then {v}" for k, v in config.SIGNAL_CONFIDENCE.items()], "end"])
 _VECTOR = lambda text: f"list_transform(range(32), lambda i: ('0x' || substr(sha256({text}), (2 * i + 1)::int, 2))::int / 127.5 - 1)"
 SEMANTIC = SKILL_EVALS + OTHER_EVALS + f""", texts as (
   select candidate_id, string_agg(canonical_name, ' ' order by place) as t from skill_index group by 1
@@ -257,25 +260,39 @@ SEMANTIC = SKILL_EVALS + OTHER_EVALS + f""", texts as (
 ), skill_meaning as (
   select s.*, list_cosine_similarity(a.v, b.v) as meaning from skill_evals s join requirements r on r.job_id = s.job_id and r.idx = s.idx
   left join texts c on c.candidate_id = s.candidate_id left join vectors a on a.t = c.t left join vectors b on b.t = r.canonical_name
+), labelled as (
+  select candidate_id, idx, description, title || ' at ' || company as label from experiences
 ), line_meaning as (
   select a.t as line, b.t as description, list_cosine_similarity(a.v, b.v) as meaning from vectors a join (select distinct raw_text from duty) d on d.raw_text = a.t, vectors b join (select distinct description from experiences) e on e.description = b.t
 ), near_lines as (
-  select p.candidate_id, p.job_id, d.idx, max(n.meaning) as meaning from pairs p join duty d using (job_id) join experiences e on e.candidate_id = p.candidate_id join line_meaning n on n.line = d.raw_text and n.description = e.description group by 1, 2, 3
+  select p.candidate_id, p.job_id, d.idx, max(n.meaning) as meaning, arg_max(e.label, (n.meaning, -e.idx)) as label from pairs p join duty d using (job_id)
+    join labelled e on e.candidate_id = p.candidate_id join line_meaning n on n.line = d.raw_text and n.description = e.description group by 1, 2, 3
+), near_words as (
+  select p.candidate_id, p.job_id, d.idx, arg_max(e.label, (len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))), -e.idx)) as label
+  from pairs p join duty d using (job_id) join tokens a on a.raw_text = d.raw_text join labelled e on e.candidate_id = p.candidate_id join tokens b on b.raw_text = e.description group by 1, 2, 3
 ), meant as (
-  select candidate_id, job_id, 'skills' as dimension, idx, raw_text, case when match_signal = 'NO_EVIDENCE' and meaning >= {config.SEMANTIC_PARTIAL} then 'SEMANTIC_MATCH' else match_signal end as match_signal, meaning from skill_meaning
-  union all select r.candidate_id, r.job_id, 'responsibilities', r.idx, r.raw_text, case when overlap >= {config.LEXICAL_OVERLAP} then 'PARTIAL_MATCH' when n.meaning >= {config.SEMANTIC_PARTIAL} then 'SEMANTIC_MATCH' else 'NO_EVIDENCE' end, n.meaning
-    from responsibility_evals r left join near_lines n using (candidate_id, job_id, idx)
-) select candidate_id, job_id, dimension, raw_text, match_signal, case when match_signal = 'SEMANTIC_MATCH' then (case when meaning >= {config.SEMANTIC_STRONG} then 'GOOD' else 'PARTIAL' end) else {_STRENGTH} end as match_strength from meant"""
+  select candidate_id, job_id, 'skills' as dimension, idx, raw_text, case when match_signal = 'NO_EVIDENCE' and meaning >= {config.SEMANTIC_PARTIAL} then 'SEMANTIC_MATCH' else match_signal end as match_signal, meaning, null as label from skill_meaning
+  union all select r.candidate_id, r.job_id, 'responsibilities', r.idx, r.raw_text, case when overlap >= {config.LEXICAL_OVERLAP} then 'PARTIAL_MATCH' when n.meaning >= {config.SEMANTIC_PARTIAL} then 'SEMANTIC_MATCH' else 'NO_EVIDENCE' end, n.meaning,
+    case when overlap >= {config.LEXICAL_OVERLAP} then w.label when n.meaning >= {config.SEMANTIC_PARTIAL} then n.label end
+    from responsibility_evals r left join near_lines n using (candidate_id, job_id, idx) left join near_words w using (candidate_id, job_id, idx)
+) select candidate_id, job_id, dimension, raw_text, match_signal, case when match_signal = 'SEMANTIC_MATCH' then (case when meaning >= {config.SEMANTIC_STRONG} then 'GOOD' else 'PARTIAL' end) else {_STRENGTH} end as match_strength, label as source_label,
+  round(case when match_signal = 'SEMANTIC_MATCH' then least(meaning, {config.SEMANTIC_CONFIDENCE_CAP}) else {_CONFIDENCE} end::double, 6) as confidence from meant"""
+
+
+def _hash_model(texts: list[str]) -> list[list[float]]:
+    """A model as a user would give it: one vector a text."""
+    digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+    return [[b / 127.5 - 1 for b in d] for d in digests]
 
 
 @query("semantic_evaluations", SEMANTIC)
 def semantic_evaluations(m: Model) -> DataFrame:
-    """Evaluations with the deterministic embedder, where meaning decides what words leave open."""
-    facts = matching.candidate_facts(m.candidate_skills, m.with_technologies(), m.project_rows(), m.education, m.certifications, m.languages, T.hash_embedding)
-    related = taxonomy.related_skills(m.skills, m.skill_relations)
-    demands = matching.job_demands(m.job_rows(), m.requirements, related, T.hash_embedding)
-    evals = matching.evaluate_pairs(m.pairs, demands, facts, REFERENCE_YEAR, T.hash_embedding, ("skills", "responsibilities"))
-    return evals.select("candidate_id", "job_id", "dimension", "raw_text", "match_signal", "match_strength")
+    """Evaluations with a model in Python, where meaning decides what words leave open."""
+    facts = matching.candidate_facts(m.candidate_skills, m.with_technologies(), m.project_rows(), m.education, m.certifications, m.languages)
+    demands = matching.job_demands(m.job_rows(), m.requirements, taxonomy.related_skills(m.skills, m.skill_relations))
+    vectors = semantic.embedded(demands, facts, [("hash", 32, _hash_model)])
+    evals = matching.evaluate_pairs(m.pairs, demands, facts, REFERENCE_YEAR, vectors, ("skills", "responsibilities"))
+    return evals.select("candidate_id", "job_id", "dimension", "raw_text", "match_signal", "match_strength", "source_label", F.round("confidence", 6).alias("confidence"))
 
 
 # --- eligibility and runs --------------------------------------------------------

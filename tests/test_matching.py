@@ -2,10 +2,12 @@
 
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from talentloom import config
-from talentloom.operators import matching, recommend, scoring, taxonomy
+from talentloom.operators import matching, recommend, scoring, semantic, taxonomy
 from talentloom.functions import text as T
 
 YEAR = 2026
@@ -42,7 +44,7 @@ def test_taxonomy_tables(spark):
     assert [r.problem for r in bad.collect()] == ["alias of unknown skill"]
 
 
-def evaluate(spark, embed=None):
+def evaluate(spark, model=None):
     held = spark.createDataFrame([(1, 0, "py3", "Python", "PROGRAMMING_LANGUAGE"), (1, 1, "Flask", "Flask", "FRAMEWORK"), (1, 2, "Juggling", None, None)], "candidate_id long, idx int, raw_text string, canonical_name string, category string")
     worked = spark.createDataFrame([
         (1, 0, "Senior Dev", "Acme", "Jan 2010", "2014", ["Flask"], [], "SENIOR", "Built billing services for shops"),
@@ -53,7 +55,7 @@ def evaluate(spark, embed=None):
     school = spark.createDataFrame([(1, 0, "MASTER"), (1, 1, "BACHELOR")], "candidate_id long, idx int, degree_level string")
     papers = spark.createDataFrame([(1, 0, "Cloud  Architect Professional", "Org")], "candidate_id long, idx int, name string, issuer string")
     spoken = spark.createDataFrame([(1, 0, "English", "ADVANCED")], "candidate_id long, idx int, canonical_name string, proficiency_normalized string")
-    facts = matching.candidate_facts(held, worked, projects, school, papers, spoken, embed)
+    facts = matching.candidate_facts(held, worked, projects, school, papers, spoken)
     asked = [
         (7, 0, "REQUIRED_SKILL", "REQUIRED", "Python", "Python", "PROGRAMMING_LANGUAGE", None, None), (7, 1, "REQUIRED_SKILL", "REQUIRED", "Flask", "Flask", "FRAMEWORK", None, None),
         (7, 2, "PREFERRED_SKILL", "PREFERRED", "Kubernetes", "Kubernetes", "DEVOPS", None, None), (7, 3, "REQUIRED_SKILL", "REQUIRED", "C++", "C++", "PROGRAMMING_LANGUAGE", None, None),
@@ -63,9 +65,10 @@ def evaluate(spark, embed=None):
     ]
     requirements = spark.createDataFrame(asked, "job_id long, idx int, requirement_type string, importance string, raw_text string, canonical_name string, category string, minimum_years int, normalized_value string")
     jobs = spark.createDataFrame([(7, "LEAD", ["Built billing services", "Sing songs"])], "job_id long, seniority_normalized string, responsibilities array<string>")
-    demands = matching.job_demands(jobs, requirements, taxonomy.related_skills(skills(spark), relations(spark)), embed)
+    demands = matching.job_demands(jobs, requirements, taxonomy.related_skills(skills(spark), relations(spark)))
     pairs = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "candidate_id long, job_id long")
-    return matching.evaluate_pairs(pairs, demands, facts, YEAR, embed)
+    vectors = None if model is None else semantic.embedded(demands, facts, [("model", 2, model)])
+    return matching.evaluate_pairs(pairs, demands, facts, YEAR, vectors)
 
 
 def test_rules_of_all_dimensions(spark):
@@ -110,7 +113,7 @@ def test_penalty_cap_and_empty(spark):
 
 
 def test_semantic_match(spark):
-    same = lambda c: F.when(c.isNotNull(), F.array(F.lit(1.0), F.lit(1.0)))
+    same = lambda texts: [[1.0, 1.0]] * len(texts)
     got = {(r.dimension, r.raw_text): (r.match_signal, r.match_strength, r.confidence) for r in evaluate(spark, same).filter("candidate_id = 1").collect()}
     assert got["skills", "C++"] == ("SEMANTIC_MATCH", "GOOD", 0.9) and got["responsibilities", "Sing songs"][0] == "SEMANTIC_MATCH"
     assert got["skills", "Flask"][0] == "EXACT_MATCH"
@@ -119,6 +122,42 @@ def test_semantic_match(spark):
     assert vector == [digest[i % 32] / 127.5 - 1 for i in range(40)]
 
 
+def test_nearest_against_all_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    unit = lambda n: (v := r.normal(size=n)) / np.sqrt(v @ v)
+    for _ in range(50):
+        own = [(p, unit(int(r.choice([3, 5])))) for p in range(int(r.integers(0, 6)))]
+        asked = [(bool(r.integers(2)), None if r.random() < 0.2 else unit(3)) for _ in range(5)]
+        got = semantic.nearest([None if v is None else v.tobytes() for _, v in asked], [k for k, _ in asked], [{"place": p, "unit": v.tobytes()} for p, v in own])
+        for (skill, v), (score, place) in zip(asked, got, strict=True):
+            fits = [] if v is None else [(float(v @ w), -p) for p, w in own if (p == 0) == skill and len(w) == len(v)]
+            want = max(fits, default=(0.0, 1))
+            assert (score, place) == (pytest.approx(want[0]), -want[1]) if fits and (skill or want[0] > 0) else (score, place) == (0.0, -1)
+
+
+def test_each_text_is_embedded_once(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        count.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    evaluate(spark, model).collect()
+    assert 0 < count.value <= 8  # Python, Flask, Kubernetes, C++, two lines, a description, the skills of the two candidates
+
+
+def test_stored_facts_are_not_shuffled(spark):
+    facts = spark.range(100).select(F.col("id").alias("candidate_id"), F.lit("x").alias("skill_names"))
+    stored = matching.store_facts(facts, "facts_by_candidate", 4)
+    pairs = spark.range(300).select((F.col("id") % 100).alias("candidate_id"), F.col("id").alias("job_id"))
+    joined = pairs.hint("merge").join(stored, "candidate_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and joined.count() == 300
+    spark.sql("drop table facts_by_candidate")
+
+
 def test_mention_table_finds_what_the_scan_finds(spark):
     forms = taxonomy.surface_forms(skills(spark), aliases(spark))
     texts = ["I know C++, PY3 and React Native.", "React Natives, Pythonic", None, "", "python Python k8s", "C++C++ C++", "React Native React", "x.Python", "pythonpy3", "(django)flask Flask"]
