@@ -8,6 +8,11 @@ inlined into an expression its size is checked first.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ from ..functions import text as T
 
 #: Surface forms that one alternation takes at most; ``mention_table`` takes any number.
 MAX_FORMS = 5_000
+#: Surface forms, and characters of all of them, that one automaton takes at most (some hundred bytes a character in a worker).
+AUTOMATON_FORMS, AUTOMATON_LENGTH = 500_000, 4_000_000
 
 
 def build_alias_index(skills: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -69,9 +76,66 @@ def form_table(skills: DataFrame, aliases: DataFrame) -> DataFrame:
     return own.unionByName(others).filter("form <> ''").withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("form", "canonical_name")
 
 
+def folded(text: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def form_automaton(forms: list[tuple[str, str]]) -> ahocorasick.Automaton:
+    """An automaton of (form, canonical_name) that finds every form in one walk over a text."""
+    made = ahocorasick.Automaton()
+    for form, name in forms:
+        made.add_word(folded(form), (len(form), name))
+    made.make_automaton()
+    return made
+
+
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def mentions_of(text: str | None, automaton: ahocorasick.Automaton) -> list[str]:
+    """Distinct canonical names in the order first seen: the leftmost, then longest form at free ends, and none that overlaps it."""
+    if not text or not len(automaton):
+        return []
+    found = []
+    for end, (length, name) in automaton.iter(folded(text)):
+        start = end - length + 1
+        if (not start or text[start - 1] not in _LETTERS) and (end + 1 == len(text) or text[end + 1] not in _LETTERS):
+            found.append((start, -length, name))
+    out, until = {}, 0
+    for start, negative, name in sorted(found):
+        if start >= until:
+            out[name] = None
+            until = start - negative
+    return list(out)
+
+
 def mention_table(docs: DataFrame, text: str, forms: DataFrame, key: str = "document_id") -> DataFrame:
     """``key`` and mentions array<string>, as ``scan_mentions`` finds them, for a taxonomy of any size.
 
+    ``forms``: form (lower case), canonical_name. They become one automaton, which is built once, sent
+    to each executor and run over Arrow batches; forms beyond its bounds are met by a join.
+    """
+    size = forms.agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("length")).first()
+    if size["n"] > AUTOMATON_FORMS or (size["length"] or 0) > AUTOMATON_LENGTH:
+        return joined_mentions(docs, text, forms, key)
+    automaton = form_automaton([(r["form"], r["canonical_name"]) for r in forms.collect()])  # bounded above
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(automaton))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = pickle.loads(shared.value)
+        for batch in batches:
+            found = pa.array([mentions_of(t.as_py(), automaton) for t in batch.column(1)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, "mentions"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(scanned, f"`{key}` {kind}, mentions array<string>")
+
+
+def joined_mentions(docs: DataFrame, text: str, forms: DataFrame, key: str = "document_id") -> DataFrame:
+    """``mention_table`` by a join, for unique keys.
+
     Every place of a text where a mention can start or end gives pieces as long
     as some form is; those meet the forms by a join. Of what is found the
     leftmost, then longest stays, and nothing that overlaps it.

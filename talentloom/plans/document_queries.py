@@ -16,6 +16,7 @@ from .. import config
 from ..functions import text as T
 from ..operators import candidate, enrich, job, sections, tailoring, taxonomy, truth, views
 from ..sources import documents as storage
+from ..sources import store
 from ..streaming import intake
 from .model import DEGREE_LEVELS, DEGREES, LEVELS, N_SKILLS, REFERENCE_YEAR, TITLES, WORDS, Model, _case
 from .registry import query
@@ -278,6 +279,17 @@ def document_contacts(m: Model) -> DataFrame:
 _FORMS = [("the", "The"), ("license", "License"), ("token", "Token"), ("password", "Password"), ("version", "Version")]
 
 
+@query("vocabulary_mentions", """, runs as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as form from documents),
+  forms as (select distinct form from runs where length(form) >= 4 and doc_id % 3 = 0)
+  select doc_id, count(form) as n, coalesce(md5(string_agg(form, ' ' order by form)), md5('')) as digest from documents left join (select doc_id, form from runs join forms using (form)) using (doc_id) group by doc_id""")
+def vocabulary_mentions(m: Model) -> DataFrame:
+    """Mentions of a taxonomy as large as the vocabulary: the words of every third document, found in all of them."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("form")
+    forms = m.documents.filter("doc_id % 3 = 0").select(word).filter(F.length("form") >= 4).distinct().select("form", F.col("form").alias("canonical_name"))
+    found = taxonomy.mention_table(m.documents, "text", forms, "doc_id")
+    return found.select("doc_id", F.size("mentions").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("mentions"), " ")).alias("digest"))
+
+
 @query("document_mentions", "select doc_id, {} from documents".format(", ".join(f"regexp_matches(concat(' ', text, ' '), '(?i)[^A-Za-z0-9]{a}[^A-Za-z0-9]') as m_{a}" for a, _ in _FORMS)))
 def document_mentions(m: Model) -> DataFrame:
     found = taxonomy.scan_mentions(F.col("raw_text"), _FORMS)
@@ -538,16 +550,23 @@ def stream_deduped(m: Model) -> DataFrame:
     return m.spark.read.schema(unique.schema).parquet(f"{root}/out")
 
 
-@query("written_profiles", "select cast(c_custkey as string) as document_id, i as idx, case when c_custkey % 3 = 0 then concat('new ', c_name) else c_name end as value from customer, (select unnest(range(2))::int as i) where c_custkey % 6 <> 0 and (c_custkey % 3 <> 0 or i = 0)")
+@query("written_profiles", """select 'profiles' as name, cast(c_custkey as string) as document_id, i as idx, case when c_custkey % 3 = 0 then concat('new ', c_name) else c_name end as value
+  from customer, (select unnest(range(2))::int as i) where c_custkey % 6 <> 0 and (c_custkey % 3 <> 0 or i = 0) and c_custkey % 7 <> 0
+  union all select 'skills', cast(c_custkey as string), 0, case when c_custkey % 3 = 0 then 'one' else 'two' end from customer where c_custkey % 7 <> 0""")
 def written_profiles(m: Model) -> DataFrame:
-    """All profiles are stored, then every third document is processed again: one row less, or none at all."""
+    """Two tables are stored, every third document is processed again from the store (one row less, or none at all), every seventh is deleted, and the store is compacted in between."""
     root = storage.scratch_dir(m.spark)
-    rows = m.customer.select(F.col("c_custkey").cast("string").alias("document_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.col("c_name").alias("value"))
-    storage.write_profiles({"profiles": rows}, rows, root)
-    again = storage.read_profiles(m.spark, f"{root}/profiles").filter("cast(document_id as int) % 3 = 0")
+    key = F.col("c_custkey").cast("string").alias("document_id")
+    rows = m.customer.select(key, F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.col("c_name").alias("value"))
+    known = m.customer.select(key, F.lit(0).alias("idx"), F.lit("two").alias("value"))
+    storage.write_profiles({"profiles": rows, "skills": known}, rows, root)
+    again = storage.read_profiles(m.spark, root, "profiles").filter("cast(document_id as int) % 3 = 0")
     fresh = again.filter("idx = 0 and cast(document_id as int) % 6 <> 0").withColumn("value", F.concat(F.lit("new "), "value"))
-    storage.write_profiles({"profiles": fresh}, again, root)
-    return storage.read_profiles(m.spark, f"{root}/profiles")
+    storage.write_profiles({"profiles": fresh, "skills": again.filter("idx = 0").withColumn("value", F.lit("one"))}, again, root)
+    store.compact(m.spark, root)
+    storage.delete_stored_documents(m.spark, root, m.customer.filter("c_custkey % 7 = 0").select(key))
+    tables = [storage.read_profiles(m.spark, root, name).select(F.lit(name).alias("name"), "document_id", "idx", "value") for name in ("profiles", "skills")]
+    return tables[0].unionByName(tables[1])
 
 
 @query("plain_text_blocks", r"select doc_id as document_id, len(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) as n_blocks from documents")
@@ -580,12 +599,16 @@ _GONE = "(replace(replace(candidate_document_id, 'cv', ''), 'job', '')::int % 5
   union all select 'documents', document_id from stored_documents where regexp_replace(document_id, '[a-z]+', '')::int % 5 <> 0
   union all select 'embeddings', concat(kind, '/', document_id) from stored_documents, (select unnest(['CANDIDATE_PROFILE', 'OTHER']) as kind) where kind = 'OTHER' or regexp_replace(document_id, '[a-z]+', '')::int % 5 <> 0""")
 def document_deletion(m: Model) -> DataFrame:
-    """What is left of all tables as every fifth document goes."""
+    """What is left of all stored tables as every fifth document goes."""
     docs = m.stored_documents
     ids = docs.filter(F.regexp_replace("document_id", "[a-z]+", "").cast("int") % 5 == 0)
     changes = m.plans.select("plan_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("op_idx"))
     vectors = docs.select(F.explode(F.array(F.lit("CANDIDATE_PROFILE"), F.lit("OTHER"))).alias("entity_type"), F.col("document_id").alias("entity_id"))
-    left = storage.delete_documents({"documents": docs, "analyses": m.analyses, "plans": m.plans, "changes": changes, "embeddings": vectors}, ids)
+    tables = {"documents": docs, "analyses": m.analyses, "plans": m.plans, "changes": changes, "embeddings": vectors}
+    root = storage.scratch_dir(m.spark)
+    store.commit(m.spark, root, {k: storage.TABLE_KEYS.get(k, ("document_id",)) for k in tables}, tables, {})
+    storage.delete_stored_documents(m.spark, root, ids)
+    left = {k: store.read(m.spark, root, k) for k in tables}
     name = {"documents": F.col("document_id"), "analyses": F.col("analysis_id"), "plans": F.col("plan_id"), "changes": F.concat_ws("/", "plan_id", "op_idx"), "embeddings": F.concat_ws("/", "entity_type", "entity_id")}
     return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("name"), name[k].alias("id")) for k, df in left.items()])
 

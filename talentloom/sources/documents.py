@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .. import config
 from ..functions import text as T
+from . import store
 
 IDENTITY = ("file_hash", "document_type", "owner_id")
 
@@ -117,40 +116,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="talentloom-")
 
 
-#: Parts of a stored profile table; a document's rows stand in the part of its hash.
-BUCKETS = 64
-
-
-def read_profiles(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
-    """A table that write_profiles stored (None if there is none yet)."""
-    try:
-        rows = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
-    except AnalysisException:  # nothing was stored yet
-        return None
-    return rows.filter("document_id is not null").drop("bucket")
+def write_profiles(tables: dict[str, DataFrame], processed: DataFrame, path: str) -> int:
+    """Replace the rows of the ``processed`` documents (document_id) by those of ``tables`` (name -> rows), in all of them or in none.
 
+    The tables stand in the store at ``path``; only what is new is written. Rows and ids
+    may be read from that store. Returns the store's version.
+    """
+    keys = {name: ("document_id",) for name in tables}
+    return store.commit(processed.sparkSession, path, keys, tables, {name: processed for name in tables})
 
-def write_profiles(tables: dict[str, DataFrame], processed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the rows of the ``processed`` documents (document_id) by those of ``tables`` (name -> rows), in the tables ``path/name``.
 
-    Only the parts that processed documents fall into are read and written.
-    Spark writes them beside the old ones and swaps each in as the job ends, so
-    a failed job leaves the table as it was. A part whose rows all went keeps a
-    row without document_id, as a part without rows would not be swapped.
-    """
-    spark = processed.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-    ids = processed.select("document_id").distinct()
-    touched = [r[0] for r in ids.select(bucket.alias("b")).distinct().collect()]  # ``buckets`` rows at most
-    for name, new in tables.items():
-        rows = new.withColumn("bucket", bucket)
-        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
-        old = read_profiles(spark, f"{path}/{name}", rows.schema)
-        if old is not None:
-            rest = old.withColumn("bucket", bucket).filter(F.col("bucket").isin(touched)).join(ids, "document_id", "left_anti")
-            rows = rows.unionByName(rest)
-        rows = rows.unionByName(marks, allowMissingColumns=True)
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+def read_profiles(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table that write_profiles stored (None if there is none yet)."""
+    return store.read(spark, path, name)
 
 
 def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -161,39 +139,56 @@ def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", "_n")
 
 
-def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the documents in ``ids`` (document_id) and what hangs on them.
+#: Keys of the stored tables that do not go by document.
+TABLE_KEYS = {
+    "analyses": ("analysis_id",), "evaluations": ("analysis_id",), "recommendations": ("analysis_id",), "plans": ("analysis_id",), "changes": ("plan_id",),
+    "embeddings": ("entity_type", "entity_id"),
+}
+PROFILES = ("CANDIDATE_PROFILE", "JOB_PROFILE")
+
+
+def gone_keys(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The keys of all rows of ``tables`` that hang on the documents in ``ids`` (document_id), by table.
 
     Tables with document_id lose its rows; analyses go from either side, and
     with them evaluations, recommendations, plans and changes; embeddings go by
     entity. What belongs to the other side of an analysis stays.
     """
     gone = ids.select("document_id").distinct()
-    drop = lambda df, column, keys, name: df.join(keys.select(F.col(name).alias(column)), column, "left_anti").select(*df.columns)
-    out = {}
     analyses = tables.get("analyses")
     dead = plans = None
     if analyses is not None:
         hit = lambda c: analyses.join(gone.select(F.col("document_id").alias(c)), c, "left_semi").select("analysis_id")
         dead = hit("candidate_document_id").unionByName(hit("job_document_id")).distinct()
         if "plans" in tables:
-            plans = tables["plans"].join(dead, "analysis_id", "left_semi").select("plan_id")
+            plans = tables["plans"].join(dead, "analysis_id", "left_semi").select("plan_id").distinct()
+    out = {}
     for name, df in tables.items():
         if name == "embeddings":
-            entity = F.col("entity_type").isin("CANDIDATE_PROFILE", "JOB_PROFILE")
-            mine = df.filter(entity)
-            out[name] = drop(mine, "entity_id", gone, "document_id").unionByName(df.filter(~entity))
+            out[name] = gone.select(F.explode(F.array(*[F.lit(x) for x in PROFILES])).alias("entity_type"), F.col("document_id").alias("entity_id"))
         elif "analysis_id" in df.columns and dead is not None:
-            out[name] = drop(df, "analysis_id", dead, "analysis_id")
+            out[name] = dead
         elif "plan_id" in df.columns and plans is not None:
-            out[name] = drop(df, "plan_id", plans, "plan_id")
+            out[name] = plans
         elif "document_id" in df.columns:
-            out[name] = drop(df, "document_id", gone, "document_id")
-        else:
-            out[name] = df
+            out[name] = gone
     return out
 
 
+def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the documents in ``ids`` (document_id) and what hangs on them."""
+    gone = gone_keys(tables, ids)
+    return {name: df.join(gone[name], gone[name].columns, "left_anti").select(*df.columns) if name in gone else df for name, df in tables.items()}
+
+
+def delete_stored_documents(spark: SparkSession, path: str, ids: DataFrame) -> int:
+    """The same in the store at ``path``: one commit of keys; no row is rewritten."""
+    names = dict.fromkeys(r.name for r in store.log(spark, path))
+    tables = {name: found for name in names if (found := store.read(spark, path, name)) is not None}
+    gone = gone_keys(tables, ids)
+    return store.commit(spark, path, {name: tuple(df.columns) for name, df in gone.items()}, {}, gone)
+
+
 def delete_tailoring_plans(plans: DataFrame, changes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plans and changes without those in ``ids`` (plan_id)."""
     gone = ids.select("plan_id").distinct()

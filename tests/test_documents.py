@@ -12,6 +12,7 @@ from talentloom.headings import HEADINGS
 from talentloom.operators import candidate, sections, tailoring, taxonomy, truth, views
 from talentloom.plans import ORACLES, QUERIES, document_queries
 from talentloom.sources import documents as storage
+from talentloom.sources import store
 from talentloom.streaming import intake
 from tests.test_matching import aliases, skills
 
@@ -176,19 +177,54 @@ def test_stream_reads_failed_uploads_again_and_keeps_rejected_ones(spark, tmp_pa
     assert [(r.document_id, r.reject_reason) for r in spark.read.parquet(f"{target}-rejected").collect()] == [("e", "empty file")]
 
 
+def _size(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
 def test_write_profiles_in_place(spark, tmp_path):
-    """The table is read from the very folder that is written."""
+    """Rows and ids are read from the very store that is written."""
     path = f"file://{tmp_path}/profiles"
     rows = lambda *x: spark.createDataFrame(list(x), "document_id string, v int")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "document_id string")
-    kept = lambda: sorted((r.document_id, r.v) for r in storage.read_profiles(spark, f"{path}/t").collect())
-    assert storage.read_profiles(spark, f"{path}/t") is None
-    storage.write_profiles({"t": rows(("a", 1), ("a", 2), ("b", 3), ("c", 4))}, ids("a", "b", "c"), path, 4)
-    assert kept() == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
-    storage.write_profiles({"t": storage.read_profiles(spark, f"{path}/t").filter("document_id = 'a'").withColumn("v", F.col("v") * 10)}, ids("a", "c"), path, 4)
-    assert kept() == [("a", 10), ("a", 20), ("b", 3)]
-    storage.write_profiles({"t": rows()}, ids("a", "b"), path, 4)
-    assert kept() == []
+    kept = lambda name: sorted((r.document_id, r.v) for r in storage.read_profiles(spark, path, name).collect())
+    assert storage.read_profiles(spark, path, "t") is None
+    storage.write_profiles({"t": rows(("a", 1), ("a", 2), ("b", 3), ("c", 4)), "u": rows(("a", 5), ("c", 6))}, ids("a", "b", "c"), path)
+    before = storage.read_profiles(spark, path, "t")
+    of_a = before.filter("document_id = 'a'").withColumn("v", F.col("v") * 10)
+    processed = before.filter("v <> 3").select("document_id")  # of documents a and c, as the store says
+    storage.write_profiles({"t": of_a, "u": of_a.filter("v = 10")}, processed, path)
+    assert kept("t") == [("a", 10), ("a", 20), ("b", 3)] and kept("u") == [("a", 10)]
+    assert sorted((r.document_id, r.v) for r in before.collect()) == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]  # an earlier reader goes on
+    store.compact(spark, path)
+    assert kept("t") == [("a", 10), ("a", 20), ("b", 3)]
+    storage.write_profiles({"t": rows()}, ids("a", "b"), path)
+    assert kept("t") == [] and kept("u") == [("a", 10)]
+
+
+def test_a_failed_write_changes_no_table(spark, tmp_path):
+    path = f"file://{tmp_path}/profiles"
+    rows = lambda *x: spark.createDataFrame(list(x), "document_id string, v int")
+    storage.write_profiles({"t": rows(("a", 1)), "u": rows(("a", 2))}, rows(("a", 0)), path)
+    broken = rows(("a", 9)).withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        storage.write_profiles({"t": rows(("a", 8)), "u": broken}, rows(("a", 0)), path)
+    read = lambda name: [(r.document_id, r.v) for r in storage.read_profiles(spark, path, name).collect()]
+    assert read("t") == [("a", 1)] and read("u") == [("a", 2)]
+    (tmp_path / "profiles" / "log" / f"{2:012}" / "_temporary").mkdir(parents=True)  # a writer was cut off as it committed
+    assert read("t") == [("a", 1)]
+    storage.write_profiles({"t": rows(("b", 3)), "u": rows()}, rows(("a", 0), ("b", 0)), path)
+    assert read("t") == [("b", 3)] and read("u") == []
+
+
+def test_a_commit_costs_what_it_brings(spark, tmp_path):
+    path = f"file://{tmp_path}/profiles"
+    many = spark.range(200_000).select(F.col("id").cast("string").alias("document_id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    storage.write_profiles({"t": many}, many, path)
+    full = _size(tmp_path)
+    storage.write_profiles({"t": many.limit(20)}, many.limit(20), path)
+    storage.delete_stored_documents(spark, path, many.filter("document_id < '10003'").select("document_id").limit(5))
+    assert _size(tmp_path) - full < full / 50
+    assert storage.read_profiles(spark, path, "t").count() == 199_995
 
 
 def test_headings_of_all_types(spark):

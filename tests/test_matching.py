@@ -1,6 +1,8 @@
 """Taxonomy, matching rules, scores, recommendations."""
 
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -165,6 +167,37 @@ def test_mention_table_finds_what_the_scan_finds(spark):
     want = {r.document_id: r.m for r in df.select("document_id", taxonomy.scan_mentions(F.col("t"), forms).alias("m")).collect()}
     table = taxonomy.form_table(skills(spark), aliases(spark))
     assert {r.document_id: r.mentions for r in taxonomy.mention_table(df, "t", table).collect()} == want
+    assert {r.document_id: r.mentions for r in taxonomy.joined_mentions(df, "t", table).collect()} == want
+
+
+def test_mentions_of_a_hundred_thousand_forms(spark):
+    """The automaton, the join, and a plain search say the same; the automaton takes one pass."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcé+.# İ") for _ in range(r.randint(1, 7))).strip()
+    forms = {taxonomy.folded(f): f"N{i % 60_000}" for i, f in enumerate(x for x in (word() for _ in range(400_000)) if x)}
+    assert len(forms) >= 100_000
+    texts = [" ".join(word() for _ in range(25)) for _ in range(60)] + [None, "", "+", "İİ ab"]
+
+    def plain(text):
+        out, i = [], 0
+        text = text or ""
+        low, longest = taxonomy.folded(text), 7
+        free = lambda k: k < 0 or k >= len(text) or not (text[k].isascii() and text[k].isalnum())
+        while i < len(text):
+            hit = next((n for n in range(longest, 0, -1) if i + n <= len(text) and low[i : i + n] in forms and free(i - 1) and free(i + n)), 0)
+            if hit:
+                out.append(forms[low[i : i + hit]])
+            i += hit or 1
+        return list(dict.fromkeys(out))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id int, t string").withColumn("mentions", F.lit("x")).withColumn("form", F.lit("y"))
+    table = spark.createDataFrame(list(forms.items()), "form string, canonical_name string")
+    got = {x.document_id: x.mentions for x in taxonomy.mention_table(df, "t", table).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    automaton = taxonomy.form_automaton(list(forms.items()))
+    began = time.process_time()
+    taxonomy.mentions_of(" ".join(word() for _ in range(200_000)), automaton)
+    assert time.process_time() - began < 10
 
 
 def test_recommendations(spark):
