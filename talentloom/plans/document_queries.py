@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -469,6 +469,64 @@ def rebuilt_experiences(m: Model) -> DataFrame:
     return worked.select("document_id", "idx", "description")
 
 
+@query("projected_changes", CHANGED + """, shown as (
+  select 'skill' as kind, candidate_id as document_id, idx, raw_text as value from candidate_skills union all select 'experience', candidate_id, idx, description from experiences
+  union all select 'project', candidate_id, idx, name from projects union all select 'certification', candidate_id, idx, name from certifications union all select 'language', candidate_id, idx, name from languages
+  union all select 'education', candidate_id, idx, degree from education)
+  select kind, s.document_id, idx, coalesce(case when c.accepted and kind <> 'education' then c.final_text end, s.value) as value from shown s left join changes c on c.document_id = s.document_id and c.fact_id = concat(kind, ':', idx)""")
+def projected_changes(m: Model) -> DataFrame:
+    """What a plan's accepted changes make of every kind of fact; education is never rewritten."""
+    tables = {"skill": (m.candidate_skills, "raw_text"), "experience": (m.experiences, "description"), "project": (m.project_rows(), "name"), "certification": (m.certifications, "name"), "language": (m.languages, "name"), "education": (m.education, "degree")}
+    out = tailoring.project_changes({kind: _keyed(df) for kind, (df, _) in tables.items()}, _changes(m))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "document_id", "idx", F.col(tables[kind][1]).alias("value")) for kind, df in out.items()])
+
+
+_ASKED = "select l_orderkey, l_suppkey % 50 as candidate_id, l_partkey % 20 as job_id, l_linenumber as eval_idx, case when l_returnflag = 'R' then 'MET' else 'NOT_MET' end as status from lineitem where l_linenumber = 1"
+TAILORED = CHANGED + f""", asked as (
+  select candidate_id, job_id, (row_number() over (partition by candidate_id, job_id order by l_orderkey) - 1)::int as eval_idx, status from ({_ASKED})
+), fresh as (
+  select document_id, count(*) as n from changes where accepted group by 1
+), now as (
+  select a.*, case when a.eval_idx < coalesce(f.n, 0) then 'MET' else a.status end as then_status from asked a left join fresh f on f.document_id = a.candidate_id
+), told as (
+  select candidate_id, job_id, count(case when status = 'MET' then 1 end)::double / count(*) as before, count(case when then_status = 'MET' then 1 end)::double / count(*) as after,
+    count(case when then_status = 'MET' and status <> 'MET' then 1 end) as improved, count(case when then_status <> 'MET' then 1 end) as still_missing, count(case when then_status = 'MET' and status = 'MET' then 1 end) as unchanged from now group by 1, 2
+), sums as (
+  select plan_id, count(case when accepted then 1 end) as accepted, count(case when not accepted then 1 end) as rejected from changes group by 1
+)"""
+
+
+@query("tailoring_runs", TAILORED + """ select p.plan_id, p.candidate_id, p.job_id, t.before, t.after, t.improved, t.still_missing, t.unchanged, s.accepted, s.rejected
+  from (select concat('plan', c_custkey) as plan_id, c_custkey as candidate_id, c_custkey % 20 as job_id from customer) p left join told t using (candidate_id, job_id) left join sums s using (plan_id) where plan_id in (select plan_id from ops)""")
+def tailoring_runs(m: Model) -> DataFrame:
+    """Runs of all plans that have operations: an accepted change meets one more demand, in order."""
+    ops, changes = _operations(m), _changes(m)
+    order = Window.partitionBy("candidate_id", "job_id").orderBy("l_orderkey")
+    asked = m.sql(_ASKED).withColumn("eval_idx", F.row_number().over(order) - 1)
+
+    def score(changed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        evals = asked
+        if changed is not None:
+            fresh = changed.filter("accepted").groupBy(F.col("document_id").alias("candidate_id")).agg(F.count("*").alias("n"))
+            evals = evals.join(fresh, "candidate_id", "left").withColumn("status", F.when(F.col("eval_idx") < F.coalesce("n", F.lit(0)), "MET").otherwise(F.col("status")))
+        return evals, evals.groupBy("candidate_id", "job_id").agg((F.count_if(F.col("status") == "MET") / F.count("*")).alias("overall"))
+
+    plans = m.customer.select(F.concat(F.lit("plan"), "c_custkey").alias("plan_id"), F.col("c_custkey").alias("candidate_id"), (F.col("c_custkey") % 20).alias("job_id"))
+    return tailoring.run_tailoring(plans, ops, changes, score)
+
+
+_SPLIT = lambda t: f"list_filter(string_split_regex({t}, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')"
+
+
+@query("word_diff_sides", f"""select a.doc_id, md5(array_to_string({_SPLIT("a.text")}, ' ')) as before, md5(array_to_string({_SPLIT("b.text")}, ' ')) as after,
+  case when array_to_string({_SPLIT("a.text")}, ' ') = array_to_string({_SPLIT("b.text")}, ' ') then 0 else 1 end as differs from documents a join documents b on b.doc_id = a.doc_id + 1""")
+def word_diff_sides(m: Model) -> DataFrame:
+    """Both texts as they come back from the runs of their difference, and whether there is one."""
+    text = lambda gone: F.array_join(F.transform(F.filter("diff", lambda x: x["change_type"] != gone), lambda x: x["text"]), " ")
+    differs = F.exists("diff", lambda x: x["change_type"] != "UNCHANGED").cast("int")
+    return word_diffs(m).select("doc_id", F.md5(text("ADDED")).alias("before"), F.md5(text("REMOVED")).alias("after"), differs.alias("differs"))
+
+
 @query("word_diffs")
 def word_diffs(m: Model) -> DataFrame:
     """Word runs that differ between the whole texts of each document and the next."""
@@ -486,6 +544,17 @@ def requirement_deltas(m: Model) -> DataFrame:
 
 
 # --- storage ---------------------------------------------------------------------
+@query("read_files", """select 'JOB_OFFER' as document_type, 'text/plain' as mime_type, octet_length(encode(content)) as file_size, sha256(content) as file_hash, 'UPLOADED' as status
+  from (select string_agg(text || chr(10), '' order by doc_id) as content from documents where text is not null group by source, doc_id % 8) t""")
+def read_files(m: Model) -> DataFrame:
+    """The documents, written as text files of a source's eighth each, read back as uploads."""
+    root = storage.scratch_dir(m.spark)
+    rows = m.documents.filter("text is not null").select("doc_id", "source", (F.col("doc_id") % 8).alias("part"), "text")
+    rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text").write.partitionBy("source", "part").text(root)
+    found = storage.read_documents(m.spark, root, "JOB_OFFER").filter("mime_type = 'text/plain'")
+    return found.select("document_type", "mime_type", "file_size", "file_hash", "status")
+
+
 UPLOADS = """select doc_id as document_id, source as owner_id, lang as document_type, concat('file', doc_id, case doc_id % 5 when 0 then '.pdf' when 1 then '.TXT' else '.txt' end) as original_filename,
   case when doc_id % 7 = 0 then 'image/png' else 'text/plain' end as mime_type, case when doc_id % 11 = 0 then 0 when doc_id % 13 = 0 then 99999999 else n_chars end as file_size, sha2(text, 256) as file_hash, text from documents"""
 
