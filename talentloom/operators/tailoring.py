@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import config
 from ..functions import text as T
+from ..functions.diff import segments
 from . import truth
 from .matching import years_of_experience
 from .recommend import safe_to_tailor
@@ -79,17 +79,7 @@ def generate_text(operations: DataFrame, mode: str, proposals: DataFrame | None
 
 @F.pandas_udf(DIFF)
 def _diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    def segments(a: str | None, b: str | None) -> list[dict[str, str]]:
-        left, right = (a or "").split(), (b or "").split()
-        out = []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out.append((left[i:j], "UNCHANGED"))
-            else:
-                out += [(left[i:j], "REMOVED"), (right[k:m], "ADDED")]
-        return [{"text": " ".join(words), "change_type": kind} for words, kind in out if words]
-
-    return pd.Series([segments(a, b) for a, b in zip(before, after, strict=True)])
+    return pd.Series([[{"text": text, "change_type": kind} for text, kind in segments(a, b)] for a, b in zip(before, after, strict=True)])
 
 
 def word_diff(before: Column, after: Column) -> Column:

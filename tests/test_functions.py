@@ -1,12 +1,15 @@
 """Column functions on the cases that matter."""
 
+import difflib
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from talentloom import config
+from talentloom.functions import diff
 from talentloom.functions import text as T
 
 
@@ -78,3 +81,38 @@ def test_exact_round(spark):
 
 def test_parse_proposal(spark):
     assert apply(spark, T.parse_proposal, '{"proposed_text": "a b"}', 'Sure: {"proposed_text": "say \\"x\\""} done', "nothing", None) == ["a b", 'say "x"', None, None]
+
+
+def _plain_segments(before, after):
+    left, right = before.split(), after.split()
+    out = []
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+        out += [(left[i:j], "UNCHANGED")] if tag == "equal" else [(left[i:j], "REMOVED"), (right[k:m], "ADDED")]
+    return [(" ".join(words), kind) for words, kind in out if words]
+
+
+def test_differences_are_those_of_longest_runs():
+    r = random.Random(5)
+    for n in range(3000):
+        words = "abcdefgh"[: r.randint(1, 8)]
+        before = [r.choice(words) for _ in range(r.randint(0, 30))]
+        after = [w for w in before if r.random() < 0.8] if n % 2 else [r.choice(words) for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            after.insert(r.randint(0, len(after)), r.choice(words))
+        pair = " ".join(before), " ".join(after)
+        assert diff.segments(*pair) == _plain_segments(*pair)
+    assert diff.segments(None, " ") == [] and diff.segments(None, "a") == [("a", "ADDED")]
+
+
+def test_differences_of_long_texts():
+    r = random.Random(6)
+    before = [r.choice(["the", "a", "of"]) if r.random() < 0.3 else f"w{r.randint(0, 3000)}" for _ in range(20_000)]
+    after = [w for w in before if r.random() < 0.95]
+    began = time.process_time()
+    out = diff.segments(" ".join(before), " ".join(after))
+    assert time.process_time() - began < 30
+    assert " ".join(t for t, k in out if k != "ADDED").split() == before and " ".join(t for t, k in out if k != "REMOVED").split() == after
+    began = time.process_time()
+    diff.segments("the " * 20_000, "the a " * 10_000)
+    diff.segments("the of " * 10_000, "the of a " * 7_000)
+    assert time.process_time() - began < 30
