@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..operators import candidate, enrich, job, sections, tailoring, taxonomy, truth, views
 from ..sources import documents as storage
 from ..sources import store
-from ..streaming import intake
+from ..streaming import intake, state
 from .model import DEGREE_LEVELS, DEGREES, LEVELS, N_SKILLS, REFERENCE_YEAR, TITLES, WORDS, Model, _case
 from .registry import query
 
@@ -741,6 +741,23 @@ def status_transitions(m: Model) -> DataFrame:
     return intake.check_status_transitions(m.sql(EVENTS), tie="event_id").select("event_id", "previous_status", "is_legal")
 
 
+@query("streamed_transitions", f"select event_id, p as previous_status, coalesce(p is null or p = status or {_LEGAL}, false) as is_legal from (select *, lag(status) over (partition by document_id order by ts, event_id, status) as p from ({EVENTS}) e)")
+def streamed_transitions(m: Model) -> DataFrame:
+    """The same from a stream whose events arrive out of order, in two rounds; a last event lets the watermark pass all others."""
+    root = storage.scratch_dir(m.spark)
+    rows = m.sql(EVENTS).select(F.col("document_id").cast("string").alias("document_id"), "ts", "event_id", "status")
+    rows.filter("event_id % 2 = 0").write.parquet(f"{root}/in")
+    rows.filter("event_id % 2 = 1").write.mode("append").parquet(f"{root}/in")
+    last = rows.agg(F.max("ts").alias("ts")).select(F.lit("none").alias("document_id"), (F.col("ts") + F.expr("interval 9000 days")).alias("ts"), F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit("UPLOADED").alias("status"))
+    for _ in range(2):
+        with state.rocksdb(m.spark):
+            moves = intake.stream_status_transitions(m.spark.readStream.schema(rows.schema).parquet(f"{root}/in"), within="4000 days")
+            moves.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        last.write.mode("append").parquet(f"{root}/in")
+    found = m.spark.read.schema(moves.schema).parquet(f"{root}/out").filter("event_id >= 0")
+    return found.select("event_id", "previous_status", "is_legal")
+
+
 @query("section_summaries", f"""{_VARIED_CTE} select k::varchar as document_id, 'OTHER:|' || string_agg(kind || ':' || head, '|' order by i) as sections from heads group by k""")
 def section_summaries(m: Model) -> DataFrame:
     told = F.transform("sections", lambda x: F.concat_ws(":", x["type"], x["heading"]))

@@ -1,5 +1,6 @@
 """Sections, extraction, claims, tailoring, storage, views, streaming, registry."""
 
+import random
 import time
 from types import SimpleNamespace
 
@@ -13,7 +14,7 @@ from talentloom.operators import candidate, sections, tailoring, taxonomy, truth
 from talentloom.plans import ORACLES, QUERIES, document_queries
 from talentloom.sources import documents as storage
 from talentloom.sources import store
-from talentloom.streaming import intake
+from talentloom.streaming import intake, state
 from tests.test_matching import aliases, skills
 
 CV = """Jane Doe
@@ -181,6 +182,43 @@ def _size(path):
     return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
 
 
+def test_stream_reads_nothing_that_was_stored(spark, tmp_path):
+    """Stored files are spoilt between the batches: known uploads are still known."""
+    source, target = f"file://{tmp_path}/in here", f"file://{tmp_path}/out"
+    for n, rows in enumerate(([(f"a{i}", "o", b"x%d" % i) for i in range(50)], [(f"b{i}", "o", b"x%d" % i) for i in range(60)])):
+        uploads(spark, rows).write.mode("append").parquet(source)
+        q = intake.stream_documents(spark, source, target, f"file://{tmp_path}/check")
+        q.awaitTermination(120)
+        assert q.exception() is None
+        if not n:
+            for f in (tmp_path / "out").rglob("*.parquet"):
+                f.write_bytes(b"spoilt")
+    assert sorted(r.document_id for r in spark.read.parquet(f"{target}/batch=1").collect()) == sorted(f"b{i}" for i in range(50, 60))
+
+
+def test_status_transitions_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    r = random.Random(4)
+    start, kinds = datetime(2026, 1, 1), list(config.STATUS_MOVES)
+    rows = [(f"d{r.randint(0, 9)}", start + timedelta(seconds=60 * i, microseconds=r.randint(0, 999_999)), i, r.choice(kinds)) for i in range(300)]
+    schema = "document_id string, ts timestamp, event_id long, status string"
+    order = sorted(rows, key=lambda x: x[1] + timedelta(minutes=r.randint(0, 50)))  # each at most 50 minutes behind
+    flush = [("flush", start + timedelta(days=9), 10**6, "UPLOADED")]
+    late = [("d0", start, 10**7, "FAILED")]
+    for part in (order[:100], order[100:200], order[200:], flush, late, [("flush", start + timedelta(days=19), 10**6 + 1, "UPLOADED")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        with state.rocksdb(spark):
+            moves = intake.stream_status_transitions(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
+            q = moves.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    columns = ["document_id", "event_id", "ts", "status", "previous_status", "is_legal"]
+    got = spark.read.schema(moves.schema).parquet(f"file://{tmp_path}/out").filter("document_id <> 'flush'").select(*columns)
+    want = intake.check_status_transitions(spark.createDataFrame(rows, schema), tie="event_id").select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_write_profiles_in_place(spark, tmp_path):
     """Rows and ids are read from the very store that is written."""
     path = f"file://{tmp_path}/profiles"
