@@ -27,7 +27,7 @@ from .tokens import read_token_digests, write_token_blocks
 
 BYTE_BPE = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), drops_case=False)
 BYTE_END = 2
-WORD_BPE = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), drops_case=True)
+WORD_BPE = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), drops_case=True, memo_bytes=64 << 20)  # the pipeline's workers hold other stages' memory too
 WORD_END = 1
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that a worker's memo holds, counting ``ENTRY`` for an entry beside its chunk and ids; the longest chunk that it keeps.
-MEMO_BYTES, ENTRY, KEPT = 160 << 20, 200, 64
+MEMO_BYTES, ENTRY, KEPT = 128 << 20, 200, 64
 SLICE_BYTES = 4 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -27,16 +27,18 @@ class Vocabulary:
 
     ``path``: file in the JSON format of the tokenizers library. ``drops_case``:
     the tokenizer lower-cases and drops white space (word BPE); otherwise white
-    space belongs to the following word (byte BPE).
+    space belongs to the following word (byte BPE). ``memo_bytes``: what a worker
+    may hold of chunks and their ids.
     """
 
     path: str
     drops_case: bool
+    memo_bytes: int = MEMO_BYTES
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """The worker's encoder for ``vocabulary``, made once in a worker."""
-    key = (vocabulary.path, vocabulary.drops_case)
+    key = (vocabulary.path, vocabulary.drops_case)  # one memo a tokenizer
     if key not in _encoders:
         _encoders[key] = Encoder(vocabulary)
     return _encoders[key]
@@ -94,6 +96,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
         self.drops_case = vocabulary.drops_case
+        self.memo_bytes = vocabulary.memo_bytes
         # Added tokens match before letters are lowered, in their own case only.
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Two generations: what is met again moves to the young one, and the old
@@ -164,7 +167,7 @@ class Encoder:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if self.held > MEMO_BYTES // 2:
+        if self.held > self.memo_bytes // 2:
             self.memo, self.old, self.held = {}, self.memo, 0
         memo, old = self.memo, self.old
         missing = []

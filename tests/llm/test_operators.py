@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -145,14 +146,13 @@ def test_encoding_of_other_scripts(vocabulary):
 
 
 @pytest.mark.parametrize("vocabulary", [BYTE, WORD])
-def test_memo_is_bounded_in_bytes(vocabulary, monkeypatch):
+def test_memo_is_bounded_in_bytes(vocabulary):
     import pyarrow as pa
 
     from talentloom.llm import tokenizing
 
-    monkeypatch.setattr(tokenizing, "MEMO_BYTES", 1 << 20)
     r = random.Random(2)
-    coder = tokenizing.Encoder(vocabulary)
+    coder = tokenizing.Encoder(replace(vocabulary, memo_bytes=1 << 20))
     for letters in ((0x4E00, 0x9F00), (0x430, 0x44F), (0x61, 0x7A)):
         texts = ["".join(chr(r.randint(*letters)) + (" " if r.random() < 0.1 and letters[0] < 0x4E00 else "") for _ in range(3000)) for _ in range(60)]
         for at in range(0, 60, 4):
