@@ -221,7 +221,7 @@ def _findings(reference_year: Column, semantic: bool) -> list[tuple[str, Column]
         ("_best", mine("responsibilities", best_lexical_match())), ("_top", mine("domain", top)),
     ]
     if semantic:
-        near = F.get("_meanings", F.col("eval_idx"))
+        near = F.get("_meanings", F.col("_at"))
         label = F.get("experiences", near["place"] - 1)["label"]
         found.append(("_meaning", mine("skills", F.coalesce(near["score"], F.lit(0.0)))))
         found.append(("_near", mine("responsibilities", F.when(near["score"] > 0, F.struct(near["score"].alias("score"), near["place"].alias("place"), label.alias("label"))))))
@@ -320,11 +320,15 @@ def evaluate_domain() -> Column:
     return _answer(F.when(top.isNotNull(), "MET").otherwise("NOT_MET"), signal, text)
 
 
-def demand_lists(demands: DataFrame) -> DataFrame:
-    """job_id, demands: what each job asks for, in order. A job's demands are one row, as large as its offer."""
+def demand_lists(demands: DataFrame, dimensions: tuple[str, ...] = config.DIMENSIONS) -> DataFrame:
+    """job_id, demands: what each job asks for in ``dimensions``, in order, each with its place among all. A job's demands are one row, as large as its offer."""
     own = [c for c in demands.columns if c not in ("job_id", "dim_rank", "idx")]
     row = F.struct("dim_rank", "idx", F.struct(*own).alias("d"))
-    return demands.groupBy("job_id").agg(F.array_sort(F.collect_list(row))["d"].alias("demands"))
+    lists = demands.groupBy("job_id").agg(F.array_sort(F.collect_list(row))["d"].alias("demands"))
+    placed = F.transform("demands", lambda d, i: d.withField("eval_idx", i))
+    if set(dimensions) != set(config.DIMENSIONS):
+        placed = F.filter(placed, lambda d: d["dimension"].isin(*dimensions))
+    return lists.select("job_id", placed.alias("demands"))
 
 
 def store_facts(facts: DataFrame, name: str, buckets: int) -> DataFrame:
@@ -344,7 +348,50 @@ def evaluate_pairs(
 
     ``vectors``: text, embedding of the texts that ``semantic.texts`` names; without it, meaning is not compared.
     """
-    semantic = vectors is not None
+    if vectors is not None:
+        demands, facts = with_units(demands, facts, vectors)
+    met = pairs.join(demand_lists(demands, dimensions), "job_id").join(facts, "candidate_id", "left")
+    return _judged(met, ("candidate_id", "job_id"), reference_year, dimensions, vectors is not None)
+
+
+def evaluate_grid(
+    demands: DataFrame, facts: DataFrame, reference_year: int, vectors: DataFrame | None = None, candidate_blocks: int = 64, job_blocks: int = 64
+) -> DataFrame:
+    """``evaluate_pairs`` of every candidate with every job, with the tile that each pair stands in.
+
+    The grid is cut into tiles, a block of candidates by a block of jobs. Facts travel once a
+    job block, demands once a candidate block; pairs appear only as a tile is evaluated, and are
+    never stored. Scores by (tile, candidate_id, job_id) need no further shuffle.
+    """
+    if vectors is not None:
+        demands, facts = with_units(demands, facts, vectors)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = demand_lists(demands).withColumns({"_c": every(candidate_blocks), "_j": part("job_id", job_blocks)})
+    own = facts.withColumns({"_c": part("candidate_id", candidate_blocks), "_j": every(job_blocks)})
+    tile = lambda df: df.withColumn("tile", F.col("_c") * job_blocks + F.col("_j")).drop("_c", "_j")
+    met = tile(asked).join(tile(own), "tile")
+    return _judged(met, ("tile", "candidate_id", "job_id"), reference_year, config.DIMENSIONS, vectors is not None)
+
+
+#: What a change of each kind of fact can alter: the dimensions whose rules read it.
+READ_BY = {"skill": "skills", "experience": "responsibilities"}
+
+
+def reevaluate_pairs(before: DataFrame, pairs: DataFrame, demands: DataFrame, facts: DataFrame, changes: DataFrame, reference_year: int) -> tuple[DataFrame, DataFrame]:
+    """(evaluations after, those of them that were judged anew): only demands that read a changed fact are.
+
+    ``before``: the evaluations of ``pairs``; ``facts``: those after ``changes`` (document_id, fact_id, accepted).
+    """
+    kind = T.lookup(F.split("fact_id", ":")[0], READ_BY)
+    touched = changes.filter("accepted").select(F.col("document_id").alias("candidate_id"), kind.alias("dimension")).filter("dimension is not null").distinct()
+    again = pairs.join(touched.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    anew = evaluate_pairs(again, demands, facts, reference_year, None, tuple(READ_BY.values())).join(touched, ["candidate_id", "dimension"], "left_semi").select(*before.columns)
+    return before.join(touched, ["candidate_id", "dimension"], "left_anti").select(*before.columns).unionByName(anew), anew
+
+
+def _judged(met: DataFrame, keys: tuple[str, ...], reference_year: int, dimensions: tuple[str, ...], semantic: bool) -> DataFrame:
+    """Every demand of rows that hold a job's demands and a candidate's facts."""
     rules = {
         "skills": match_skill(semantic), "experience": evaluate_experience(), "seniority": evaluate_seniority(), "education": evaluate_education(),
         "certifications": evaluate_certification(), "languages": evaluate_language(), "responsibilities": evaluate_responsibility(semantic), "domain": evaluate_domain(),
@@ -357,22 +404,18 @@ def evaluate_pairs(
             out = F.when(F.col("dimension") == name, rules[name][field]).otherwise(out)
         return out.alias(field)
 
-    asked = demands.filter(F.col("dimension").isin(*dimensions)) if set(dimensions) != set(config.DIMENSIONS) else demands
-    if semantic:
-        asked, facts = with_units(asked, facts, vectors)
-    met = pairs.join(demand_lists(asked), "job_id").join(facts, "candidate_id", "left")
     if semantic:
         of = lambda what: F.transform("demands", what)
         found = best_meanings(of(lambda d: d["unit"]), of(lambda d: d["dimension"] == "skills"), F.col("units"))
         met = met.withColumn("_meanings", found).withColumn("demands", of(lambda d: d.dropFields("unit"))).drop("units")
-    opened = met.select("candidate_id", "job_id", *[c for c in met.columns if c not in ("candidate_id", "job_id", "demands")], F.posexplode("demands").alias("eval_idx", "d"))
-    found = opened.select("*", "d.*").drop("d")
+    own = [c for c in met.columns if c not in (*keys, "demands")]
+    found = met.select(*keys, *own, F.posexplode("demands").alias("_at", "d")).select("*", "d.*").drop("d")
     found = found.select("*", *[c.alias(name) for name, c in _findings(F.lit(reference_year), semantic)])
     found = found.withColumn("_proof", F.when(F.col("dimension") == "skills", F.try_element_at("skill_map", F.col("_hit"))))
-    judged = found.select("candidate_id", "job_id", "eval_idx", "dimension", "requirement_type", "priority", "raw_text", *map(verdict, EVALUATION))
+    judged = found.select(*keys, "eval_idx", "dimension", "requirement_type", "priority", "raw_text", *map(verdict, EVALUATION))
     strength = signal_strength(F.col("match_signal"), F.col("semantic_score"))
     return judged.select(
-        "candidate_id", "job_id", "eval_idx", "dimension", "requirement_type", "priority", "raw_text", "status", "match_signal",
+        *keys, "eval_idx", "dimension", "requirement_type", "priority", "raw_text", "status", "match_signal",
         strength.alias("match_strength"), strength_score(strength).alias("score"), signal_confidence(F.col("match_signal"), F.col("semantic_score")).alias("confidence"),
         "matched_skill", "source_label", "evidence", "explanation",
     )

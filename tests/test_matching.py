@@ -47,9 +47,15 @@ def test_taxonomy_tables(spark):
 
 
 def evaluate(spark, model=None):
-    held = spark.createDataFrame([(1, 0, "py3", "Python", "PROGRAMMING_LANGUAGE"), (1, 1, "Flask", "Flask", "FRAMEWORK"), (1, 2, "Juggling", None, None)], "candidate_id long, idx int, raw_text string, canonical_name string, category string")
+    pairs, demands, facts = tables(spark)
+    vectors = None if model is None else semantic.embedded(demands, facts, [("model", 2, model)])
+    return matching.evaluate_pairs(pairs, demands, facts, YEAR, vectors)
+
+
+def tables(spark, raw="py3", description="Built billing services for shops"):
+    held = spark.createDataFrame([(1, 0, raw, "Python", "PROGRAMMING_LANGUAGE"), (1, 1, "Flask", "Flask", "FRAMEWORK"), (1, 2, "Juggling", None, None)], "candidate_id long, idx int, raw_text string, canonical_name string, category string")
     worked = spark.createDataFrame([
-        (1, 0, "Senior Dev", "Acme", "Jan 2010", "2014", ["Flask"], [], "SENIOR", "Built billing services for shops"),
+        (1, 0, "Senior Dev", "Acme", "Jan 2010", "2014", ["Flask"], [], "SENIOR", description),
         (1, 1, "Dev", "Other", "2013", None, [], [], "UNKNOWN", None), (2, 0, "Dev", None, "no date", "2014", ["Flask"], [], None, None),
     ], EXPERIENCE)
     none = lambda schema: spark.createDataFrame([], schema)
@@ -69,8 +75,7 @@ def evaluate(spark, model=None):
     jobs = spark.createDataFrame([(7, "LEAD", ["Built billing services", "Sing songs"])], "job_id long, seniority_normalized string, responsibilities array<string>")
     demands = matching.job_demands(jobs, requirements, taxonomy.related_skills(skills(spark), relations(spark)))
     pairs = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "candidate_id long, job_id long")
-    vectors = None if model is None else semantic.embedded(demands, facts, [("model", 2, model)])
-    return matching.evaluate_pairs(pairs, demands, facts, YEAR, vectors)
+    return pairs, demands, facts
 
 
 def test_rules_of_all_dimensions(spark):
@@ -124,6 +129,34 @@ def test_semantic_match(spark):
     assert vector == [digest[i % 32] / 127.5 - 1 for i in range(40)]
 
 
+def test_a_grid_is_evaluated_without_a_pair_table(spark):
+    _, demands, facts = tables(spark)
+    jobs = [7, 8, 9, 10]
+    demands = demands.drop("job_id").crossJoin(spark.createDataFrame([(j,) for j in jobs], "job_id long"))
+    evals = matching.evaluate_grid(demands, facts, YEAR, candidate_blocks=3, job_blocks=2)
+    scores = scoring.score_breakdown(evals, keys=("tile", "candidate_id", "job_id"))
+    pairs = facts.select("candidate_id").crossJoin(spark.createDataFrame([(j,) for j in jobs], "job_id long"))
+    want = scoring.score_breakdown(matching.evaluate_pairs(pairs, demands, facts, YEAR))
+    assert sorted(map(str, scores.drop("tile").collect())) == sorted(map(str, want.collect())) and scores.count() == 8
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]
+    assert "Exchange" not in above  # from the open pairs to their scores nothing is shuffled
+
+
+def test_only_demands_that_read_a_changed_fact_are_judged_anew(spark):
+    pairs, demands, facts = tables(spark)
+    before = matching.evaluate_pairs(pairs, demands, facts, YEAR)
+    for told, raw, description in (([("experience:0", True)], "py3", "Sing songs all day"), ([("skill:0", True), ("experience:0", False)], "Python", "Built billing services for shops"), ([], "py3", "Built billing services for shops")):
+        changes = spark.createDataFrame([(1, f, ok) for f, ok in told], "document_id long, fact_id string, accepted boolean")
+        _, _, now = tables(spark, raw, description)
+        after, anew = matching.reevaluate_pairs(before, pairs, demands, now, changes, YEAR)
+        want = matching.evaluate_pairs(pairs, demands, now, YEAR)
+        assert sorted(map(str, after.collect())) == sorted(map(str, want.collect()))
+        kinds = {(r.candidate_id, r.dimension) for r in anew.collect()}
+        assert kinds == {(1, matching.READ_BY[f.split(":")[0]]) for f, ok in told if ok}
+        assert anew.count() < want.count() / 3
+
+
 def test_nearest_against_all_pairs():
     import numpy as np
 
