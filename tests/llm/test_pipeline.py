@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -69,6 +70,67 @@ def test_run(spark, world):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
 
 
+def _near_copies_out(rows):
+    """Of each group of near copies by all pairs the row with the smallest id."""
+    sets = []
+    for _, text, *_ in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if x == sets[j] or 5 * both >= 4 * (len(x) + len(sets[j]) - both):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [r for i, r in enumerate(rows) if top(i) == i]
+
+
+def test_run_against_a_brute_force_version(spark, world, tmp_path):
+    """Every stage done plainly on what the one before it left; only the trained classifier is the stage's own."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    from talentloom.llm import oracle
+    from talentloom.llm.queries import WORD_BPE, WORD_END
+    from talentloom.llm.toxicity import THRESHOLD, train
+
+    rows = sorted(r for r in world[1] if r[0] is not None)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{world[0]}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"file://{tmp_path}/{name}.parquet") for name in ("documents", "labels"))
+    toxic = {r.doc_id for r in train(docs, labels).score(docs, "text", ("doc_id",)).collect() if r.score >= THRESHOLD}
+    assert len(toxic & {i for i, bad in world[2].items() if bad}) > 0.8 * sum(world[2].values())
+    left = _near_copies_out([r for r in rows if r[0] not in toxic])
+    left = [(i, None if t is None else re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<email>", t), s) for i, t, _, s, *_ in left]
+    documents = pd.DataFrame(left, columns=["doc_id", "text", "source"])  # read by name below
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        mix = {r[0]: (r[1], r[4]) for r in con.execute(oracle.mixing_sql()).fetchall()}
+    plain, want = Tokenizer.from_file(WORD_BPE.path), Counter()
+    for i, text, _ in left:
+        size, taken = mix[i]
+        copies = [text] * (taken // size if size else 0) + ([" ".join(text.split()[: taken % size])] if size and taken % size else [])
+        for copy in copies:
+            ids = plain.encode(copy, add_special_tokens=False).ids + [WORD_END]
+            want.update((i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096))
+    out = pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spots in bins.values():
+        ends = [a + n for a, n in sorted(spots)]
+        assert [a for a, _ in sorted(spots)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
 def test_run_over_nothing_and_over_repeated_rows(spark, world, tmp_path):
     empty, twice = f"file://{tmp_path}/empty", f"file://{tmp_path}/twice"
     spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
