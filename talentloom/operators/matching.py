@@ -207,14 +207,16 @@ def _findings(reference_year: Column, semantic: bool) -> list[tuple[str, Column]
     shared = F.filter("domains", lambda d: F.array_contains(F.col("job_domains"), d["domain"]))
     top = F.get(F.array_sort(F.transform(shared, lambda d: F.struct((-d["n"]).alias("n"), d["domain"].alias("domain")))), F.lit(0))["domain"]
     # A direct hit, else the first related skill, else (unresolved lines) the first name that contains the text.
+    none = F.lit(None).cast("string")
+    named = lambda name, kind: F.struct(name.alias("name"), kind.alias("kind"))
+    relative = lambda: T.let(F.get(F.filter("relatives", lambda r: known(r["related_skill"])), F.lit(0)), lambda r: named(r["related_skill"], r["relation_type"]))
     hit = (
-        F.when(skill.isNull(), F.when(needle != "", F.get(F.filter(names, lambda n: F.lower(n).contains(needle)), F.lit(0))))
-        .when(known(skill), skill)
-        .otherwise(F.get(F.filter("relatives", lambda r: known(r["related_skill"])), F.lit(0))["related_skill"])
-    )
+        F.when(skill.isNull(), named(F.when(needle != "", F.get(F.filter(names, lambda n: F.lower(n).contains(needle)), F.lit(0))), none))
+        .when(known(skill), named(skill, none)).otherwise(relative())
+    )
+    by_skill = years_of_experience(F.col("experiences"), F.col("normalized_value"), reference_year, read=True)
     found = [
-        ("_hit", mine("skills", hit)),
-        ("_years", mine("experience", years_of_experience(F.col("experiences"), F.col("normalized_value"), reference_year, read=True))),
+        ("_found", mine("skills", hit)), ("_years", mine("experience", F.when(F.col("experiences").isNull(), 0.0).when(F.col("normalized_value").isNull(), F.col("all_years")).otherwise(by_skill))),
         ("_gap", F.coalesce(mine("seniority", F.col("peak") - F.col("step")), mine("education", F.col("school") - F.col("step")))),
         ("_same", mine("certifications", same)), ("_part", mine("certifications", part)),
         ("_held", mine("languages", F.get(F.filter("languages", lambda x: x["canonical_name"] == F.col("wanted.name")), F.lit(0)))),
@@ -230,9 +232,9 @@ def _findings(reference_year: Column, semantic: bool) -> list[tuple[str, Column]
 
 def match_skill(semantic: bool = False) -> Column:
     """Exact or alias, then the first related skill, then meaning, then text overlap for unresolved lines."""
-    skill, hit, proof = F.col("canonical_name"), F.col("_hit"), F.col("_proof")
+    skill, hit, proof = F.col("canonical_name"), F.col("_found.name"), F.col("_proof")
     alias = is_alias_surface_form(F.col("raw_text"), skill) | F.exists(proof, lambda x: is_alias_surface_form(x["raw_text"], skill))
-    kind = F.get(F.filter("relatives", lambda r: r["related_skill"] == hit), F.lit(0))["relation_type"]
+    kind = F.col("_found.kind")
     signal = (
         F.when(skill.isNull(), F.when(hit.isNotNull(), "PARTIAL_MATCH").otherwise("NO_EVIDENCE"))
         .when(hit == skill, F.when(alias, "ALIAS_MATCH").otherwise("EXACT_MATCH")).when(hit.isNotNull(), "RELATED_MATCH")
@@ -331,6 +333,12 @@ def demand_lists(demands: DataFrame, dimensions: tuple[str, ...] = config.DIMENS
     return lists.select("job_id", placed.alias("demands"))
 
 
+def with_years(facts: DataFrame, reference_year: int) -> DataFrame:
+    """``facts`` with all_years, which most demands for experience read: once a candidate."""
+    none = F.lit(None).cast("string")
+    return facts.withColumn("all_years", years_of_experience(F.col("experiences"), none, F.lit(reference_year), read=True))
+
+
 def store_facts(facts: DataFrame, name: str, buckets: int) -> DataFrame:
     """Facts as a table cut by candidate_id, which joins on candidate_id read without a shuffle.
 
@@ -350,7 +358,7 @@ def evaluate_pairs(
     """
     if vectors is not None:
         demands, facts = with_units(demands, facts, vectors)
-    met = pairs.join(demand_lists(demands, dimensions), "job_id").join(facts, "candidate_id", "left")
+    met = pairs.join(demand_lists(demands, dimensions), "job_id").join(with_years(facts, reference_year), "candidate_id", "left")
     return _judged(met, ("candidate_id", "job_id"), reference_year, dimensions, vectors is not None)
 
 
@@ -368,7 +376,7 @@ def evaluate_grid(
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = demand_lists(demands).withColumns({"_c": every(candidate_blocks), "_j": part("job_id", job_blocks)})
-    own = facts.withColumns({"_c": part("candidate_id", candidate_blocks), "_j": every(job_blocks)})
+    own = with_years(facts, reference_year).withColumns({"_c": part("candidate_id", candidate_blocks), "_j": every(job_blocks)})
     tile = lambda df: df.withColumn("tile", F.col("_c") * job_blocks + F.col("_j")).drop("_c", "_j")
     met = tile(asked).join(tile(own), "tile")
     return _judged(met, ("tile", "candidate_id", "job_id"), reference_year, config.DIMENSIONS, vectors is not None)
@@ -411,7 +419,7 @@ def _judged(met: DataFrame, keys: tuple[str, ...], reference_year: int, dimensio
     own = [c for c in met.columns if c not in (*keys, "demands")]
     found = met.select(*keys, *own, F.posexplode("demands").alias("_at", "d")).select("*", "d.*").drop("d")
     found = found.select("*", *[c.alias(name) for name, c in _findings(F.lit(reference_year), semantic)])
-    found = found.withColumn("_proof", F.when(F.col("dimension") == "skills", F.try_element_at("skill_map", F.col("_hit"))))
+    found = found.withColumn("_proof", F.when(F.col("dimension") == "skills", F.try_element_at("skill_map", F.col("_found.name"))))
     judged = found.select(*keys, "eval_idx", "dimension", "requirement_type", "priority", "raw_text", *map(verdict, EVALUATION))
     strength = signal_strength(F.col("match_signal"), F.col("semantic_score"))
     return judged.select(
