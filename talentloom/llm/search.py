@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 TOP = 5
-#: Rows of a tree at least; with many rows trees grow, so that MOST_TREES' centres stay small.
-TREE_ROWS, MOST_TREES = 16_384, 20_000
+#: Rows of a tree at least; with many rows trees grow, so that their centres, which every task holds, stay few and take
+#: no more than CENTRE_BYTES (and those of a tree a pivot).
+TREE_ROWS, MOST_TREES, CENTRE_BYTES = 16_384, 20_000, 32 << 20
 PAGE = 128
 QUERY_BLOCK = 512
 SCALE = 256
@@ -266,7 +267,7 @@ def top_products(df: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     out = ready.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
     if not n:
         return out
-    forest = planted(ready, n, width, top, max(tree_rows, -(-n // MOST_TREES)))
+    forest = planted(ready, n, width, top, max(tree_rows, -(-n // min(MOST_TREES, max(1, CENTRE_BYTES // (8 * width))))))
     about = sorted(forest.select("tree", "centre", "radius").collect())  # MOST_TREES + MOST_PIVOTS rows at most
     numbers = np.array([r["tree"] for r in about], np.int32)
     centres, radii = np.array([r["centre"] for r in about]), np.array([r["radius"] for r in about])
