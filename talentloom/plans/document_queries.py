@@ -771,6 +771,34 @@ def cv_entries(m: Model) -> DataFrame:
     return candidate.split_entries(sections.detect_sections(cvs(m))).select("document_id", "idx", lines[0].alias("first_line"), F.size(lines).alias("n_lines"))
 
 
-@query("entry_counts", "select cast(c_custkey as string) as document_id, 2 as n_experiences from customer")
+def worked_cvs(m: Model) -> DataFrame:
+    """CVs with none to six experiences, in four forms, English and French."""
+    k = F.col("c_custkey")
+
+    def entry(j):
+        who, firm, begin = F.concat(F.lit("Engineer "), j), F.concat(F.lit("Firm "), (k + j) % 30), (j * 2 + 2000).cast("string")
+        forms = F.when((k + j) % 4 == 0, F.concat(who, F.lit(", "), firm, F.lit(" "), begin, F.lit(" - "), (j * 2 + 2001).cast("string")))
+        forms = forms.when((k + j) % 4 == 1, F.concat(who, F.lit(" at "), firm, F.lit("\nJan "), begin, F.lit(" - Present")))
+        forms = forms.when((k + j) % 4 == 2, F.concat(who, F.lit(" chez "), firm, F.lit(" "), begin, F.lit(" - aujourd'hui"))).otherwise(F.concat(who, F.lit(" | "), firm, F.lit("\nMars "), begin, F.lit(" – "), (j * 2 + 2001).cast("string")))
+        return F.concat(forms, F.lit("\nHelped with part "), j, F.lit(" of it.\n"))
+
+    n = (k % 7).cast("int")
+    entries = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), entry), "\n")).otherwise("")
+    head = F.when(k % 2 == 0, "EXPÉRIENCES PROFESSIONNELLES\n").otherwise("WORK HISTORY\n")
+    return m.customer.select(k.cast("string").alias("document_id"), F.concat(F.lit("Person\n\n"), head, entries).alias("raw_text"))
+
+
+_WORKED = ", worked_cv as (select c_custkey as k, unnest(range(1, (c_custkey % 7 + 1)::int)) as j from customer)"
+
+
+@query("varied_experiences", f"""{_WORKED} select k::varchar as document_id, (j - 1)::int as idx, 'Engineer ' || j as title, 'Firm ' || ((k + j) % 30) as company,
+  case (k + j) % 4 when 1 then 'Jan ' when 3 then 'Mars ' else '' end || (2000 + 2 * j) as start_date_raw, case (k + j) % 4 when 1 then 'Present' when 2 then 'aujourd''hui' else (2001 + 2 * j)::varchar end as end_date_raw,
+  (k + j) % 4 in (1, 2) as is_current from worked_cv""")
+def varied_experiences(m: Model) -> DataFrame:
+    found = candidate.extract_experiences(sections.detect_sections(worked_cvs(m)))
+    return found.select("document_id", "idx", "title", "company", "start_date_raw", "end_date_raw", "is_current")
+
+
+@query("entry_counts", f"{_WORKED} select k::varchar as document_id, count(*)::int as n_experiences from worked_cv group by k")
 def entry_counts(m: Model) -> DataFrame:
-    return candidate.split_entries(sections.detect_sections(cvs(m))).groupBy("document_id").agg(F.count("*").cast("int").alias("n_experiences"))
+    return candidate.split_entries(sections.detect_sections(worked_cvs(m))).groupBy("document_id").agg(F.count("*").cast("int").alias("n_experiences"))
