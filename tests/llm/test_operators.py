@@ -145,6 +145,37 @@ def test_encoding_of_other_scripts(vocabulary):
         assert ids[end - n : end].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_byte_tokens_are_dealt_to_chunks_by_their_widths(known):
+    import pyarrow as pa
+
+    from talentloom.llm import tokenizing
+
+    plain = Tokenizer.from_file(BYTE.path)
+    texts = [*_scripts(8, 200), "", "end<|endoftext|>, and <|ENDOFTEXT|> here<|endoftext|>", " \x00\x7f it's  'tis 12,5\u00a0\u20ac\n\n x", "a\u0301 \U0001f600" * 40]
+    asked = Counter()
+
+    class Library:
+        def encode(self, *args, **named):
+            asked["places"] += 1
+            return plain.encode(*args, **named)
+
+        def encode_batch_fast(self, *args, **named):
+            asked["fast"] += 1
+            return plain.encode_batch_fast(*args, **named)
+
+    coder = tokenizing.Encoder(BYTE)
+    coder.tokenizer = Library()
+    if not known:  # widths that do not add up: the library's own places decide
+        coder.widths = coder.widths + 1
+    ids, counts = coder.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends.tolist(), counts.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert asked["fast"] and bool(asked["places"]) != known
+    assert tokenizing.Encoder(WORD).widths is None
+
+
 @pytest.mark.parametrize("vocabulary", [BYTE, WORD])
 def test_memo_is_bounded_in_bytes(vocabulary):
     import pyarrow as pa
