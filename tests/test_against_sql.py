@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from talentloom.operators import matching
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", " ", "\n", "\t", "a\n\n\t\n\nb", "a\rb\n\n \n", "one\n\n\n\ntwo\n", "x y\n \nz", "", "plain"]
@@ -51,3 +52,27 @@ def test_validated_uploads_with_odd_sizes(spark, odd):
 
 def test_streamed_uploads_with_odd_sizes(spark, odd):
     same_as_sql(spark, "streamed_documents", odd, ["documents"])
+
+
+def _pairs_plan(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["dimension_scores", "gaps", "recommendation_details"])
+def test_pairs_travel_without_facts_and_demands(spark, name):
+    """Of the steps that deal by candidate only one is Spark's own: that of pairs with their demands' numbers; facts are dealt as keys."""
+    dealt = [x for x in _pairs_plan(spark, name).split("\n") if "Exchange hashpartitioning(candidate_id" in x]
+    assert sum("ENSURE_REQUIREMENTS" in x for x in dealt) == 1
+
+
+@pytest.mark.parametrize("bound", ["KINDS", "KIND_LENGTH"])
+def test_pairs_with_too_many_different_demands(spark, monkeypatch, bound):
+    """Where demands are too many to be held by every task, each pair carries its own, with the same results."""
+    query = __spark_entry__.queries()["pair_evaluations"]
+    few = Counter(map(tuple, query(spark, SF).collect()))
+    monkeypatch.setattr(matching, bound, 3)
+    assert Counter(map(tuple, query(spark, SF).collect())) == few
