@@ -29,20 +29,37 @@ def eligible_pairs(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFr
 BLOCK = 4096
 
 
-def eligible_grid(docs: DataFrame) -> DataFrame:
-    """candidate_id, job_id: every processed CV with every processed job offer, the bulk form of eligible pairs.
+def eligible_blocks(docs: DataFrame) -> DataFrame:
+    """candidate_id, jobs, n_jobs, first_job: every processed CV with every block of processed job offers.
 
-    The offers' ids travel as blocks (one row each, of bounded size); a CV meets
-    every block once, and pairs appear only as blocks are opened. The pairs are
-    as many as CVs times offers; give a pair table to ``eligible_pairs`` where
-    that is too much.
+    The offers' ids travel as blocks (one row each, of bounded size); how many a block
+    holds and its first are told once a block, so that what reads only these opens none.
     """
     ready = docs.filter("status = 'PROCESSED'")
     jobs = ready.filter("document_type = 'JOB_OFFER'").select(F.col("document_id").alias("job_id"))
     blocks = max(1, -(-jobs.count() // BLOCK))
-    dealt = jobs.groupBy(F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("job_id").alias("jobs"))
+    dealt = jobs.groupBy(F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int").alias("block")).agg(
+        F.collect_list("job_id").alias("jobs"), F.count("job_id").alias("n_jobs"), F.min("job_id").alias("first_job")
+    )
     cvs = ready.filter("document_type = 'CV'").select(F.col("document_id").alias("candidate_id"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return cvs.join(dealt, "block").select("candidate_id", F.explode("jobs").alias("job_id"))
+    return cvs.join(dealt, "block").select("candidate_id", "jobs", "n_jobs", "first_job")
+
+
+def eligible_grid(docs: DataFrame) -> DataFrame:
+    """candidate_id, job_id: every processed CV with every processed job offer, the bulk form of eligible pairs.
+
+    A CV meets every block of offers once, and pairs appear only as blocks are
+    opened. The pairs are as many as CVs times offers; give a pair table to
+    ``eligible_pairs`` where that is too much, and ``eligible_counts`` where only
+    their number is wanted.
+    """
+    return eligible_blocks(docs).select("candidate_id", F.explode("jobs").alias("job_id"))
+
+
+def eligible_counts(docs: DataFrame) -> DataFrame:
+    """candidate_id, n_jobs, first_job: ``eligible_grid`` counted by CV, with the smallest offer, without a row a pair."""
+    met = eligible_blocks(docs).filter("n_jobs > 0")
+    return met.groupBy("candidate_id").agg(F.sum("n_jobs").alias("n_jobs"), F.min("first_job").alias("first_job"))
 
 
 def dimension_scores(evals: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from talentloom.operators import matching
+from talentloom.operators import matching, scoring
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", " ", "\n", "\t", "a\n\n\t\n\nb", "a\rb\n\n \n", "one\n\n\n\ntwo\n", "x y\n \nz", "", "plain"]
@@ -76,3 +76,13 @@ def test_pairs_with_too_many_different_demands(spark, monkeypatch, bound):
     few = Counter(map(tuple, query(spark, SF).collect()))
     monkeypatch.setattr(matching, bound, 3)
     assert Counter(map(tuple, query(spark, SF).collect())) == few
+
+
+def test_grid_is_counted_without_its_pairs(spark, monkeypatch):
+    assert "explode(jobs" not in _pairs_plan(spark, "eligible_grid")
+    monkeypatch.setattr(scoring, "BLOCK", 2)
+    rows = [(f"c{i}", "CV", "PROCESSED" if i else "FAILED") for i in range(3)] + [(f"j{i}", "JOB_OFFER", "PROCESSED" if i else "FAILED") for i in range(8)]
+    docs = spark.createDataFrame(rows, "document_id string, document_type string, status string")
+    pairs = Counter(r.candidate_id for r in scoring.eligible_grid(docs).collect())
+    assert pairs == {"c1": 7, "c2": 7}
+    assert {tuple(r) for r in scoring.eligible_counts(docs).collect()} == {(c, n, "j1") for c, n in pairs.items()}
