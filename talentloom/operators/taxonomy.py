@@ -12,7 +12,9 @@ import pickle
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from ..functions import text as T
 MAX_FORMS = 5_000
 #: Surface forms, and characters of all of them, that one automaton takes at most (some hundred bytes a character in a worker).
 AUTOMATON_FORMS, AUTOMATON_LENGTH = 500_000, 4_000_000
+#: The same for a table of forms that are looked up as whole runs of letters and digits (some tens of bytes a form in a worker).
+RUN_FORMS, RUN_LENGTH = 4_000_000, 48_000_000
+#: The one letter outside ASCII that is an ASCII letter in lower case.
+KELVIN = "\u212A"
 
 
 def build_alias_index(skills: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -116,8 +122,12 @@ def mention_table(docs: DataFrame, text: str, forms: DataFrame, key: str = "docu
 
     ``forms``: form (lower case), canonical_name. They become one automaton, which is built once, sent
     to each executor and run over Arrow batches; forms beyond its bounds are met by a join.
+    Forms of ASCII letters and digits alone are looked up as whole runs instead.
     """
-    size = forms.agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("length")).first()
+    mixed = F.count_if(~F.col("form").rlike(r"^[a-z0-9]+\z"))
+    size = forms.agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("length"), F.min(F.length("form")).alias("least"), mixed.alias("mixed")).first()
+    if size["n"] and not size["mixed"]:
+        return run_mentions(docs, text, forms, size["least"], size["n"] <= RUN_FORMS and size["length"] <= RUN_LENGTH, key)
     if size["n"] > AUTOMATON_FORMS or (size["length"] or 0) > AUTOMATON_LENGTH:
         return joined_mentions(docs, text, forms, key)
     automaton = form_automaton([(r["form"], r["canonical_name"]) for r in forms.collect()])  # bounded above
@@ -133,6 +143,58 @@ def mention_table(docs: DataFrame, text: str, forms: DataFrame, key: str = "docu
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(scanned, f"`{key}` {kind}, mentions array<string>")
 
 
+def run_mentions(docs: DataFrame, text: str, forms: DataFrame, least: int, held: bool, key: str = "document_id") -> DataFrame:
+    """``mention_table`` for forms of ASCII letters and digits, ``least`` long at least: such a form is mentioned where it is a whole run, so nothing overlaps.
+
+    ``held``: every task holds all forms and looks runs up in Arrow batches; else they meet by a join, for unique keys.
+    Texts with the one letter that only its lower case makes an ASCII one are left to ``joined_mentions``.
+    """
+    odd = F.coalesce(F.contains(F.col(text), F.lit(KELVIN)), F.lit(False))
+    rest = joined_mentions(docs.filter(odd), text, forms, key)
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"[A-Za-z0-9]{{{least},}}"), F.lit(0))
+    runs = docs.filter(~odd).select(F.col(key), F.array_distinct(found).alias("runs"))
+    if not held:
+        words = T.numbered(runs, "runs", "_at", "form", key).withColumn("form", F.lower("form"))
+        hits = words.join(forms, "form").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "canonical_name")))["canonical_name"].alias("mentions"))
+        told = runs.select(key).join(hits, key, "left").select(key, F.coalesce("mentions", F.array().cast("array<string>")).alias("mentions"))
+    else:
+        table = forms.select("form", "canonical_name").toArrow()  # bounded by RUN_FORMS and RUN_LENGTH
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+            known, names = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+            for group in grouped(batches):
+                batch = pa.Table.from_batches(group).combine_chunks()
+                lists = batch.column(1).combine_chunks()
+                place = pc.index_in(pc.ascii_lower(lists.flatten()), value_set=known)
+                hit = pc.is_valid(place)
+                ends = np.concatenate(([0], np.cumsum(hit.to_numpy(zero_copy_only=False))))  # of the runs that are kept, up to each run
+                offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+                kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(place.filter(hit)))
+                yield from pa.Table.from_arrays([batch.column(0), kept], [key, "mentions"]).to_batches()
+
+        kind = docs.schema[key].dataType.simpleString()
+        told = runs.mapInArrow(looked_up, f"`{key}` {kind}, mentions array<string>")
+    return told.select(F.col(key), F.array_distinct("mentions").alias("mentions")).unionByName(rest)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], least: int = 32 << 20) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of ``least`` bytes, as the table of forms is made ready once a group."""
+    group: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            group.append(batch)
+        if sum(b.nbytes for b in group) >= least:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def joined_mentions(docs: DataFrame, text: str, forms: DataFrame, key: str = "document_id") -> DataFrame:
     """``mention_table`` by a join, for unique keys.
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from talentloom.operators import matching, scoring
+from talentloom.operators import matching, scoring, taxonomy
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", " ", "\n", "\t", "a\n\n\t\n\nb", "a\rb\n\n \n", "one\n\n\n\ntwo\n", "x y\n \nz", "", "plain"]
@@ -86,3 +86,18 @@ def test_grid_is_counted_without_its_pairs(spark, monkeypatch):
     pairs = Counter(r.candidate_id for r in scoring.eligible_grid(docs).collect())
     assert pairs == {"c1": 7, "c2": 7}
     assert {tuple(r) for r in scoring.eligible_counts(docs).collect()} == {(c, n, "j1") for c, n in pairs.items()}
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_many_plain_forms_are_looked_up_as_runs(spark, monkeypatch, held):
+    """Beyond the automaton's bounds only texts that lower case alone makes ASCII go by the slow join."""
+    texts = ["The Rust, rust and go1 gone", "", None, "rusty go1", "go1érust RUST", "Kelvin go1 kelvin", "x" * 50 + " go1", "go1_rust.kelvin"]
+    forms = [("rust", "Rust"), ("go1", "Go"), ("kelvin", "K"), ("elvin", "E"), ("x", "X")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, t string")
+    slow, join = [], taxonomy.joined_mentions
+    monkeypatch.setattr(taxonomy, "AUTOMATON_FORMS", 0)
+    monkeypatch.setattr(taxonomy, "joined_mentions", lambda d, *a: slow.append(d.count()) or join(d, *a))
+    monkeypatch.setattr(taxonomy, "RUN_FORMS", 100 if held else 0, raising=False)
+    got = {r.document_id: r.mentions for r in taxonomy.mention_table(docs, "t", spark.createDataFrame(forms, "form string, canonical_name string")).collect()}
+    made = taxonomy.form_automaton(forms)
+    assert got == {i: taxonomy.mentions_of(t, made) for i, t in enumerate(texts)} and slow == [1]
