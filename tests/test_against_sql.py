@@ -4,8 +4,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from talentloom.llm import search
 from talentloom.operators import matching, scoring, taxonomy
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +103,13 @@ def test_many_plain_forms_are_looked_up_as_runs(spark, monkeypatch, held):
     got = {r.document_id: r.mentions for r in taxonomy.mention_table(docs, "t", spark.createDataFrame(forms, "form string, canonical_name string")).collect()}
     made = taxonomy.form_automaton(forms)
     assert got == {i: taxonomy.mentions_of(t, made) for i, t in enumerate(texts)} and slow == [1]
+
+
+def test_tasks_send_few_rows_for_pivots(spark):
+    """A sample for the pivots is the same for any number of partitions, and few rows more than it are ordered."""
+    rows = spark.range(0, 40_000, 1, 50).select(F.col("id").alias("num"))
+    want = sorted(r.num for r in rows.orderBy(F.xxhash64(F.lit(3), "num")).limit(300).collect())
+    chosen = search.lowest(rows, 300, 40_000)
+    assert sorted(r.num for r in chosen.collect()) == want and search.lowest(rows, 300, 200).count() == 300
+    ordered = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in ordered and 300 <= rows.filter(F.xxhash64(F.lit(3), "num") < 1600 * (1 << 64) // 40_000 - (1 << 63)).count() <= 2000
