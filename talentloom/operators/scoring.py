@@ -139,8 +139,11 @@ def run_analyses(analyses: DataFrame, evals: DataFrame, profiles: DataFrame, job
     one fails with a message instead of being dropped.
     """
     scored = score_breakdown(evals).select(*PAIR, "overall")
-    told = analyses.join(profiles.select("candidate_id", F.lit(True).alias("_c")).distinct(), "candidate_id", "left")
-    told = told.join(jobs.select("job_id", F.lit(True).alias("_j")).distinct(), "job_id", "left").join(scored, list(PAIR), "left")
+    marked = analyses.select("analysis_id", *PAIR).join(jobs.select("job_id", F.lit(True).alias("_j")).distinct(), "job_id", "left")
+    # Analyses go to their candidates once and are grouped with the scores there; a join by pair would deal both anew.
+    every = marked.select(*PAIR, F.struct("analysis_id", "_j").alias("_a")).repartition("candidate_id").unionByName(scored, True)
+    met = every.groupBy(*PAIR).agg(F.collect_list("_a").alias("_a"), F.first("overall", True).alias("overall"))
+    told = met.select(*PAIR, "overall", F.inline("_a")).join(profiles.select("candidate_id", F.lit(True).alias("_c")).distinct(), "candidate_id", "left")
     message = F.when(F.col("_c").isNull(), "no candidate profile").when(F.col("_j").isNull(), "no job profile")
     return told.select(
         "analysis_id", *PAIR, F.when(message.isNull(), "COMPLETED").otherwise("FAILED").alias("status"), message.alias("message"),

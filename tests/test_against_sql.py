@@ -1,5 +1,6 @@
 """Queries against their SQL on odd documents, and on pairs and vectors where the shape of the work counts."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -113,3 +114,7 @@ def test_tasks_send_few_rows_for_pivots(spark):
     assert sorted(r.num for r in chosen.collect()) == want and search.lowest(rows, 300, 200).count() == 300
     ordered = chosen._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in ordered and 300 <= rows.filter(F.xxhash64(F.lit(3), "num") < 1600 * (1 << 64) // 40_000 - (1 << 63)).count() <= 2000
+
+
+def test_analyses_meet_scores_at_their_candidates(spark):
+    assert not re.search(r"Exchange hashpartitioning\(candidate_id#\w+, job_id", _pairs_plan(spark, "run_analyses"))
